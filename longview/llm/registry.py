@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from longview.session import ship
 
-from . import oracles, quality
+from . import chat, oracles, quality, sharding, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _shipped(f: Query) -> Query:
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {
+    found = {
+        "op1_preference_format": chat.op1,
         "op4_quality_rules": quality.op4,
+        "op6_token_counts": tokens.op6,
+        "op7_sharding": sharding.op7,
+        "op8_warc": warc.op8,
         "pipeline": corpus_pipeline.run,
     }
+    return {name: _shipped(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
