@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from longview.session import ship
 
-from . import chat, oracles, quality, sharding, tokens, warc
+from . import chat, decontaminate, oracles, pieces, quality, sharding, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +27,9 @@ def _shipped(f: Query) -> Query:
 def queries() -> dict[str, Query]:
     found = {
         "op1_preference_format": chat.op1,
+        "op2_decontaminate": decontaminate.op2,
         "op4_quality_rules": quality.op4,
+        "op5_sentencepiece": pieces.op5,
         "op6_token_counts": tokens.op6,
         "op7_sharding": sharding.op7,
         "op8_warc": warc.op8,
