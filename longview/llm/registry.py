@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from longview.session import ship
 
-from . import chat, decontaminate, oracles, pieces, quality, sharding, tokens, warc
+from . import chat, decontaminate, oracles, pieces, quality, sharding, suffixes, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,7 @@ def queries() -> dict[str, Query]:
         "op6_token_counts": tokens.op6,
         "op7_sharding": sharding.op7,
         "op8_warc": warc.op8,
+        "op9_suffix_array_dedup": suffixes.op9,
         "pipeline": corpus_pipeline.run,
     }
     return {name: _shipped(f) for name, f in found.items()}
