@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from longview.session import ship
 
-from . import chat, decontaminate, oracles, pieces, quality, sharding, suffixes, tokens, warc
+from . import chat, decontaminate, minhash, oracles, pieces, quality, sharding, suffixes, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
     found = {
         "op1_preference_format": chat.op1,
         "op2_decontaminate": decontaminate.op2,
+        "op3_minhash_dedup": minhash.op3,
         "op4_quality_rules": quality.op4,
         "op5_sentencepiece": pieces.op5,
         "op6_token_counts": tokens.op6,
