@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from longview.session import ship
 
-from . import chat, decontaminate, minhash, oracles, pieces, quality, sharding, suffixes, tokens, warc
+from . import chat, decontaminate, lm, minhash, oracles, pieces, quality, sharding, suffixes, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,7 @@ def queries() -> dict[str, Query]:
         "op7_sharding": sharding.op7,
         "op8_warc": warc.op8,
         "op9_suffix_array_dedup": suffixes.op9,
+        "op10_lm_scoring": lm.op10,
         "pipeline": corpus_pipeline.run,
     }
     return {name: _shipped(f) for name, f in found.items()}
