@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows up to which the small side of a join is broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
+#: The same for a table of one number a row.
+BROADCAST_KEYS = 1_000_000
 #: Rows in an Arrow batch: documents can be long, so batches are kept short.
 ARROW_ROWS = 512
 
@@ -44,11 +46,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/longview/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "table") -> DataFrame:
+def settle(df: DataFrame, name: str = "table", sweep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: it is computed once and its
-    lineage ends at files that outlive any executor."""
+    lineage ends at files that outlive any executor. With ``sweep`` the driver is asked to collect its
+    garbage, on which Spark deletes the shuffle files that only the finished job needed."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    if sweep:
+        df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -13,7 +13,7 @@ number of passes. Documents stay where they are.
 
 Defined cases: null and empty texts match nothing; items with 4 to 7 tokens are matched whole, shorter
 ones never; a null item id is reported as null; repeated items and documents each count; an empty
-benchmark or table matches nothing; further columns are kept.
+benchmark or table matches nothing; further columns are kept, but for those named as the two results.
 """
 
 from __future__ import annotations
@@ -162,6 +162,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[Matcher]:
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with item_ids (array of long) and n_matched (long, tokens of the runs)."""
     small_batches(docs.sparkSession)
+    docs = docs.drop("item_ids", "n_matched")
     names = docs.columns
     found = docs.withColumn("item_ids", F.array().cast("array<long>")).withColumn("n_matched", F.lit(0).cast("long"))
     schema = T.StructType([*docs.schema.fields, T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("n_matched", T.LongType())])
@@ -178,6 +179,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     return found
 
 
+def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a benchmark item, with all their columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    return matches(rows, benchmark).where("size(item_ids) = 0").select("__row.*")
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -8,12 +8,15 @@ Documents are linked where 100 * intersection >= 80 * union of their sets of wor
 2. The counts turn the hash into an order, common shingles last, that is the same for all documents. Of n
    shingles the first ``n - ceil(0.8 n) + 1`` are retained: two sets with that likeness share a retained
    value, so the inverted lists of retained values meet every link.
-3. In each list every document is paired with its smallest; each keeps its best and its smallest partner.
-   These pairs are confirmed on full sets, and linked documents get one label. Then only documents of one
-   list with different labels are paired, if their sizes allow a link. So a group of thousands of near
-   copies is joined by as many pairs, not by their square, and no link between components is lost.
-4. The union sketch of such a pair estimates its likeness; pairs below ``FLOOR`` are dropped. A linked pair
-   falls below it with probability under 1e-15. The others are confirmed on full sets.
+3. In each list every document is paired with the smallest and with the hub, that with the largest share of
+   shared values; each keeps its best partner of either kind. These pairs are confirmed on full sets, and
+   linked documents get one label. Then only documents of one list with different labels are paired, if
+   their sizes and signatures allow a link. So a group of thousands of near copies is joined by as many
+   pairs, not by their square, and no link between components is lost.
+4. A signature has a bit of the smallest hash in each of 128 ranges; of a linked pair at most ``BITS``
+   differ (surely for unions up to 210, else but for a chance under 1e-12). The union sketch of a pair then
+   estimates its likeness; pairs below ``FLOOR`` are dropped (a linked one by a chance under 1e-15). The
+   others are confirmed on full sets.
 
 What is broadcast is the count table (fixed size), and ids or labels where their counted rows are few.
 
@@ -28,15 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import arrays
-from .common import is_small, lookup, settle, small_batches
+from .common import BROADCAST_KEYS, drop, is_small, lookup, settle, small_batches
 from .graph import components
 
 PERCENT = 80
 SKETCH = 48
 FLOOR = 0.25
+BITS = 42
 COUNTERS = 1 << 20
 SLICES = 16
 FLUSH = 2_000_000
@@ -63,12 +67,27 @@ def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return s[new], d[new]
 
 
+def _signature(s: np.ndarray, d: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest bit of the smallest hash of each of 128 ranges, for texts with ``n`` sorted hashes each."""
+    place = s >> np.uint64(57)
+    least = np.append(True, (place[1:] != place[:-1]) | (d[1:] != d[:-1]))[: len(s)]
+    bit = np.where(least, s & np.uint64(1), np.uint64(0)) << (place & np.uint64(63))
+    has, out = np.flatnonzero(n), []
+    start = (np.cumsum(n) - n)[has]
+    for high in (False, True):
+        x = np.zeros(len(n), dtype=np.uint64)
+        if len(has):
+            x[has] = np.add.reduceat(np.where((place > 63) == high, bit, np.uint64(0)), start)
+        out.append(x.view(np.int64))
+    return out[0], out[1]
+
+
 def _signs(docs: DataFrame, k: int) -> DataFrame:
     """Rows of kind 0, one for each document, and of kind 1, slices of the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int64)
-        schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("data", pa.binary())])
+        schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("data", pa.binary())])
         some = False
         for b in batches:
             s, d = shingles(arrays.as_bytes(b.column(1)), k)
@@ -79,14 +98,15 @@ def _signs(docs: DataFrame, k: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(arrays.mix(s * np.uint64(c))))) for c in (1, 0x9E3779B97F4A7C15)]
                 f1, f2 = ((x[stop[1:]] - x[stop[:-1]]).view(np.int64) for x in sums)
+            s1, s2 = _signature(s, d, n)
             low = (s >> np.uint64(32)).astype(np.uint32)
             data = [low[a : min(z, a + SKETCH)].tobytes() for a, z in zip(stop[:-1].tolist(), stop[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int8)), b.column(0), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), pa.array(data, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int8)), b.column(0), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), pa.array(s1), pa.array(s2), pa.array(data, pa.binary())], schema=schema)
         if some:
-            rows = [{"kind": 1, "doc_id": i, "n": 0, "f1": 0, "f2": 0, "data": x.astype(np.uint32).tobytes()} for i, x in enumerate(np.split(np.minimum(counts, 2**32 - 1), SLICES))]
+            rows = [{"kind": 1, "doc_id": i, "n": 0, "f1": 0, "f2": 0, "s1": 0, "s2": 0, "data": x.astype(np.uint32).tobytes()} for i, x in enumerate(np.split(np.minimum(counts, 2**32 - 1), SLICES))]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return settle(docs.select("doc_id", "text").mapInArrow(run, "kind byte, doc_id long, n long, f1 long, f2 long, data binary"), "signs")
+    return settle(docs.select("doc_id", "text").mapInArrow(run, "kind byte, doc_id long, n long, f1 long, f2 long, s1 long, s2 long, data binary"), "signs")
 
 
 def _heat(signs: DataFrame) -> np.ndarray:
@@ -167,7 +187,7 @@ def _lists(docs: DataFrame, k: int, heat: np.ndarray) -> DataFrame:
         return pa.Table.from_arrays([pa.array(c) for c in cols], schema=out_schema)
 
     packed = docs.select("doc_id", "text").mapInArrow(retained, "bucket int, value binary, doc binary, n binary")
-    return settle(packed.groupBy("bucket").applyInArrow(meet, "kind byte, a long, b long, n long"), "lists")
+    return settle(packed.groupBy("bucket").applyInArrow(meet, "kind byte, a long, b long, n long"), "lists", sweep=True)
 
 
 def _sizes_allow(m: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -178,7 +198,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The pairs (a, b) of document ids whose full sets are alike enough."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
     needed = settle(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "needed")
-    some = docs.join(F.broadcast(needed) if is_small(needed) else needed, "doc_id", "left_semi")
+    some = docs.join(F.broadcast(needed) if is_small(needed, BROADCAST_KEYS) else needed, "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,7 +207,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             data = [x.tobytes() for x in np.split(s, stop[:-1])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
 
-    full = settle(some.select("doc_id", "text").mapInArrow(sets, "doc_id long, data binary"), "sets")
+    full = settle(some.select("doc_id", "text").mapInArrow(sets, "doc_id long, data binary"), "sets", sweep=True)
     # A document with very many partners meets them in many groups.
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(1024)).alias("salt"))
     group = F.pmod(F.xxhash64("a", "salt"), F.lit(buckets)).cast("int").alias("g")
@@ -210,7 +230,15 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                     linked.add((a, b))
         return pa.Table.from_pylist([{"a": a, "b": b} for a, b in linked], schema=schema)
 
-    return settle(left.groupBy("g").cogroup(right.groupBy("h")).applyInArrow(compare, "a long, b long"), "links")
+    links = settle(left.groupBy("g").cogroup(right.groupBy("h")).applyInArrow(compare, "a long, b long"), "links", sweep=True)
+    drop(docs.sparkSession, full)
+    return links
+
+
+def _fits(m: str, n: str) -> Column:
+    """Whether sizes and signatures (s1, s2 and t1, t2) allow a link."""
+    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+    return (100 * F.least(m, n) >= PERCENT * F.greatest(m, n)) & (differ <= BITS)
 
 
 def _likely(pairs: DataFrame, signs: DataFrame) -> DataFrame:
@@ -241,24 +269,33 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     classes = settle(solid.groupBy("f1", "f2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("m")).where("m > 1").drop("m"), "classes")
     rows = settle(lookup(rows, classes, ["f1", "f2"], "doc_id").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("first_id", "doc_id")).otherwise(F.col("doc_id")).alias("first_id")), "rows")
     copies = settle(rows.where("doc_id IS NULL OR n = 0 OR doc_id <> first_id").select("doc_id").where("doc_id IS NOT NULL").distinct(), "copies")
-    firsts = docs.where("doc_id IS NOT NULL").join(F.broadcast(copies) if is_small(copies) else copies, "doc_id", "left_anti")
+    firsts = docs.where("doc_id IS NOT NULL").join(F.broadcast(copies) if is_small(copies, BROADCAST_KEYS) else copies, "doc_id", "left_anti")
 
     lists = _lists(firsts, k, _heat(signs))
     stars = lists.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("x"), F.min("a").alias("y"))
-    first = settle(best.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"), "stars")
+    entries = lists.where("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("doc"))
+    # A hub: of its retained values the largest share is in lists of two and more.
+    live = entries.groupBy("doc").count()
+    info = signs.where("kind = 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct("n", "s1", "s2"), "n").alias("i")).select("doc_id", "i.*")
+    info = settle(live.join(info, F.col("doc") == F.col("doc_id")).select("doc", "n", "s1", "s2", (F.col("count") / F.col("n")).alias("share")), "info")
+    entries = settle(entries.join(info, "doc"), "entries", sweep=True)
+    hub = entries.groupBy("value").agg(F.max_by(F.struct(F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("s1").alias("t1"), F.col("s2").alias("t2")), F.struct("share", -F.col("doc"))).alias("h")).select("value", "h.*")
+    near = entries.join(hub, "value").where((F.col("hub") != F.col("doc")) & _fits("n", "hub_n"))
+    near = near.groupBy(F.col("hub").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("n"))
+    best = [x.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")) for x in (stars, near)]
+    first = best[0].unionByName(best[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = settle(first, "stars", sweep=True)
     links = _confirm(first, firsts, k)
     labels = components(links)
 
-    entries = lists.where("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("doc"), "n")
-    entries = lookup(entries, labels.withColumnRenamed("node", "doc"), ["doc"], "value")
-    entries = settle(entries.withColumn("label", F.coalesce("label", "doc")), "entries")
+    entries = lookup(entries, labels.withColumnRenamed("node", "doc"), ["doc"], "value").withColumn("label", F.coalesce("label", "doc"))
+    entries = settle(entries, "labelled", sweep=True)
     mixed = entries.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
-    left = settle(entries.join(mixed, "value"), "mixed")
-    right = left.select("value", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    fits = (F.col("doc") < F.col("b")) & (F.col("label") != F.col("label_b")) & (100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b"))
+    left = settle(entries.join(mixed, "value"), "mixed", sweep=True)
+    right = left.select("value", F.col("doc").alias("b"), F.col("n").alias("hub_n"), F.col("label").alias("label_b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+    fits = (F.col("doc") < F.col("b")) & (F.col("label") != F.col("label_b")) & _fits("n", "hub_n")
     pairs = left.join(right, (left["value"] == right["value"]) & fits).select(F.col("doc").alias("a"), "b").distinct()
-    pairs = settle(_likely(pairs.join(first, ["a", "b"], "left_anti"), signs), "likely")
+    pairs = settle(_likely(pairs.join(first, ["a", "b"], "left_anti"), signs), "likely", sweep=True)
     more = _confirm(pairs, firsts, k)
     labels = components(links.unionAll(more))
     labels = labels.select(F.col("node").alias("first_id"), "label")
@@ -267,5 +304,11 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), part.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == part)).alias("kept"))
 
 
+def keep(docs: DataFrame, k: int = 5) -> DataFrame:
+    """The rows of ``docs`` whose document is the smallest of its component, with all their columns."""
+    gone = settle(near_duplicates(docs, k).where("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if is_small(gone, BROADCAST_KEYS) else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4)

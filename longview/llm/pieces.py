@@ -11,7 +11,8 @@ there without changing the best path, and the ids of parts are kept for later te
 bounded size. Decoding gives back every text exactly: U+2581 itself goes by its bytes.
 
 Documents stay where they are: no shuffle. Defined cases: null and empty texts have no ids and decode to
-an empty text; an empty table gives an empty table; further columns are kept.
+an empty text; an empty table gives an empty table; further columns are kept, but for those
+named as the results.
 """
 
 from __future__ import annotations
@@ -180,6 +181,7 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """``docs`` with ids (array of int) and n_tokens (long)."""
     small_batches(docs.sparkSession)
+    docs = docs.drop("ids", "n_tokens")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
 
@@ -197,6 +199,7 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with decoded (binary): the UTF-8 bytes that the ids stand for."""
     small_batches(encoded.sparkSession)
+    encoded = encoded.drop("decoded")
     names = encoded.columns
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 

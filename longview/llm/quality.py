@@ -104,19 +104,38 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return both.select("lang", "source", *[use(c) for c in cols])
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, lang, source, its measures, base_failed and kept."""
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    measured = settle(text_measures(docs.select("doc_id", "lang", "source", "text")).drop("text").withColumn("base_failed", base), "measures")
-    limits = settle(thresholds(sketches(measured)), "thresholds")
-    joined = lookup(measured, limits, ["lang", "source"], "doc_id")
+def _verdict() -> Column:
+    """Whether a document's measures lie inside the fences joined to it."""
     ok = ~F.col("base_failed")
     for m, (x, _, low) in MEASURES.items():
         value = F.expr(f"if({'n_lines' if 'n_lines' in x else 'n_words'} > 0, {x}, 0)")
         ok = ok & (value <= F.col(f"{m}_hi"))
         if low:
             ok = ok & (value >= F.col(f"{m}_lo"))
-    return joined.select(*measured.columns, F.coalesce(ok, F.lit(False)).alias("kept"))
+    return F.coalesce(ok, F.lit(False))
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, lang, source, its measures, base_failed and kept."""
+    measured = settle(_measured(docs.select("doc_id", "lang", "source", "text")).drop("text"), "measures")
+    joined = lookup(measured, settle(thresholds(sketches(measured)), "thresholds"), ["lang", "source"], "doc_id")
+    return joined.select(*measured.columns, _verdict().alias("kept"))
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return text_measures(docs).withColumn("base_failed", base)
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns.
+
+    The texts are measured again for the verdict, so that they need not be shuffled to meet it.
+    """
+    measured = settle(_measured(docs.select("lang", "source", "text")).drop("text"), "measures")
+    limits = settle(thresholds(sketches(measured)), "thresholds")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "lang", "source", "text")
+    return lookup(_measured(rows), limits, ["lang", "source"], "doc_id").where(_verdict()).select("__row.*")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ anchor); windows are compared by their bytes.
 
 Defined cases: a null text is empty; a null id neither removes nor loses anything; rows with one id don't
 remove from each other; texts shorter than LENGTH lose nothing; an empty table gives an empty table;
-further columns are ignored. Long texts are taken in overlapping pieces.
+further columns are kept in ``row``. Long texts are taken in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import arrays
-from .common import is_small, settle, small_batches
+from .common import BROADCAST_KEYS, is_small, settle, small_batches
 
 LENGTH = 50
 GRAM = 24
@@ -189,31 +189,43 @@ def _split(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(key[order[a]]), order[a:b]
 
 
-def _table(ids: np.ndarray, doc: np.ndarray) -> tuple[bytes, bytes]:
-    """The (doc_id, key) rows that ``doc`` names, once each, and their numbers."""
-    used, of = np.unique(doc, return_inverse=True)
-    return ids[used].tobytes(), of.astype(np.uint32).tobytes()
+def _packed(ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict]:
+    """``at`` in order of its documents, and these: their rows of ``ids`` once each, and where each is next."""
+    at = at[np.argsort(doc[at], kind="stable")]
+    of = doc[at]
+    step = np.append(False, of[1:] != of[:-1])[: len(of)]
+    first = np.append(True, step[1:])[: len(of)]
+    return at, {"ids": ids[of[first]].tobytes(), "of": step.astype(np.uint8).tobytes()}
 
 
 def _by_part(ids: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, parts: int) -> Iterator[dict]:
     """Rows about documents, packed by the partition that their documents go to."""
-    for p, at in _split((ids[doc, 1] % parts) if len(doc) else np.zeros(0, np.int64)):
-        table, of = _table(ids, doc[at])
-        keys = np.frombuffer(table, np.int64).reshape(-1, 2)[:, 1].tolist()
-        yield {"part": p, "keys": keys, "ids": table, "of": of, "a": a[at].tobytes(), "b": b[at].tobytes() if len(b) else b""}
+    for p, at in _split((ids[doc, -1] % parts) if len(doc) else np.zeros(0, np.int64)):
+        at, row = _packed(ids, doc, at)
+        keys = np.frombuffer(row["ids"], np.int64).reshape(-1, ids.shape[1])[:, -1].tolist()
+        yield {"part": p, "keys": keys, **row, "a": a[at].tobytes(), "b": b[at].tobytes()}
 
 
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def _unpack(rows: list[dict], a_type, b_type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(rows: list[dict], a_type, b_type, width: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, doc, a, b) of packed rows."""
-    ids = [np.frombuffer(r["ids"], np.int64).reshape(-1, 2) for r in rows]
+    ids = [np.frombuffer(r["ids"], np.int64).reshape(-1, width) for r in rows]
     shift = np.cumsum([0, *map(len, ids)])
-    doc = [np.frombuffer(r["of"], np.uint32).astype(np.int64) + s for r, s in zip(rows, shift)]
+    doc = [np.cumsum(np.frombuffer(r["of"], np.uint8), dtype=np.int64) + s for r, s in zip(rows, shift)]
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return np.concatenate(ids) if ids else np.zeros((0, 2), np.int64), cat(doc, np.int64), cat([np.frombuffer(r["a"], a_type) for r in rows], a_type), cat([np.frombuffer(r["b"], b_type) for r in rows], b_type)
+    return np.concatenate(ids) if ids else np.zeros((0, width), np.int64), cat(doc, np.int64), cat([np.frombuffer(r["a"], a_type) for r in rows], a_type), cat([np.frombuffer(r["b"], b_type) for r in rows], b_type)
+
+
+def _low_high(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48 bits as 32 and 16."""
+    return h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16)
+
+
+def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return high.astype(np.uint64) << np.uint64(32) | low
 
 
 def _anchor_rows(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, buckets: int) -> list[dict]:
@@ -227,23 +239,17 @@ def _anchor_rows(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, buckets: int)
     size = np.diff(np.append(np.flatnonzero(first), len(h)))
     several = np.repeat(size > 1, size)
     rows = []
-    pack = lambda x: {"a": x.astype(np.uint32).tobytes(), "b": (x >> np.uint64(32)).astype(np.uint16).tobytes()}
+    none = {"ids": b"", "of": b""}
     for kind, use in ((0, ~several), (2, several & first), (1, several)):
         at = np.flatnonzero(use)
-        at = at[np.argsort(doc[at], kind="stable")]
         where = (h[at] % np.uint64(buckets)).astype(np.int64) if kind != 1 else doc[at] % buckets
         for b, rows_of in _split(where):
-            x = at[rows_of]
-            table, of = _table(ids, doc[x]) if kind != 2 else (b"", b"")
-            rows.append({"bucket": b, "kind": kind, "ids": table, "of": of, "data": b"", **pack(h[x])})
+            x, row = _packed(ids, doc, at[rows_of]) if kind != 2 else (at[rows_of], none)
+            low, high = _low_high(h[x])
+            rows.append({"bucket": b, "kind": kind, **row, "a": low.tobytes(), "b": high.tobytes(), "data": b""})
     return rows
 
 
-def _hash_of(rows: list[dict]) -> np.ndarray:
-    cat = lambda c, t: np.concatenate([np.frombuffer(r[c], t) for r in rows]) if rows else np.zeros(0, t)
-    return cat("b", np.uint16).astype(np.uint64) << np.uint64(32) | cat("a", np.uint32)
-
-
 def _marks(segments, ids, doc) -> tuple[np.ndarray, np.ndarray]:
     """(segment, offset) of each window whose bytes also stand in a segment of a smaller document.
 
@@ -288,23 +294,23 @@ def _intervals(seg: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return seg[cut], at[cut], np.diff(np.append(cut, len(seg)))
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(documents that may lose bytes with doc_id, key, text and part; packed marks by part; parts).
+def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(packed marks by part, parts): the windows of each document that a smaller id has too.
 
     ``docs`` has doc_id (long), key (long, a hash of id and text) and text.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, doc, h, n, rows = [], [], [], 0, 0
         for b in batches:
-            for _, first, count, hashes, of, _ in _runs_of(arrays.as_bytes(b.column(2))):
+            for _, first, count, hashes, of, _ in _runs_of(arrays.as_bytes(b.column(1))):
                 doc.append(of + rows)
                 h.append(hashes)
                 n += len(hashes)
-            ids.append(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1))
+            ids.append(b.column(0).to_numpy().reshape(-1, 1))
             rows += b.num_rows
             if n >= BLOCK:
                 yield _batch(_anchor_rows(np.concatenate(ids), np.concatenate(doc), np.concatenate(h), buckets), _PACK)
@@ -315,34 +321,33 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     def repeated(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         one, several, known = ([r for r in rows if r["kind"] == k] for k in (0, 2, 1))
-        ids, doc, _, _ = _unpack(one, np.uint32, np.uint16)
-        h, many = _hash_of(one), np.unique(_hash_of(several))
+        ids, doc, low, high = _unpack(one, np.uint32, np.uint16, 1)
+        h, many = _whole(low, high), np.unique(_whole(*_unpack(several, np.uint32, np.uint16, 1)[2:]))
         order = np.argsort(h, kind="stable")
         first = np.append(True, h[order][1:] != h[order][:-1])[: len(h)]
         size = np.diff(np.append(np.flatnonzero(first), len(h)))
         hit = order[np.repeat(size > 1, size)]
         hit = np.union1d(hit, np.flatnonzero(np.isin(h, many)))
-        kids, kdoc, _, _ = _unpack(known, np.uint32, np.uint16)
-        out = [*_by_part(ids, doc[hit], h[hit], h[hit][:0], parts), *_by_part(kids, kdoc, _hash_of(known), h[:0], parts)]
+        out = [*_by_part(ids, doc[hit], low[hit], high[hit], parts), *_by_part(*_unpack(known, np.uint32, np.uint16, 1), parts)]
         return pa.Table.from_pylist(out, schema=_HITS)
 
-    packed = docs.select("doc_id", "key", "text").mapInArrow(anchors, _PACKED)
-    hits = settle(packed.groupBy("bucket").applyInArrow(repeated, _HIT), "anchors")
-    keys = settle(hits.select(F.explode("keys").alias("key")).distinct(), "keys")
-    keys = F.broadcast(keys) if is_small(keys) else keys
-    some = docs.join(keys, "key", "left_semi").select("doc_id", "key", "text", F.pmod("key", F.lit(parts)).cast("int").alias("part"))
+    packed = docs.select("key", "text").mapInArrow(anchors, _PACKED)
+    hits = settle(packed.groupBy("bucket").applyInArrow(repeated, _HIT), "anchors", sweep=True)
+    some = _that_have(docs, hits, "left_semi")
+    some = (docs if some is None else some).select("doc_id", "key", "text", F.pmod("key", F.lit(parts)).cast("int").alias("part"))
 
     def segments(left: pa.Table, right: pa.Table) -> pa.Table:
         texts, own = arrays.as_bytes(left["text"]), np.stack([left["doc_id"].to_numpy(), left["key"].to_numpy()], 1) if left.num_rows else np.zeros((0, 2), np.int64)
-        ids, doc, h, _ = _unpack(right.to_pylist(), np.uint64, np.uint64)
-        number: dict[tuple[int, int], int] = {}
-        same = [number.setdefault((int(a), int(b)), i) for i, (a, b) in enumerate(own)]
-        there = np.array([number.get((int(a), int(b)), -1) for a, b in ids], dtype=np.int64)
-        wanted = np.unique((there[doc][there[doc] >= 0]).astype(np.uint64) << np.uint64(48) | h[there[doc] >= 0])
-        texts = [t if same[i] == i else b"" for i, t in enumerate(texts)]
+        ids, doc, low, high = _unpack(right.to_pylist(), np.uint32, np.uint16, 1)
+        keys, group = np.unique(own[:, 1], return_inverse=True)
+        there = np.searchsorted(keys, ids[:, 0]).clip(max=max(0, len(keys) - 1))
+        there = np.where(keys[there] == ids[:, 0], there, -1)[doc] if len(keys) else np.full(len(doc), -1)
+        wanted = np.unique(there[there >= 0].astype(np.uint64) << np.uint64(48) | _whole(low, high)[there >= 0])
+        _, alone = np.unique(own, axis=0, return_index=True) if len(own) else (own, np.zeros(0, np.int64))
+        texts = [t if i in keep else b"" for keep in (set(alone.tolist()),) for i, t in enumerate(texts)]  # repeated rows once
         seg_doc, seg_at, seg_n, seg_h, seg_x, data = [], [], [], [], [], []
         for buf, first, count, hashes, of, offset in _runs_of(texts):
-            use = np.isin(of.astype(np.uint64) << np.uint64(48) | hashes, wanted)
+            use = np.isin(group[of].astype(np.uint64) << np.uint64(48) | hashes, wanted)
             first, count, hashes, of, offset = (x[use] for x in (first, count, hashes, of, offset))
             with np.errstate(over="ignore"):
                 seg_x.append(arrays.span_hash(arrays.sums(arrays.TABLE[buf]), first, first + count + LENGTH - 1))
@@ -361,14 +366,12 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         marked = order[owner[leader] < owner[order]]
         out = []
         for p, w in _split(doc[marked] % buckets):
-            w = marked[w]
-            table, of = _table(own, doc[w])
-            out.append({"bucket": p, "kind": 1, "ids": table, "of": of, "a": at[w].tobytes(), "b": n[w].tobytes(), "data": b""})
+            w, row = _packed(own, doc, marked[w])
+            out.append({"bucket": p, "kind": 1, **row, "a": at[w].tobytes(), "b": n[w].tobytes(), "data": b""})
         go = order[owner[leader] == owner[order]]
         for p, w in _split((h[go] % np.uint64(buckets)).astype(np.int64)):
-            w = go[w]
-            table, of = _table(own, doc[w])
-            out.append({"bucket": p, "kind": 0, "ids": table, "of": of, "a": at[w].tobytes(), "b": n[w].tobytes(), "data": b"".join([data[i] for i in w.tolist()])})
+            w, row = _packed(own, doc, go[w])
+            out.append({"bucket": p, "kind": 0, **row, "a": at[w].tobytes(), "b": n[w].tobytes(), "data": b"".join([data[i] for i in w.tolist()])})
         return pa.Table.from_pylist(out, schema=_PACK)
 
     def marks(table: pa.Table) -> pa.Table:
@@ -386,7 +389,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         return pa.Table.from_pylist(out, schema=_HITS)
 
     cut = some.groupBy("part").cogroup(hits.drop("keys").groupBy("part")).applyInArrow(segments, _PACKED)
-    return some, cut.groupBy("bucket").applyInArrow(marks, _HIT), parts
+    return cut.groupBy("bucket").applyInArrow(marks, _HIT), parts
 
 
 def _runs_of(texts: list[bytes]):
@@ -397,12 +400,18 @@ def _runs_of(texts: list[bytes]):
         yield buf, first, count, h, of[text], first - starts[text] + offset[text]
 
 
+def _that_have(docs: DataFrame, packed: DataFrame, how: str) -> DataFrame | None:
+    """The documents with (or without) rows in ``packed``; None if these are too many to broadcast."""
+    keys = settle(packed.select(F.explode("keys").alias("key")).distinct(), "keys")
+    return docs.join(F.broadcast(keys), "key", how) if is_small(keys, BROADCAST_KEYS) else None
+
+
 def remove(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 of each row of (doc_id, text)."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """row (all columns of a row of ``docs``), n_bytes, n_removed, n_spans, kept (binary) and kept_sha256."""
+    docs = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    some, found, _ = repeats(docs.where(F.col("doc_id").isNotNull()))
-    found = settle(found, "marks")
+    found, parts = repeats(docs.where(F.col("doc_id").isNotNull()))
+    found = settle(found, "marks", sweep=True)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, doc, at, n = _unpack(right.to_pylist(), np.int64, np.int64)
@@ -410,6 +419,7 @@ def remove(docs: DataFrame) -> DataFrame:
         for (i, k), a, c in zip(ids[doc].tolist(), at.tolist(), n.tolist()):
             spans.setdefault((i, k), []).append((a, a + c + LENGTH - 1))
         rows = []
+        result = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
         for i, k, t in zip(left["doc_id"].to_pylist(), left["key"].to_pylist(), arrays.as_bytes(left["text"])):
             kept, upto, removed, pieces = [], 0, 0, 0
             end = -1
@@ -424,18 +434,36 @@ def remove(docs: DataFrame) -> DataFrame:
                 upto = end
             kept.append(t[upto:])
             rest = b"".join(kept)
-            rows.append({"doc_id": i, "key": k, "n_bytes": len(t), "n_removed": removed, "n_spans": pieces, "kept": rest, "kept_sha256": hashlib.sha256(rest).hexdigest()})
-        return pa.Table.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())]))
-
-    touched = settle(found.select(F.explode("keys").alias("key")).distinct(), "touched")
-    touched = F.broadcast(touched) if is_small(touched) else touched
-    lost = some.join(touched, "key", "left_semi").groupBy("part").cogroup(found.drop("keys").groupBy("part")).applyInArrow(cut, "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").drop("key")
-    whole = docs.join(touched, "key", "left_anti")
+            rows.append({"n_bytes": len(t), "n_removed": removed, "n_spans": pieces, "kept": rest, "kept_sha256": hashlib.sha256(rest).hexdigest()})
+        out = pa.Table.from_pylist(rows, schema=result)
+        return out.add_column(0, "row", left["row"])
+
+    part = F.pmod("key", F.lit(parts)).cast("int").alias("part")
+    touched, whole = _that_have(docs.where("doc_id IS NOT NULL"), found, "left_semi"), _that_have(docs, found, "left_anti")
+    if touched is None:
+        touched, whole = docs, None
+    schema = T.StructType([docs.schema["row"], *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").fields])
+    lost = touched.select("row", "doc_id", "key", "text", part).groupBy("part").cogroup(found.drop("keys").groupBy("part")).applyInArrow(cut, schema)
+    if whole is None:
+        return lost
     text = F.col("text").cast("binary")
     zero = F.lit(0).cast("long")
-    # An anti join passes over rows without an id too: their key is a hash of the text alone.
-    return lost.unionAll(whole.select("doc_id", F.octet_length("text").cast("long"), zero, zero, text, F.sha2(text, 256)))
+    return lost.unionAll(whole.select("row", F.octet_length("text").cast("long"), zero, zero, text, F.sha2(text, 256)))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return remove(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return remove(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """``docs`` with the rest of each text; what a cut leaves of a character goes too."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()])], ["row", "kept"])
+
+    found = remove(docs).select("row", "kept")
+    out = found.mapInArrow(decode, T.StructType([found.schema["row"], T.StructField("kept", T.StringType())]))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -28,7 +28,7 @@ def brute(docs):
 
 
 def got(df):
-    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()), key=str)
+    return sorted(((r.doc_id if "doc_id" in r else r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()), key=str)
 
 
 @settings(max_examples=80, deadline=None)
