@@ -31,7 +31,7 @@ from .common import settle, small_batches
 
 FREQUENT = 1 << 18
 SMOOTHING = 100.0
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 END = np.uint64(0x5D1F0C2B9A7E4413)
 
 _COUNTS = "bucket int, hashes binary, counts binary, n long, v long"
@@ -206,20 +206,22 @@ def score(docs: DataFrame) -> DataFrame:
         def rows_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             ids = [np.frombuffer(x, np.int64) for x in t["rows"].to_pylist()]
             shift = np.cumsum([0, *map(len, ids)])
-            steps = [np.cumsum(np.frombuffer(x, np.uint8), dtype=np.int64) + k for x, k in zip(t["step"].to_pylist(), shift)]
-            return np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.int64), *steps])
+            steps = [np.cumsum(np.frombuffer(x, np.uint8), dtype=np.int32) + np.int32(k) for x, k in zip(t["step"].to_pylist(), shift)]
+            return np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.int32), *steps])
 
         uid, doc = rows_of(tables[0])
         key = _cat(tables[0]["b"], np.uint8).astype(np.int64) << 32 | _cat(tables[0]["a"], np.uint32)
         out = []
         if len(key):
-            order = np.argsort(key, kind="stable")
-            first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-            seen = np.add.reduceat((uid[doc[order]] & 1), first)
-            weight = s.arc(seen, key[order][first] // len(s.count), key[order][first] % len(s.count))
-            each = np.empty(len(key))
-            each[order] = np.repeat(weight, np.diff(np.append(first, len(key))))
-            out.append((uid >> 1, np.zeros(len(uid)), np.zeros(len(uid)), np.bincount(doc, each, minlength=len(uid))))
+            trained, sums = (uid & 1).astype(bool), np.zeros(len(uid))
+            slices = 8  # a slice of the arcs at a time
+            for k in range(slices):
+                at = np.flatnonzero(key % slices == k).astype(np.int32)
+                arcs, of = np.unique(key[at], return_inverse=True)
+                seen = np.bincount(of[trained[doc[at]]], minlength=len(arcs))
+                weight = s.arc(seen, arcs // len(s.count), arcs % len(s.count)) if len(arcs) else np.zeros(0)
+                sums += np.bincount(doc[at], weight[of], minlength=len(uid))
+            out.append((uid >> 1, np.zeros(len(uid)), np.zeros(len(uid)), sums))
         uid, doc = rows_of(tables[1])
         h = _cat(tables[1]["a"], np.uint64)
         if len(h):

@@ -11,7 +11,8 @@ Documents are linked where 100 * intersection >= 80 * union of their sets of wor
 3. In each list every document is paired with the smallest and with the hub, that with the largest share of
    shared values; each keeps its best partner of either kind. These pairs are confirmed on full sets, and
    linked documents get one label. Then only documents of one list with different labels are paired, if
-   their sizes and signatures allow a link. So a group of thousands of near copies is joined by as many
+   their sizes, what they can share and their signatures allow a link. A retained value of no other document
+   is shared with none, so the others bound every intersection. So a group of thousands of near copies is joined by as many
    pairs, not by their square, and no link between components is lost.
 4. A signature has a bit of the smallest hash in each of 128 ranges; of a linked pair at most ``BITS``
    differ (surely for unions up to 210, else but for a chance under 1e-12). The union sketch of a pair then
@@ -235,10 +236,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return links
 
 
-def _fits(m: str, n: str) -> Column:
-    """Whether sizes and signatures (s1, s2 and t1, t2) allow a link."""
+def _fits() -> Column:
+    """Whether sizes (n, hub_n), shareable values (r, hub_r) and signatures (s1, s2 and t1, t2) allow a link."""
     differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-    return (100 * F.least(m, n) >= PERCENT * F.greatest(m, n)) & (differ <= BITS)
+    shared = F.least("r", "hub_r")
+    return ((100 + PERCENT) * shared >= PERCENT * (F.col("n") + F.col("hub_n"))) & (differ <= BITS)
 
 
 def _likely(pairs: DataFrame, signs: DataFrame) -> DataFrame:
@@ -277,10 +279,10 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     # A hub: of its retained values the largest share is in lists of two and more.
     live = entries.groupBy("doc").count()
     info = signs.where("kind = 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct("n", "s1", "s2"), "n").alias("i")).select("doc_id", "i.*")
-    info = settle(live.join(info, F.col("doc") == F.col("doc_id")).select("doc", "n", "s1", "s2", (F.col("count") / F.col("n")).alias("share")), "info")
+    info = settle(live.join(info, F.col("doc") == F.col("doc_id")).select("doc", "n", "s1", "s2", (F.floor((PERCENT * F.col("n") + 99) / 100) - 1 + F.col("count")).alias("r"), (F.col("count") / F.col("n")).alias("share")), "info")
     entries = settle(entries.join(info, "doc"), "entries", sweep=True)
-    hub = entries.groupBy("value").agg(F.max_by(F.struct(F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("s1").alias("t1"), F.col("s2").alias("t2")), F.struct("share", -F.col("doc"))).alias("h")).select("value", "h.*")
-    near = entries.join(hub, "value").where((F.col("hub") != F.col("doc")) & _fits("n", "hub_n"))
+    hub = entries.groupBy("value").agg(F.max_by(F.struct(F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("r").alias("hub_r"), F.col("s1").alias("t1"), F.col("s2").alias("t2")), F.struct("share", -F.col("doc"))).alias("h")).select("value", "h.*")
+    near = entries.join(hub, "value").where((F.col("hub") != F.col("doc")) & _fits())
     near = near.groupBy(F.col("hub").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("n"))
     best = [x.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")) for x in (stars, near)]
     first = best[0].unionByName(best[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -292,8 +294,8 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     entries = settle(entries, "labelled", sweep=True)
     mixed = entries.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
     left = settle(entries.join(mixed, "value"), "mixed", sweep=True)
-    right = left.select("value", F.col("doc").alias("b"), F.col("n").alias("hub_n"), F.col("label").alias("label_b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    fits = (F.col("doc") < F.col("b")) & (F.col("label") != F.col("label_b")) & _fits("n", "hub_n")
+    right = left.select("value", F.col("doc").alias("b"), F.col("n").alias("hub_n"), F.col("r").alias("hub_r"), F.col("label").alias("label_b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+    fits = (F.col("doc") < F.col("b")) & (F.col("label") != F.col("label_b")) & _fits()
     pairs = left.join(right, (left["value"] == right["value"]) & fits).select(F.col("doc").alias("a"), "b").distinct()
     pairs = settle(_likely(pairs.join(first, ["a", "b"], "left_anti"), signs), "likely", sweep=True)
     more = _confirm(pairs, firsts, k)
