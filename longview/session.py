@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
@@ -27,3 +30,23 @@ def ship(spark: SparkSession) -> None:
         for f in (_ROOT / "longview").rglob("*.py"):
             z.write(f, f.relative_to(_ROOT))
     sc.addPyFile(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; set to a local one only in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="longview-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
+    return f"file://{made}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` in the shared folder and read it back, so that it is computed once and its lineage ends."""
+    path = f"{shared_dir(df.sparkSession)}/longview/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
