@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DateType, NumericType
 
 from ..functions.metrics import ALL, METRICS, rmsse
 from ..plans.spec import ROW
 from .models import Results
-from .relational import null_safe_join
+from .relational import in_series, null_safe_join
 from .residuals import residual
 
 
@@ -122,7 +122,6 @@ def _scale(results: Results, actuals: DataFrame) -> DataFrame:
     """
     spec, groups = results.spec, list(results.spec.groups)
     rows = actuals.dropDuplicates(["__index", *groups])
-    w = Window.partitionBy(*groups, *([] if groups else [F.lit(0)])).orderBy("__index")
     y = F.col(spec.outcome).cast("double")
     training = results.kind == "training"
     if training:
@@ -133,11 +132,11 @@ def _scale(results: Results, actuals: DataFrame) -> DataFrame:
             out = held.groupBy("__index", *groups).agg(F.collect_set("window_number").alias("__held"))
             rows = null_safe_join(rows, out, ["__index", *groups])
     if not training or results.window_length == 0:
-        step = rows.withColumn("__d", y - F.lag(y).over(w))
+        step = in_series(rows, "__index", groups, lambda w: {"__d": y - F.lag(y).over(w)}, ahead=0)
         return step.groupBy(*groups).agg(F.avg(F.col("__d") * F.col("__d")).alias("__scale"))
     none = F.array().cast("array<int>")
     own = F.coalesce("__held", none)
-    step = rows.withColumns({"__d": y - F.lag(y).over(w), "__out": F.array_union(own, F.coalesce(F.lag("__held").over(w), none))}).filter("__d IS NOT NULL")
+    step = in_series(rows, "__index", groups, lambda w: {"__d": y - F.lag(y).over(w), "__out": F.array_union(own, F.coalesce(F.lag("__held").over(w), none))}, ahead=0).filter("__d IS NOT NULL")
     numbers = results.df.agg(F.collect_set("window_number").alias("__all"))
     each = step.crossJoin(F.broadcast(numbers)).select(*groups, "__d", F.explode(F.array_except("__all", "__out")).alias("window_number"))
     return each.groupBy("window_number", *groups).agg(F.avg(F.col("__d") * F.col("__d")).alias("__scale"))

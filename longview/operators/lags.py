@@ -8,10 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.spec import ROW, LaggedFrame, LagSpec, SeriesSpec
-from .relational import first_rows, null_safe_join, number_rows, union_all
+from .relational import BLOCK_ROWS, first_rows, halo_blocks, null_safe_join, union_all
 
-#: Rows of a long series that one task lags; each block also reads the rows before it that its lags need.
-BLOCK_ROWS = 250_000
 Future = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -82,7 +80,7 @@ def _train(df, spec, horizons, lags, method, keep_rows, predict_future, split, b
     groups, ahead = list(spec.groups), max(horizons) if method == "multi_output" else 0
     reach = max((k for per in lags.by_horizon.values() for ks in per.values() for k in ks), default=0)
     if split:
-        base, w = _blocks(df, spec, reach, ahead, block_rows)
+        base, w = halo_blocks(df, [spec.sort], groups, reach, ahead, ROW, block_rows)
         own = [F.col("__own")]
     else:
         w = Window.partitionBy(*groups).orderBy(F.col(spec.sort).asc_nulls_last())
@@ -102,22 +100,6 @@ def _train(df, spec, horizons, lags, method, keep_rows, predict_future, split, b
     return frames
 
 
-def _blocks(df: DataFrame, spec: SeriesSpec, reach: int, ahead: int, block_rows: int):
-    """Rows numbered in their series and dealt to blocks, each with copies of the rows that its lags and leads reach."""
-    size = max(block_rows, reach, ahead, 1)
-    groups = list(spec.groups)
-    rows = df if ROW in df.columns and not groups else number_rows(df, [spec.sort], ROW, groups)
-    at = F.floor((F.col(ROW) - 1) / size)
-    within = (F.col(ROW) - 1) - at * size
-    blocks = [F.struct(at.alias("b"), F.lit(True).alias("own"))]
-    if reach:
-        blocks.append(F.when(within >= size - reach, F.struct((at + 1).alias("b"), F.lit(False).alias("own"))))
-    if ahead:
-        blocks.append(F.when(within < ahead, F.struct((at - 1).alias("b"), F.lit(False).alias("own"))))
-    rows = rows.withColumn("__at", F.explode(F.array_compact(F.array(*blocks)))).withColumns({"__block": F.col("__at.b"), "__own": F.col("__at.own")}).drop("__at")
-    return rows, Window.partitionBy(*groups, "__block").orderBy(ROW)
-
-
 def _tail(df: DataFrame, spec: SeriesSpec, n: int) -> DataFrame:
     """The last ``n`` rows of each series: all that a forecast's lags can reach."""
     return first_rows(df, spec.groups, [F.col(spec.sort).desc_nulls_first()], max(n, 1))

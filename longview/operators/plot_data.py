@@ -11,7 +11,7 @@ from ..functions.metrics import ALL
 from ..plans.spec import LaggedFrame
 from .errors import ErrorTables
 from .models import Results
-from .relational import null_safe_join, union_all
+from .relational import in_series, null_safe_join, union_all
 from .residuals import residual
 from .windows import Windows
 
@@ -68,8 +68,8 @@ def windows_grid(lagged: LaggedFrame, windows: Windows, where: str | None = None
         grid = grid.select(*spec.groups, F.explode(spec.step.grid(F.col("a"), F.col("b"))).alias("index"))
         rows = null_safe_join(grid, rows, ["index", *spec.groups])
     kind = rows.schema["index"].dataType
-    w = Window.partitionBy(*spec.groups, *([] if spec.groups else [F.lit(0)])).orderBy("index")
-    rows = rows.withColumn("is_point", F.lag(spec.outcome).over(w).isNull() & F.lead(spec.outcome).over(w).isNull() & F.col(spec.outcome).isNotNull())
+    alone = lambda w: F.lag(spec.outcome).over(w).isNull() & F.lead(spec.outcome).over(w).isNull() & F.col(spec.outcome).isNotNull()
+    rows = in_series(rows, "index", spec.groups, lambda w: {"is_point": alone(w)})
     number, middle = F.lit(None).cast("int"), F.lit(None).cast(kind)
     for i in reversed(range(len(windows))):
         a, b = windows.rows[i]

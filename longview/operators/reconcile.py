@@ -176,6 +176,6 @@ def reconcile_temporal(forecasts: Sequence[DataFrame], frequencies: Sequence[str
             pdf = pdf[inside]
         return pdf[[f.name for f in schema.fields]]
 
-    done = stacked.groupBy(*(keys or [F.lit(0)])).applyInPandas(one, schema)
+    done = stacked.withColumn("__all", F.lit(0)).groupBy(*(keys or ["__all"])).applyInPandas(one, schema)
     out = {names[j]: done.filter(F.col("__level") == j).select(*keys, F.col(index).cast(forecasts[i].schema[index].dataType).alias(index), outcome) for j, i in enumerate(order)}
     return out if keep_all else out[first_name]

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import settle
 
-#: Rows up to which a counted side of a join is broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows of a long series that one task gets; each block also has the rows around it that lags and leads reach.
+BLOCK_ROWS = 250_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", broadcast: bool = False) -> DataFrame:
@@ -58,3 +58,30 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str, groups: Sequence
         first = out.groupBy(*groups).agg((F.min(name) - 1).alias("__first"))
         out = null_safe_join(out, first, list(groups), "inner").withColumn(name, F.col(name) - F.col("__first")).drop("__first")
     return out
+
+
+def halo_blocks(df: DataFrame, order: Sequence[str], groups: Sequence[str], reach: int, ahead: int, row: str, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, Window]:
+    """Deal rows to blocks of their series so that lags up to ``reach`` and leads up to ``ahead`` stay inside one.
+
+    Gives the rows, numbered in ``row`` (used as it is if a single series has it), and the window to use.
+    Rows repeated for a neighbouring block have false in ``__own`` and are to be left out afterwards.
+    """
+    size = max(block_rows, reach, ahead, 1)
+    rows = df if row in df.columns and not groups else number_rows(df, order, row, groups)
+    at = F.floor((F.col(row) - 1) / size)
+    within = (F.col(row) - 1) - at * size
+    blocks = [F.struct(at.alias("b"), F.lit(True).alias("own"))]
+    if reach:
+        blocks.append(F.when(within >= size - reach, F.struct((at + 1).alias("b"), F.lit(False).alias("own"))))
+    if ahead:
+        blocks.append(F.when(within < ahead, F.struct((at - 1).alias("b"), F.lit(False).alias("own"))))
+    rows = rows.withColumn("__at", F.explode(F.array_compact(F.array(*blocks)))).withColumns({"__block": F.col("__at.b"), "__own": F.col("__at.own")}).drop("__at")
+    return rows, Window.partitionBy(*groups, "__block").orderBy(row)
+
+
+def in_series(df: DataFrame, order: str, groups: Sequence[str], columns: Callable[[Window], dict[str, Column]], reach: int = 1, ahead: int = 1) -> DataFrame:
+    """Add window columns over each series in its order; a series that is the whole table is dealt to blocks."""
+    if groups:
+        return df.withColumns(columns(Window.partitionBy(*groups).orderBy(order)))
+    rows, w = halo_blocks(df, [order], groups, reach, ahead, "__row")
+    return rows.withColumns(columns(w)).filter("__own").drop("__own", "__block", "__row")

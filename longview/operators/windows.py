@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DataType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DataType, DateType, IntegerType, LongType, StructField, StructType, TimestampType
 
 from ..plans.frequency import Frequency
 from ..plans.spec import LaggedFrame
@@ -40,7 +41,8 @@ class Windows:
 
     def table(self, spark: SparkSession, kind: DataType | None = None) -> DataFrame:
         """window_number from 1, start, stop, window_length (null if the window was given as it is), is_custom."""
-        kind = kind or LongType()
+        first = self.rows[0][0] if self.rows else 0
+        kind = kind or (TimestampType() if isinstance(first, dt.datetime) else DateType() if isinstance(first, dt.date) else LongType())
         schema = StructType([StructField("window_number", IntegerType()), StructField("start", kind), StructField("stop", kind), StructField("window_length", IntegerType())])
         df = spark.createDataFrame([(i + 1, a, b, self.length) for i, (a, b) in enumerate(self.rows)], schema)
         return df.withColumn("is_custom", F.col("window_length").isNull())
@@ -66,15 +68,13 @@ def create_windows(
         raise ValueError("window_length has to be a whole number from 0")
     if not isinstance(skip, int) or skip < 0:
         raise ValueError("skip has to be a whole number from 0")
-    if (start is None) != (stop is None) and (isinstance(start, (list, tuple)) or isinstance(stop, (list, tuple))):
+    starts, stops = (list(x) if isinstance(x, (list, tuple)) else [x] for x in (start, stop))
+    if len(starts) != len(stops) or not starts:
         raise ValueError("give as many starts as stops")
     first, last = lagged.bounds()
     full = (first, last)
-    many = isinstance(start, (list, tuple)) and len(start) > 1
-    start, stop = (x[0] if isinstance(x, (list, tuple)) and len(x) == 1 else x for x in (start, stop))
-    if many:
-        if len(start) != len(stop):
-            raise ValueError("give as many starts as stops")
+    start, stop = (starts, stops) if len(starts) > 1 else (starts[0], stops[0])
+    if len(starts) > 1:
         if any(a > b for a, b in zip(start, stop)):
             raise ValueError("a window's start is after its stop")
         return Windows(tuple(zip(start, stop)), None, skip, lagged.index, full)
