@@ -10,8 +10,9 @@ Documents are linked where 100 * intersection >= 80 * union of their sets of wor
    value, so the inverted lists of retained values meet every link.
 3. In each list every document is paired with the smallest and with the hub, that with the largest share of
    shared values; each keeps its best partner of either kind. These pairs are confirmed on full sets, and
-   linked documents get one label. Then only documents of one list with different labels are paired, if
-   their sizes, what they can share and their signatures allow a link. A retained value of no other document
+   linked documents get one label. Then only documents of one list with different labels are paired: in short
+   lists if their sizes, what they can share and their signatures allow a link, in long ones if by their edits
+   of the list's hub they may be alike (:func:`_off_hub`). A retained value of no other document
    is shared with none, so the others bound every intersection. So a group of thousands of near copies is joined by as many
    pairs, not by their square, and no link between components is lost.
 4. A signature has a bit of the smallest hash in each of 128 ranges; of a linked pair at most ``BITS``
@@ -43,6 +44,8 @@ SKETCH = 48
 FLOOR = 0.25
 BITS = 42
 COUNTERS = 1 << 20
+#: Lists up to this size pair their documents directly, longer ones by their edits of a hub; both lose no link.
+SHORT = 16
 SLICES = 16
 FLUSH = 2_000_000
 _SHIFT = np.uint64(44)
@@ -195,8 +198,9 @@ def _sizes_allow(m: np.ndarray, n: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) of document ids whose full sets are alike enough."""
+def _with_sets(pairs: DataFrame, docs: DataFrame, k: int, compare, kind: str, name: str) -> DataFrame:
+    """What ``compare`` makes of groups of pairs (a, b) of document ids: it gets the sets of each a, and
+    the rows (a, b, set of b)."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
     needed = settle(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "needed")
     some = docs.join(F.broadcast(needed) if is_small(needed, BROADCAST_KEYS) else needed, "doc_id", "left_semi")
@@ -214,26 +218,87 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     group = F.pmod(F.xxhash64("a", "salt"), F.lit(buckets)).cast("int").alias("g")
     left = salted.select("a", "salt").distinct().join(full, F.col("a") == F.col("doc_id")).select(group, "a", "data")
     right = salted.join(full, F.col("b") == F.col("doc_id")).select(group.alias("h"), F.col("a").alias("of"), F.col("b").alias("with"), F.col("data").alias("other"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own: dict[int, list[np.ndarray]] = {}
-        for a, x in dict.fromkeys(zip(left["a"].to_pylist(), left["data"].to_pylist())):
+        for a, x in sorted(dict.fromkeys(zip(left["a"].to_pylist(), left["data"].to_pylist()))):
             own.setdefault(a, []).append(np.frombuffer(x, np.uint64))
+        return compare(own, zip(right["of"].to_pylist(), right["with"].to_pylist(), right["other"].to_pylist()))
+
+    found = settle(left.groupBy("g").cogroup(right.groupBy("h")).applyInArrow(run, kind), name, sweep=True)
+    drop(docs.sparkSession, full)
+    return found
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate((x, y))
+    both.sort()
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return same > 0 and 100 * same >= PERCENT * (len(both) - same)
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) of document ids whose full sets are alike enough."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(own, rows) -> pa.Table:
         linked = set()
-        for a, b, y in zip(right["of"].to_pylist(), right["with"].to_pylist(), right["other"].to_pylist()):
+        for a, b, y in rows:
             y = np.frombuffer(y, np.uint64)
-            for x in own.get(a, ()):
-                both = np.concatenate((x, y))
-                both.sort()
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                if same and 100 * same >= PERCENT * (len(both) - same):
-                    linked.add((a, b))
+            if any(_alike(x, y) for x in own.get(a, ())):
+                linked.add((a, b))
         return pa.Table.from_pylist([{"a": a, "b": b} for a, b in linked], schema=schema)
 
-    links = settle(left.groupBy("g").cogroup(right.groupBy("h")).applyInArrow(compare, "a long, b long"), "links", sweep=True)
-    drop(docs.sparkSession, full)
-    return links
+    return _with_sets(pairs, docs, k, compare, "a long, b long", "links")
+
+
+def _edits(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """How each document b differs from its hub a: n (set size), gone and more (numbers of the hub's
+    shingles that it lacks, and of its own), linked (alike enough), loose (not alike the hub's first set),
+    extra (its own) and few (as many of the lacked ones, in order, as :func:`_off_hub` needs)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), *((c, pa.int64()) for c in ("n", "gone", "more")), ("linked", pa.bool_()), ("loose", pa.bool_()), ("extra", pa.list_(pa.int64())), ("few", pa.list_(pa.int64()))])
+
+    def compare(own, rows) -> pa.Table:
+        out = []
+        for a, b, y in rows:
+            y = np.frombuffer(y, np.uint64)
+            sets = own.get(a, ())
+            if not sets:
+                continue
+            lacked, extra = np.setdiff1d(sets[0], y, True), np.setdiff1d(y, sets[0], True)
+            n, gone, more = len(y), len(lacked), len(extra)
+            loose = 9 * (gone + more) > n + len(sets[0])
+            few = n // 4 + 1 - more if loose else (4 * (gone - more)) // 9 + 1
+            out.append({"a": a, "b": b, "n": n, "gone": gone, "more": more, "linked": any(_alike(x, y) for x in sets), "loose": loose, "extra": extra.view(np.int64), "few": lacked[: max(0, few)].view(np.int64)})
+        return pa.Table.from_pylist(out, schema=schema)
+
+    return _with_sets(pairs, docs, k, compare, "a long, b long, n long, gone long, more long, linked boolean, loose boolean, extra array<long>, few array<long>", "edits")
+
+
+def _off_hub(edits: DataFrame) -> DataFrame:
+    """The pairs (a, b) of documents with one hub that may be linked though one of them is not alike the hub.
+
+    Let D be a document's edits, what it lacks of the hub and what it has besides. Two sets of sizes m and n
+    are alike if their edits differ by (m + n) / 9 at most (for 80 percent), so they share at least
+    (|D| + |D'| - (m + n) / 9) / 2 edits, which is over 0. Either they share something that the hub has not,
+    or their share of the lacked shingles alone reaches that number, and then the first few lacked ones of
+    both meet (a prefix filter). Edits of single documents are shared with none, which bounds the rest.
+    ``edits`` has ``label``, the component of b so far.
+    """
+    own = edits.select("a", "b", "label", F.explode("extra").alias("edit"))
+    shared = settle(own.groupBy("a", "edit").agg(F.count("*").alias("c"), (F.min("label") < F.max("label")).alias("mixed")).where("c > 1").drop("c"), "shared")
+    common = own.join(shared, ["a", "edit"])
+    both = common.groupBy("a", "b").agg(F.count("*").alias("common"))
+    info = settle(edits.select("a", "b", "n", "gone", "more", "loose", "label").join(both, ["a", "b"], "left").fillna(0, ["common"]), "info")
+    keys = common.where("mixed").select("a", "b", "edit", F.lit(True).alias("own")).unionByName(edits.select("a", "b", F.explode("few").alias("edit"), F.lit(False).alias("own")))
+    x = settle(keys.join(info, ["a", "b"]), "keys", sweep=True)
+    y = x.select(*[F.col(c).alias(f"{c}_2") for c in ("a", "edit", "own", "b", "n", "gone", "more", "loose", "label", "common")])
+    needed = 9 * (F.col("gone") + F.col("more") + F.col("gone_2") + F.col("more_2")) - (F.col("n") + F.col("n_2"))
+    reached = F.least("gone", "gone_2") + F.when(F.col("own"), F.least("common", "common_2")).otherwise(0)
+    may = (F.col("b") < F.col("b_2")) & (F.col("label") != F.col("label_2")) & (F.col("loose") | F.col("loose_2")) & (needed <= 18 * reached)
+    may = may & (100 * F.least("n", "n_2") >= PERCENT * F.greatest("n", "n_2"))
+    same = [F.col(c) == F.col(f"{c}_2") for c in ("a", "edit", "own")]
+    return x.join(y, [*same, may]).select(F.col("b").alias("a"), F.col("b_2").alias("b"))
 
 
 def _fits() -> Column:
@@ -294,12 +359,18 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     entries = settle(entries, "labelled", sweep=True)
     mixed = entries.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
     left = settle(entries.join(mixed, "value"), "mixed", sweep=True)
-    right = left.select("value", F.col("doc").alias("b"), F.col("n").alias("hub_n"), F.col("r").alias("hub_r"), F.col("label").alias("label_b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+    sized = settle(left.groupBy("value").agg(F.count("*").alias("m"), F.max_by("doc", F.struct("share", -F.col("doc"))).alias("hub")), "sized")
+    short = left.join(sized.where(F.col("m") <= SHORT).select("value"), "value")
+    right = short.select("value", F.col("doc").alias("b"), F.col("n").alias("hub_n"), F.col("r").alias("hub_r"), F.col("label").alias("label_b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
     fits = (F.col("doc") < F.col("b")) & (F.col("label") != F.col("label_b")) & _fits()
-    pairs = left.join(right, (left["value"] == right["value"]) & fits).select(F.col("doc").alias("a"), "b").distinct()
+    pairs = short.join(right, (short["value"] == right["value"]) & fits).select(F.col("doc").alias("a"), "b").distinct()
+    spokes = left.join(sized.where(F.col("m") > SHORT), "value").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"), "label").distinct()
+    spokes = settle(spokes, "spokes", sweep=True)
+    edits = settle(_edits(spokes.select("a", "b"), firsts, k).join(spokes, ["a", "b"]), "edits", sweep=True)
+    pairs = pairs.unionByName(_off_hub(edits)).distinct()
     pairs = settle(_likely(pairs.join(first, ["a", "b"], "left_anti"), signs), "likely", sweep=True)
     more = _confirm(pairs, firsts, k)
-    labels = components(links.unionAll(more))
+    labels = components(links.unionAll(more).unionAll(edits.where("linked").select("a", "b")))
     labels = labels.select(F.col("node").alias("first_id"), "label")
     out = lookup(rows, labels, ["first_id"], "doc_id")
     part = F.coalesce("label", "first_id")

@@ -82,6 +82,48 @@ def test_planted_cases(spark, seed):
     assert len(nulls) == 2 and all(r.kept and r.component_id is None for r in nulls)
 
 
+def family(seed):
+    """Texts that differ from one base by words changed, cut off or put in, near the limit of 80 percent and beyond."""
+    r = random.Random(seed)
+    base, rows = [f"w{r.randrange(300)}" for _ in range(60)], []
+    for _ in range(110):
+        x = base[:]
+        for _ in range(r.randint(0, 5)):
+            x[r.randrange(len(x))] = f"e{r.randrange(r.choice((3, 10**6)))}"
+        if r.random() < 0.4:
+            x = x[r.randint(0, 12) : len(x) - r.randint(0, 12)]
+        if r.random() < 0.2:
+            at = r.randrange(len(x))
+            x[at:at] = [f"i{r.randrange(4)}" for _ in range(r.randint(1, 6))]
+        rows.append(x)
+    return [(i, " ".join(x)) for i, x in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_long_lists_lose_no_link(spark, monkeypatch, seed):
+    monkeypatch.setattr(minhash, "SHORT", 2)
+    rows = family(seed)
+    check(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4), rows, 4)
+
+
+def exact_pairs(rows, k):
+    """The links between texts of ``rows`` that :func:`minhash._off_hub` has to find: not both alike the first."""
+    s = sets([t for _, t in rows], k)
+    alike = lambda a, b: (x := len(a & b)) > 0 and 100 * x >= 80 * len(a | b)
+    loose = [not alike(s[0], x) for x in s]
+    return {(i, j) for j in range(1, len(s)) for i in range(1, j) if (loose[i] or loose[j]) and s[i] != s[0] != s[j] and alike(s[i], s[j])}
+
+
+def test_pairs_by_edits_of_a_hub(spark):
+    rows = family(9)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spokes = spark.createDataFrame([(0, i, i) for i in range(1, len(rows))], "a long, b long, label long")
+    edits = minhash._edits(spokes.select("a", "b"), df, 4).join(spokes, ["a", "b"])
+    got = {(r.a, r.b) for r in minhash._off_hub(edits).collect()}
+    want = exact_pairs(rows, 4)
+    assert want and want <= got
+
+
 def test_shuffled_joins_and_small_counts(spark, monkeypatch):
     rows = planted(3)
     monkeypatch.setattr(minhash, "is_small", lambda *_: False)
