@@ -46,15 +46,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/longview/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "table", sweep: bool = False) -> DataFrame:
+#: Spark deletes a query's shuffle files when it has ended; stages of a running one can still be repeated.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: it is computed once and its
-    lineage ends at files that outlive any executor. With ``sweep`` the driver is asked to collect its
-    garbage, on which Spark deletes the shuffle files that only the finished job needed."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    if sweep:
-        df.sparkSession._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lineage ends at files that outlive any executor. The shuffle files that this took are deleted."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, df: DataFrame) -> None:

@@ -98,7 +98,7 @@ def counts(train: DataFrame, buckets: int) -> DataFrame:
         h, c = _summed(_cat(table["hashes"], np.uint64), _cat(table["counts"], np.int64))
         return pa.Table.from_pylist([{"bucket": table["bucket"][0].as_py(), "hashes": h.tobytes(), "counts": c.tobytes(), "n": int(c.sum()), "v": len(h)}], schema=schema)
 
-    return settle(train.select("text").mapInArrow(run, _COUNTS).groupBy("bucket").applyInArrow(add, _COUNTS), "counts", sweep=True)
+    return settle(train.select("text").mapInArrow(run, _COUNTS).groupBy("bucket").applyInArrow(add, _COUNTS), "counts")
 
 
 class States:
@@ -263,7 +263,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     # A row's number only has to hold within this one job, and a repeated task gives the same.
     events = docs.select(F.monotonically_increasing_id().alias("uid"), "text", "held_out", "doc_id").mapInArrow(traverse, _EVENTS)
-    sums = settle(events.groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(resolve, _SUMS), "sums", sweep=True)
+    sums = settle(events.groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(resolve, _SUMS), "sums")
     out = sums.groupBy("part").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 

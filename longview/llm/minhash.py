@@ -191,7 +191,7 @@ def _lists(docs: DataFrame, k: int, heat: np.ndarray) -> DataFrame:
         return pa.Table.from_arrays([pa.array(c) for c in cols], schema=out_schema)
 
     packed = docs.select("doc_id", "text").mapInArrow(retained, "bucket int, value binary, doc binary, n binary")
-    return settle(packed.groupBy("bucket").applyInArrow(meet, "kind byte, a long, b long, n long"), "lists", sweep=True)
+    return settle(packed.groupBy("bucket").applyInArrow(meet, "kind byte, a long, b long, n long"), "lists")
 
 
 def _sizes_allow(m: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -212,7 +212,7 @@ def _with_sets(pairs: DataFrame, docs: DataFrame, k: int, compare, kind: str, na
             data = [x.tobytes() for x in np.split(s, stop[:-1])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
 
-    full = settle(some.select("doc_id", "text").mapInArrow(sets, "doc_id long, data binary"), "sets", sweep=True)
+    full = settle(some.select("doc_id", "text").mapInArrow(sets, "doc_id long, data binary"), "sets")
     # A document with very many partners meets them in many groups.
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(1024)).alias("salt"))
     group = F.pmod(F.xxhash64("a", "salt"), F.lit(buckets)).cast("int").alias("g")
@@ -225,7 +225,7 @@ def _with_sets(pairs: DataFrame, docs: DataFrame, k: int, compare, kind: str, na
             own.setdefault(a, []).append(np.frombuffer(x, np.uint64))
         return compare(own, zip(right["of"].to_pylist(), right["with"].to_pylist(), right["other"].to_pylist()))
 
-    found = settle(left.groupBy("g").cogroup(right.groupBy("h")).applyInArrow(run, kind), name, sweep=True)
+    found = settle(left.groupBy("g").cogroup(right.groupBy("h")).applyInArrow(run, kind), name)
     drop(docs.sparkSession, full)
     return found
 
@@ -291,7 +291,7 @@ def _off_hub(edits: DataFrame) -> DataFrame:
     both = common.groupBy("a", "b").agg(F.count("*").alias("common"))
     info = settle(edits.select("a", "b", "n", "gone", "more", "loose", "label").join(both, ["a", "b"], "left").fillna(0, ["common"]), "info")
     keys = common.where("mixed").select("a", "b", "edit", F.lit(True).alias("own")).unionByName(edits.select("a", "b", F.explode("few").alias("edit"), F.lit(False).alias("own")))
-    x = settle(keys.join(info, ["a", "b"]), "keys", sweep=True)
+    x = settle(keys.join(info, ["a", "b"]), "keys")
     y = x.select(*[F.col(c).alias(f"{c}_2") for c in ("a", "edit", "own", "b", "n", "gone", "more", "loose", "label", "common")])
     needed = 9 * (F.col("gone") + F.col("more") + F.col("gone_2") + F.col("more_2")) - (F.col("n") + F.col("n_2"))
     reached = F.least("gone", "gone_2") + F.when(F.col("own"), F.least("common", "common_2")).otherwise(0)
@@ -345,30 +345,30 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     live = entries.groupBy("doc").count()
     info = signs.where("kind = 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct("n", "s1", "s2"), "n").alias("i")).select("doc_id", "i.*")
     info = settle(live.join(info, F.col("doc") == F.col("doc_id")).select("doc", "n", "s1", "s2", (F.floor((PERCENT * F.col("n") + 99) / 100) - 1 + F.col("count")).alias("r"), (F.col("count") / F.col("n")).alias("share")), "info")
-    entries = settle(entries.join(info, "doc"), "entries", sweep=True)
+    entries = settle(entries.join(info, "doc"), "entries")
     hub = entries.groupBy("value").agg(F.max_by(F.struct(F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("r").alias("hub_r"), F.col("s1").alias("t1"), F.col("s2").alias("t2")), F.struct("share", -F.col("doc"))).alias("h")).select("value", "h.*")
     near = entries.join(hub, "value").where((F.col("hub") != F.col("doc")) & _fits())
     near = near.groupBy(F.col("hub").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("n"))
     best = [x.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")) for x in (stars, near)]
     first = best[0].unionByName(best[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = settle(first, "stars", sweep=True)
+    first = settle(first, "stars")
     links = _confirm(first, firsts, k)
     labels = components(links)
 
     entries = lookup(entries, labels.withColumnRenamed("node", "doc"), ["doc"], "value").withColumn("label", F.coalesce("label", "doc"))
-    entries = settle(entries, "labelled", sweep=True)
+    entries = settle(entries, "labelled")
     mixed = entries.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
-    left = settle(entries.join(mixed, "value"), "mixed", sweep=True)
+    left = settle(entries.join(mixed, "value"), "mixed")
     sized = settle(left.groupBy("value").agg(F.count("*").alias("m"), F.max_by("doc", F.struct("share", -F.col("doc"))).alias("hub")), "sized")
     short = left.join(sized.where(F.col("m") <= SHORT).select("value"), "value")
     right = short.select("value", F.col("doc").alias("b"), F.col("n").alias("hub_n"), F.col("r").alias("hub_r"), F.col("label").alias("label_b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
     fits = (F.col("doc") < F.col("b")) & (F.col("label") != F.col("label_b")) & _fits()
     pairs = short.join(right, (short["value"] == right["value"]) & fits).select(F.col("doc").alias("a"), "b").distinct()
     spokes = left.join(sized.where(F.col("m") > SHORT), "value").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"), "label").distinct()
-    spokes = settle(spokes, "spokes", sweep=True)
-    edits = settle(_edits(spokes.select("a", "b"), firsts, k).join(spokes, ["a", "b"]), "edits", sweep=True)
+    spokes = settle(spokes, "spokes")
+    edits = settle(_edits(spokes.select("a", "b"), firsts, k).join(spokes, ["a", "b"]), "edits")
     pairs = pairs.unionByName(_off_hub(edits)).distinct()
-    pairs = settle(_likely(pairs.join(first, ["a", "b"], "left_anti"), signs), "likely", sweep=True)
+    pairs = settle(_likely(pairs.join(first, ["a", "b"], "left_anti"), signs), "likely")
     more = _confirm(pairs, firsts, k)
     labels = components(links.unionAll(more).unionAll(edits.where("linked").select("a", "b")))
     labels = labels.select(F.col("node").alias("first_id"), "label")
