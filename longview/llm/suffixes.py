@@ -94,17 +94,16 @@ def kasai(text: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def _words(text: np.ndarray, at: np.ndarray, skip: int, n: int) -> np.ndarray:
-    """The ``n`` <= 8 bytes of each suffix that follow the first ``skip``, as a big-endian number."""
-    out = np.zeros(len(at), dtype=np.uint64)
-    for j in range(n):
-        out = (out << np.uint64(8)) | text[at + (skip + j)]
-    return out
+    """The ``n`` <= 8 bytes of each suffix that follow the first ``skip``, as a big-endian number; ``text`` ends in 8 bytes of no suffix."""
+    every = np.ndarray(len(text) - 7, dtype=">u8", buffer=text, strides=(1,))
+    return every[at + skip].astype(np.uint64) >> np.uint64(8 * (8 - n))
 
 
 def sparse_suffix_array(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes that start at ``at``, which all have ``depth`` bytes, in order of these, and where
     a common prefix with the one before is shorter than ``depth``."""
     n = len(at)
+    text = np.concatenate((text, np.zeros(8, np.uint8)))
     order = at[np.argsort(key := _words(text, at, 0, min(8, depth)), kind="stable")]
     key.sort()
     new = np.append(True, key[1:] != key[:-1])[:n]
@@ -250,6 +249,17 @@ def _anchor_rows(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, buckets: int)
     return rows
 
 
+def _leaders(data: bytes, start: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which segments go on: of those with equal bytes the ones of the smallest owner. All windows of the others are marked."""
+    least: dict[bytes, int] = {}
+    texts = [data[a : a + n] for a, n in zip(start.tolist(), size.tolist())]
+    owners = owner.tolist()
+    for t, o in zip(texts, owners):
+        if least.setdefault(t, o) > o:
+            least[t] = o
+    return np.fromiter((least[t] == o for t, o in zip(texts, owners)), bool, len(texts))
+
+
 def _marks(segments, ids, doc) -> tuple[np.ndarray, np.ndarray]:
     """(segment, offset) of each window whose bytes also stand in a segment of a smaller document.
 
@@ -381,9 +391,12 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
         out = [*_by_part(*_unpack(known, np.int64, np.int64), parts)]
         ids, doc, at, n = _unpack(rows, np.int64, np.int64)
         if len(doc):
-            text = np.frombuffer(b"".join(r["data"] for r in rows), np.uint8)
             size = n + LENGTH - 1
-            seg, inside = _marks((text, np.cumsum(size) - size, n), ids, doc)
+            data = b"".join(r["data"] for r in rows)
+            go = _leaders(data, np.cumsum(size) - size, size, ids[doc, 0])
+            out += _by_part(ids, doc[~go], at[~go], n[~go], parts)
+            start, doc, at, n = (np.cumsum(size) - size)[go], doc[go], at[go], n[go]
+            seg, inside = _marks((np.frombuffer(data, np.uint8), start, n), ids, doc)
             seg, inside, count = _intervals(seg, inside)
             out += _by_part(ids, doc[seg], at[seg] + inside, count, parts)
         return pa.Table.from_pylist(out, schema=_HITS)
