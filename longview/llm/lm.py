@@ -9,9 +9,13 @@ each h. A rarer word then costs its share of the rare words. There are at most `
 whatever the corpus, so that their table can be broadcast; counts and arcs cover the whole corpus.
 
 1. Words of the training rows are counted, combined by block before the shuffle.
-2. One left-to-right pass over all rows carries the state and names each arc taken. Arcs and rare words go,
-   with the number of their row, to the task of their hash, which knows all counts of theirs and sums the
-   logarithms for each row; sums are then added by row. Blocks send an arc's rows packed, a few bytes each.
+2. Arcs that are hot (about one in ``HOT`` tokens or more take them, so that there are ``HOT`` at most) are
+   found from each task's most frequent ones, and then counted exactly in a pass of their own. Which arcs
+   count as hot changes where their weight is worked out, not the weight.
+3. One left-to-right pass over all rows carries the state and names each arc taken. Hot arcs get their weight
+   there. The others and rare words go, with the number of their row, to the task of their hash, which knows
+   all counts of theirs and sums the logarithms for each row; sums are then added by row. So no task gets a
+   large share of the arcs. Blocks send an arc's rows packed, a few bytes each.
 
 Defined cases: null and empty texts have one token, the end; a null id counts as empty text for the split;
 repeated rows are scored alike; without training rows every token is unknown; an empty table gives an
@@ -32,6 +36,7 @@ from .common import settle, small_batches
 FREQUENT = 1 << 18
 SMOOTHING = 100.0
 BLOCK = 1_000_000
+HOT = 8192
 END = np.uint64(0x5D1F0C2B9A7E4413)
 
 _COUNTS = "bucket int, hashes binary, counts binary, n long, v long"
@@ -127,11 +132,63 @@ class States:
         return np.log10((c + SMOOTHING * self.prob[state]) / (self.count[history] + SMOOTHING))
 
 
+def _arcs(s: States, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number, state, arc) of the tokens of each text, from left to right."""
+    h, d = tokens(texts)
+    state = s.of(h)
+    start = np.append(True, d[1:] != d[:-1])[: len(d)]
+    history = np.where(start, s.begin, np.append(0, state[:-1])[: len(d)])
+    return h, d, state, history.astype(np.int64) * len(s.count) + state
+
+
+def hot_arcs(train: DataFrame, states, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most HOT arcs, in order, that have a large share of the training tokens, and their exact counts."""
+    spark = train.sparkSession
+    least = max(1, n // HOT)
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arcs, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            a, c = np.unique(_arcs(states.value, arrays.as_bytes(b.column(0)))[3], return_counts=True)
+            arcs, count = _summed(np.concatenate((arcs, a)), np.concatenate((count, c)))
+            if len(arcs) > BLOCK:  # the rarest are let go
+                top = np.sort(np.argpartition(count, -BLOCK // 2)[-BLOCK // 2 :])
+                arcs, count = arcs[top], count[top]
+        top = np.argsort(count)[-2 * HOT :]
+        yield pa.RecordBatch.from_arrays([pa.array(arcs[top]), pa.array(count[top])], ["arc", "n"])
+
+    found = train.select("text").mapInArrow(frequent, "arc long, n long").groupBy("arc").agg(F.sum("n").alias("n"))
+    rows = found.where(F.col("n") >= least).select("arc").collect()  # HOT at most: their counts are part of n
+    arcs = np.sort(np.array([r[0] for r in rows], dtype=np.int64))
+    shared = spark.sparkContext.broadcast(arcs)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(len(shared.value), np.int64)
+        for b in batches:
+            at, hot = _among(shared.value, _arcs(states.value, arrays.as_bytes(b.column(0)))[3])
+            count += np.bincount(at[hot], minlength=len(count))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(count))), pa.array(count)], ["at", "n"])
+
+    count = np.zeros(len(arcs), np.int64)
+    if len(arcs):
+        for r in train.select("text").mapInArrow(exact, "at long, n long").groupBy("at").agg(F.sum("n")).collect():  # a row for each hot arc
+            count[r[0]] = r[1]
+    return arcs, count
+
+
+def _among(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``x`` would be in the sorted ``table``, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     docs = docs.select(F.col("doc_id").cast("long"), "text", split.alias("held_out"))
     vocabulary = counts(docs.where("NOT held_out"), buckets)
@@ -151,8 +208,13 @@ def score(docs: DataFrame) -> DataFrame:
     c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["c"], np.int64) for r in found)])
     states = spark.sparkContext.broadcast(States(h, c, n, v, int(c[h == END].sum())))
 
+    arcs, seen_by_arc = hot_arcs(docs.where("NOT held_out"), states, n)
+    s0 = states.value
+    weights = s0.arc(seen_by_arc, arcs // len(s0.count), arcs % len(s0.count)) if len(arcs) else np.zeros(0)
+    hot = spark.sparkContext.broadcast((arcs, weights))
+
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = states.value
+        s, (hot_arc, hot_weight) = states.value, hot.value
         held: list[tuple] = []
         size = 0
 
@@ -176,20 +238,18 @@ def score(docs: DataFrame) -> DataFrame:
         base_row = 0
         with np.errstate(over="ignore"):
             for b in batches:
-                h, d = tokens(arrays.as_bytes(b.column(1)))
-                state = s.of(h)
-                start = np.append(True, d[1:] != d[:-1])[: len(d)]
-                history = np.where(start, s.begin, np.append(0, state[:-1])[: len(d)])
-                key = history.astype(np.int64) * (len(s.count)) + state
+                h, d, state, key = _arcs(s, arrays.as_bytes(b.column(1)))
+                at, warm = _among(hot_arc, key)
+                known_weight = np.bincount(d[warm], hot_weight[at[warm]], minlength=b.num_rows)
                 rare = state == s.rare
                 known = np.bincount(d[~rare], minlength=b.num_rows)
                 base = np.bincount(d[~rare], s.unigram(s.count[state[~rare]]), minlength=b.num_rows)
                 ids = b.column(3)
-                made = np.stack([ids.fill_null(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) + 2 * ids.is_null().to_numpy(zero_copy_only=False), np.bincount(d, minlength=b.num_rows), known, base.view(np.int64)], 1).astype(np.int64)
-                made = np.ascontiguousarray(made).view("V40").ravel()
+                made = np.stack([ids.fill_null(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) + 2 * ids.is_null().to_numpy(zero_copy_only=False), np.bincount(d, minlength=b.num_rows), known, base.view(np.int64), known_weight.view(np.int64)], 1).astype(np.int64)
+                made = np.ascontiguousarray(made).view("V48").ravel()
                 # A row's number and training bit.
                 uid = b.column(0).to_numpy().astype(np.int64) << 1 | (~b.column(2).to_numpy(zero_copy_only=False).astype(bool))
-                held.append((d + base_row, key, h[rare], d[rare] + base_row, made, uid))
+                held.append((d[~warm] + base_row, key[~warm], h[rare], d[rare] + base_row, made, uid))
                 base_row += b.num_rows
                 size += len(h)
                 if size >= BLOCK:
@@ -237,7 +297,7 @@ def score(docs: DataFrame) -> DataFrame:
             for p, at in _split(uid % parts):
                 rows.append({"part": p, "rows": uid[at].tobytes(), "known": known[at].astype(np.float32).tobytes(), "base": base[at].tobytes(), "score": sc[at].tobytes()})
         uid = rows_of(tables[2])[0]
-        made = _cat(tables[2]["a"], np.int64).reshape(-1, 5)
+        made = _cat(tables[2]["a"], np.int64).reshape(-1, 6)
         for p, at in _split((uid >> 1) % parts):  # the numbers of the rows themselves: "base" has them, the others are empty
             rows.append({"part": p, "rows": (uid[at] >> 1).tobytes(), "known": b"", "base": made[at].tobytes(), "score": b""})
         return pa.Table.from_pylist(rows, schema=_SUM_SCHEMA)
@@ -248,10 +308,10 @@ def score(docs: DataFrame) -> DataFrame:
         rows = table.to_pylist()
         own = [r for r in rows if not r["score"]]
         uid = np.concatenate([np.frombuffer(r["rows"], np.int64) for r in own])
-        made = np.concatenate([np.frombuffer(r["base"], np.int64).reshape(-1, 5) for r in own])
+        made = np.concatenate([np.frombuffer(r["base"], np.int64).reshape(-1, 6) for r in own])
         order = np.argsort(uid)
         uid, made = uid[order], made[order]
-        known, base, sc = made[:, 3].astype(np.float64), np.ascontiguousarray(made[:, 4]).view(np.float64).copy(), np.zeros(len(uid))
+        known, base, sc = made[:, 3].astype(np.float64), np.ascontiguousarray(made[:, 4]).view(np.float64).copy(), np.ascontiguousarray(made[:, 5]).view(np.float64).copy()
         for r in rows:
             if r["score"]:
                 at = np.searchsorted(uid, np.frombuffer(r["rows"], np.int64))

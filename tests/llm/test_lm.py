@@ -65,9 +65,10 @@ def test_query_matches_brute_force_and_beats_base(spark):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-@pytest.mark.parametrize("frequent", [4, 1 << 18])
-def test_cases(spark, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "hot"), [(4, 2), (1 << 18, 30), (1 << 18, 8192)])
+def test_cases(spark, monkeypatch, frequent, hot):
     monkeypatch.setattr(lm, "FREQUENT", frequent)
+    monkeypatch.setattr(lm, "HOT", hot)
     rows = [(i, "a b A c " * (i % 4) + f"x{i}") for i in range(40)] + [(None, "a b"), (None, None), (5, ""), (5, ""), (6, "\n é \t"), (7, "a b " * 30_000)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_tokens int")
     check(lm.score(df).collect(), rows)
