@@ -176,8 +176,8 @@ def _part(part, of):
 
 _PACK = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("ids", pa.binary()), ("of", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("data", pa.binary())])
 _PACKED = "bucket int, kind byte, ids binary, of binary, a binary, b binary, data binary"
-_HITS = pa.schema([("part", pa.int32()), ("keys", pa.list_(pa.int64())), ("ids", pa.binary()), ("of", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
-_HIT = "part int, keys array<long>, ids binary, of binary, a binary, b binary"
+_HITS = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("of", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+_HIT = "part int, ids binary, of binary, a binary, b binary"
 
 
 def _split(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -201,8 +201,7 @@ def _by_part(ids: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, par
     """Rows about documents, packed by the partition that their documents go to."""
     for p, at in _split((ids[doc, -1] % parts) if len(doc) else np.zeros(0, np.int64)):
         at, row = _packed(ids, doc, at)
-        keys = np.frombuffer(row["ids"], np.int64).reshape(-1, ids.shape[1])[:, -1].tolist()
-        yield {"part": p, "keys": keys, **row, "a": a[at].tobytes(), "b": b[at].tobytes()}
+        yield {"part": p, **row, "a": a[at].tobytes(), "b": b[at].tobytes()}
 
 
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -343,7 +342,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
 
     packed = docs.select("key", "text").mapInArrow(anchors, _PACKED)
     hits = settle(packed.groupBy("bucket").applyInArrow(repeated, _HIT), "anchors")
-    some = _that_have(docs, hits, "left_semi")
+    some = _that_have(docs, _keys(hits, 1), "left_semi")
     some = (docs if some is None else some).select("doc_id", "key", "text", F.pmod("key", F.lit(parts)).cast("int").alias("part"))
 
     def segments(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -401,7 +400,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
             out += _by_part(ids, doc[seg], at[seg] + inside, count, parts)
         return pa.Table.from_pylist(out, schema=_HITS)
 
-    cut = some.groupBy("part").cogroup(hits.drop("keys").groupBy("part")).applyInArrow(segments, _PACKED)
+    cut = some.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(segments, _PACKED)
     return cut.groupBy("bucket").applyInArrow(marks, _HIT), parts
 
 
@@ -413,9 +412,18 @@ def _runs_of(texts: list[bytes]):
         yield buf, first, count, h, of[text], first - starts[text] + offset[text]
 
 
-def _that_have(docs: DataFrame, packed: DataFrame, how: str) -> DataFrame | None:
-    """The documents with (or without) rows in ``packed``; None if these are too many to broadcast."""
-    keys = settle(packed.select(F.explode("keys").alias("key")).distinct(), "keys")
+def _keys(packed: DataFrame, width: int) -> DataFrame:
+    """The key of each document that has rows in ``packed``, once: all rows about a document are in one part."""
+
+    def unique(table: pa.Table) -> pa.Table:
+        found = [np.frombuffer(x, np.int64).reshape(-1, width)[:, -1] for x in table["ids"].to_pylist()]
+        return pa.table({"key": np.unique(np.concatenate([np.zeros(0, np.int64), *found]))})
+
+    return settle(packed.select("part", "ids").groupBy("part").applyInArrow(unique, "key long"), "keys")
+
+
+def _that_have(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame | None:
+    """The documents whose key is among ``keys`` (or is not); None if these are too many to broadcast."""
     return docs.join(F.broadcast(keys), "key", how) if is_small(keys, BROADCAST_KEYS) else None
 
 
@@ -452,11 +460,12 @@ def remove(docs: DataFrame) -> DataFrame:
         return out.add_column(0, "row", left["row"])
 
     part = F.pmod("key", F.lit(parts)).cast("int").alias("part")
-    touched, whole = _that_have(docs.where("doc_id IS NOT NULL"), found, "left_semi"), _that_have(docs, found, "left_anti")
+    keys = _keys(found, 2)
+    touched, whole = _that_have(docs.where("doc_id IS NOT NULL"), keys, "left_semi"), _that_have(docs, keys, "left_anti")
     if touched is None:
         touched, whole = docs, None
     schema = T.StructType([docs.schema["row"], *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").fields])
-    lost = touched.select("row", "doc_id", "key", "text", part).groupBy("part").cogroup(found.drop("keys").groupBy("part")).applyInArrow(cut, schema)
+    lost = touched.select("row", "doc_id", "key", "text", part).groupBy("part").cogroup(found.groupBy("part")).applyInArrow(cut, schema)
     if whole is None:
         return lost
     text = F.col("text").cast("binary")
