@@ -176,6 +176,28 @@ def hot_arcs(train: DataFrame, states, n: int) -> tuple[np.ndarray, np.ndarray]:
     return arcs, count
 
 
+def _stepped(uid: np.ndarray, at: np.ndarray) -> Iterator[tuple[bytes, bytes, np.ndarray]]:
+    """Ascending row numbers as a first one and 16-bit steps, anew where a step is too long: (first, steps, their part of ``at``)."""
+    gaps = np.diff(uid, prepend=uid[:1])
+    cuts = [0, *np.flatnonzero(gaps > 65535).tolist(), len(uid)]
+    for a, b in zip(cuts, cuts[1:]):
+        gaps[a] = 0
+        yield uid[a : a + 1].tobytes(), gaps[a:b].astype(np.uint16).tobytes(), at[a:b]
+
+
+def _rows_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, which of them each event is of) of packed events."""
+    numbers, docs, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
+    for base, steps in zip(table["rows"].to_pylist(), table["step"].to_pylist()):
+        gaps = np.frombuffer(steps, np.uint16)
+        new = gaps > 0
+        new[0] = True
+        numbers.append(np.frombuffer(base, np.int64)[0] + np.cumsum(gaps, dtype=np.int64)[new])
+        docs.append((np.cumsum(new) - 1 + n).astype(np.int32))
+        n += len(numbers[-1])
+    return np.concatenate(numbers), np.concatenate(docs)
+
+
 def _among(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each of ``x`` would be in the sorted ``table``, and whether it is there."""
     if not len(table):
@@ -188,7 +210,7 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     docs = docs.select(F.col("doc_id").cast("long"), "text", split.alias("held_out"))
     vocabulary = counts(docs.where("NOT held_out"), buckets)
@@ -219,18 +241,16 @@ def score(docs: DataFrame) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            row, key, rare, rare_row, made = (np.concatenate(x) if len(x) else np.zeros(0, np.int64) for x in zip(*[h[:5] for h in held]))
-            ids = np.concatenate([h[5] for h in held])
+            row, key, rare, rare_row, made, trained = (np.concatenate(x) for x in list(zip(*held))[:6])
+            ids = np.concatenate([h[6] for h in held])
             out = []
             for kind, r, k in ((0, row, key), (1, rare_row, rare)):
                 k = k.astype(np.uint64)
-                spread = arrays.mix(k) if kind == 0 else k
-                for b, at in _split((spread % np.uint64(buckets)).astype(np.int64)):
-                    of = r[at]
-                    step = np.append(False, of[1:] != of[:-1])
-                    first = np.append(True, step[1:])
-                    a = k[at].astype(np.uint32) if kind == 0 else k[at]
-                    out.append({"bucket": b, "kind": kind, "rows": ids[of[first]].tobytes(), "step": step.astype(np.uint8).tobytes(), "a": a.tobytes(), "b": (k[at] >> np.uint64(32)).astype(np.uint8).tobytes() if kind == 0 else b""})
+                for b, at in _split(((arrays.mix(k) if kind == 0 else k) % np.uint64(buckets)).astype(np.int64)):
+                    for base, gaps, use in _stepped(ids[r[at]], at):
+                        low = k[use].astype(np.uint32) if kind == 0 else k[use]
+                        high = (k[use] >> np.uint64(32)).astype(np.uint8) | (trained[r[use]].astype(np.uint8) << 7) if kind == 0 else low[:0]
+                        out.append({"bucket": b, "kind": kind, "rows": base, "step": gaps, "a": low.tobytes(), "b": high.tobytes()})
             for b, at in _split(np.arange(len(ids)) % buckets):
                 out.append({"bucket": b, "kind": 2, "rows": ids[at].tobytes(), "step": b"", "a": made[at].tobytes(), "b": b""})
             return pa.RecordBatch.from_pylist(out, schema=_EVENT_SCHEMA)
@@ -247,9 +267,8 @@ def score(docs: DataFrame) -> DataFrame:
                 ids = b.column(3)
                 made = np.stack([ids.fill_null(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) + 2 * ids.is_null().to_numpy(zero_copy_only=False), np.bincount(d, minlength=b.num_rows), known, base.view(np.int64), known_weight.view(np.int64)], 1).astype(np.int64)
                 made = np.ascontiguousarray(made).view("V48").ravel()
-                # A row's number and training bit.
-                uid = b.column(0).to_numpy().astype(np.int64) << 1 | (~b.column(2).to_numpy(zero_copy_only=False).astype(bool))
-                held.append((d[~warm] + base_row, key[~warm], h[rare], d[rare] + base_row, made, uid))
+                trained = ~b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                held.append((d[~warm] + base_row, key[~warm], h[rare], d[rare] + base_row, made, trained, b.column(0).to_numpy()))
                 base_row += b.num_rows
                 size += len(h)
                 if size >= BLOCK:
@@ -263,26 +282,22 @@ def score(docs: DataFrame) -> DataFrame:
         kinds = np.array(left["kind"].to_pylist(), dtype=np.int64)
         tables = [left.filter(pa.array(kinds == k)) for k in (0, 1, 2)] if left.num_rows else [left] * 3
 
-        def rows_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            ids = [np.frombuffer(x, np.int64) for x in t["rows"].to_pylist()]
-            shift = np.cumsum([0, *map(len, ids)])
-            steps = [np.cumsum(np.frombuffer(x, np.uint8), dtype=np.int32) + np.int32(k) for x, k in zip(t["step"].to_pylist(), shift)]
-            return np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.int32), *steps])
-
-        uid, doc = rows_of(tables[0])
-        key = _cat(tables[0]["b"], np.uint8).astype(np.int64) << 32 | _cat(tables[0]["a"], np.uint32)
+        uid, doc = _rows_of(tables[0])
+        high = _cat(tables[0]["b"], np.uint8)
+        key = (high & np.uint8(127)).astype(np.int64) << 32 | _cat(tables[0]["a"], np.uint32)
+        trained = high > 127
         out = []
         if len(key):
-            trained, sums = (uid & 1).astype(bool), np.zeros(len(uid))
+            sums = np.zeros(len(uid))
             slices = 8  # a slice of the arcs at a time
             for k in range(slices):
                 at = np.flatnonzero(key % slices == k).astype(np.int32)
                 arcs, of = np.unique(key[at], return_inverse=True)
-                seen = np.bincount(of[trained[doc[at]]], minlength=len(arcs))
+                seen = np.bincount(of[trained[at]], minlength=len(arcs))
                 weight = s.arc(seen, arcs // len(s.count), arcs % len(s.count)) if len(arcs) else np.zeros(0)
                 sums += np.bincount(doc[at], weight[of], minlength=len(uid))
-            out.append((uid >> 1, np.zeros(len(uid)), np.zeros(len(uid)), sums))
-        uid, doc = rows_of(tables[1])
+            out.append((uid, None, None, sums))
+        uid, doc = _rows_of(tables[1])
         h = _cat(tables[1]["a"], np.uint64)
         if len(h):
             words, count = _summed(_cat(right["hashes"], np.uint64), _cat(right["counts"], np.int64))
@@ -290,16 +305,18 @@ def score(docs: DataFrame) -> DataFrame:
             c = np.where(words[at] == h, count[at], 0) if len(words) else np.zeros(len(h), np.int64)
             base = s.unigram(c)
             add = lambda w: np.bincount(doc, w, minlength=len(uid))
-            out.append((uid >> 1, add((c > 0).astype(np.float64)), add(base), add(base - np.log10(s.prob[s.rare]))))
+            out.append((uid, add((c > 0).astype(np.float64)), add(base), add(base - np.log10(s.prob[s.rare]))))
         rows = []
-        if out:
-            uid, known, base, sc = (np.concatenate(x) for x in zip(*out))
-            for p, at in _split(uid % parts):
-                rows.append({"part": p, "rows": uid[at].tobytes(), "known": known[at].astype(np.float32).tobytes(), "base": base[at].tobytes(), "score": sc[at].tobytes()})
-        uid = rows_of(tables[2])[0]
+        for uid, known, base, sc in out:
+            numbers, at = np.unique(uid, return_inverse=True)
+            known, base, sc = (None if x is None else np.bincount(at, x, minlength=len(numbers)) for x in (known, base, sc))
+            for p, use in _split(numbers % parts):  # in order, so that differences are small
+                text = lambda x, t: b"" if x is None else x[use].astype(t).tobytes()
+                rows.append({"part": p, "rows": np.diff(numbers[use], prepend=0).tobytes(), "known": text(known, np.uint32), "base": text(base, np.float64), "score": text(sc, np.float64)})
+        uid = _cat(tables[2]["rows"], np.int64)
         made = _cat(tables[2]["a"], np.int64).reshape(-1, 6)
-        for p, at in _split((uid >> 1) % parts):  # the numbers of the rows themselves: "base" has them, the others are empty
-            rows.append({"part": p, "rows": (uid[at] >> 1).tobytes(), "known": b"", "base": made[at].tobytes(), "score": b""})
+        for p, at in _split(uid % parts):  # the numbers of the rows themselves: "base" has them, the others are empty
+            rows.append({"part": p, "rows": uid[at].tobytes(), "known": b"", "base": made[at].tobytes(), "score": b""})
         return pa.Table.from_pylist(rows, schema=_SUM_SCHEMA)
 
     final = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -314,10 +331,11 @@ def score(docs: DataFrame) -> DataFrame:
         known, base, sc = made[:, 3].astype(np.float64), np.ascontiguousarray(made[:, 4]).view(np.float64).copy(), np.ascontiguousarray(made[:, 5]).view(np.float64).copy()
         for r in rows:
             if r["score"]:
-                at = np.searchsorted(uid, np.frombuffer(r["rows"], np.int64))
-                np.add.at(known, at, np.frombuffer(r["known"], np.float32))
-                np.add.at(base, at, np.frombuffer(r["base"], np.float64))
-                np.add.at(sc, at, np.frombuffer(r["score"], np.float64))
+                at = np.searchsorted(uid, np.cumsum(np.frombuffer(r["rows"], np.int64)))  # each row once
+                sc[at] += np.frombuffer(r["score"], np.float64)
+                if r["known"]:
+                    known[at] += np.frombuffer(r["known"], np.uint32)
+                    base[at] += np.frombuffer(r["base"], np.float64)
         ids = pa.array(made[:, 0], mask=made[:, 1] >= 2)
         return pa.Table.from_arrays([ids, pa.array(made[:, 1] % 2 == 1), pa.array(made[:, 2]), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(sc)], schema=final)
 

@@ -91,3 +91,14 @@ def test_no_training_rows_and_empty_table(spark):
     df = spark.createDataFrame([(i, "a b")], "doc_id long, text string")
     check(lm.score(df).collect(), [(i, "a b")])
     assert lm.score(df.limit(0)).count() == 0
+
+
+def test_row_numbers_are_packed_whole():
+    import numpy as np
+    import pyarrow as pa
+
+    uid = np.array([5, 5, 6, 70_000, 70_000, 1 << 35, (1 << 35) + 65_535])
+    parts = list(lm._stepped(uid, np.arange(len(uid))))
+    table = pa.table({"rows": [p[0] for p in parts], "step": [p[1] for p in parts]})
+    numbers, docs = lm._rows_of(table)
+    assert numbers[docs].tolist() == uid.tolist() and np.concatenate([p[2] for p in parts]).tolist() == list(range(len(uid)))
