@@ -255,7 +255,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 def _edits(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """How each document b differs from its hub a: n (set size), gone and more (numbers of the hub's
     shingles that it lacks, and of its own), linked (alike enough), loose (not alike the hub's first set),
-    extra (its own) and few (as many of the lacked ones, in order, as :func:`_off_hub` needs)."""
+    extra (its own) and few (the lacked ones), each in order and as many as :func:`_off_hub` needs."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), *((c, pa.int64()) for c in ("n", "gone", "more")), ("linked", pa.bool_()), ("loose", pa.bool_()), ("extra", pa.list_(pa.int64())), ("few", pa.list_(pa.int64()))])
 
     def compare(own, rows) -> pa.Table:
@@ -269,6 +269,7 @@ def _edits(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             n, gone, more = len(y), len(lacked), len(extra)
             loose = 9 * (gone + more) > n + len(sets[0])
             few = n // 4 + 1 - more if loose else (4 * (gone - more)) // 9 + 1
+            extra = extra[: n // 4 + 1] if loose else extra
             out.append({"a": a, "b": b, "n": n, "gone": gone, "more": more, "linked": any(_alike(x, y) for x in sets), "loose": loose, "extra": extra.view(np.int64), "few": lacked[: max(0, few)].view(np.int64)})
         return pa.Table.from_pylist(out, schema=schema)
 
@@ -282,21 +283,24 @@ def _off_hub(edits: DataFrame) -> DataFrame:
     are alike if their edits differ by (m + n) / 9 at most (for 80 percent), so they share at least
     (|D| + |D'| - (m + n) / 9) / 2 edits, which is over 0. Either they share something that the hub has not,
     or their share of the lacked shingles alone reaches that number, and then the first few lacked ones of
-    both meet (a prefix filter). Edits of single documents are shared with none, which bounds the rest.
-    ``edits`` has ``label``, the component of b so far.
+    both meet (a prefix filter). A loose document has n / 4 more edits than it has to share at most, so in
+    an order with its own shingles first the first n / 4 + 1 edits are enough to meet. Edits of single documents are shared with none, which bounds the rest.
+    ``edits`` has ``label``, the component of b so far, and what :func:`_fits` needs of b.
     """
-    own = edits.select("a", "b", "label", F.explode("extra").alias("edit"))
+    own = edits.select("a", "b", "label", F.explode("extra").alias("edit"))  # those left out may all be shared
     shared = settle(own.groupBy("a", "edit").agg(F.count("*").alias("c"), (F.min("label") < F.max("label")).alias("mixed")).where("c > 1").drop("c"), "shared")
     common = own.join(shared, ["a", "edit"])
     both = common.groupBy("a", "b").agg(F.count("*").alias("common"))
-    info = settle(edits.select("a", "b", "n", "gone", "more", "loose", "label").join(both, ["a", "b"], "left").fillna(0, ["common"]), "info")
+    rest = F.col("more") - F.size("extra")
+    info = edits.select("a", "b", "n", "gone", "more", "loose", "label", "r", "s1", "s2", rest.alias("rest")).join(both, ["a", "b"], "left")
+    info = settle(info.fillna(0, ["common"]), "info")
     keys = common.where("mixed").select("a", "b", "edit", F.lit(True).alias("own")).unionByName(edits.select("a", "b", F.explode("few").alias("edit"), F.lit(False).alias("own")))
     x = settle(keys.join(info, ["a", "b"]), "keys")
-    y = x.select(*[F.col(c).alias(f"{c}_2") for c in ("a", "edit", "own", "b", "n", "gone", "more", "loose", "label", "common")])
-    needed = 9 * (F.col("gone") + F.col("more") + F.col("gone_2") + F.col("more_2")) - (F.col("n") + F.col("n_2"))
-    reached = F.least("gone", "gone_2") + F.when(F.col("own"), F.least("common", "common_2")).otherwise(0)
+    y = x.select(*[F.col(c).alias(f"{c}_2") for c in ("a", "edit", "own", "b", "gone", "more", "loose", "label", "common", "rest")], F.col("n").alias("hub_n"), F.col("r").alias("hub_r"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+    needed = 9 * (F.col("gone") + F.col("more") + F.col("gone_2") + F.col("more_2")) - (F.col("n") + F.col("hub_n"))
+    reached = F.least("gone", "gone_2") + F.when(F.col("own"), F.least("common", "common_2") + F.col("rest") + F.col("rest_2")).otherwise(0)
     may = (F.col("b") < F.col("b_2")) & (F.col("label") != F.col("label_2")) & (F.col("loose") | F.col("loose_2")) & (needed <= 18 * reached)
-    may = may & (100 * F.least("n", "n_2") >= PERCENT * F.greatest("n", "n_2"))
+    may = may & (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")) & _fits()
     same = [F.col(c) == F.col(f"{c}_2") for c in ("a", "edit", "own")]
     return x.join(y, [*same, may]).select(F.col("b").alias("a"), F.col("b_2").alias("b"))
 
@@ -352,19 +356,22 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     best = [x.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")) for x in (stars, near)]
     first = best[0].unionByName(best[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = settle(first, "stars")
+    drop(docs.sparkSession, lists)
     links = _confirm(first, firsts, k)
     labels = components(links)
 
-    entries = lookup(entries, labels.withColumnRenamed("node", "doc"), ["doc"], "value").withColumn("label", F.coalesce("label", "doc"))
+    plain, entries = entries, lookup(entries, labels.withColumnRenamed("node", "doc"), ["doc"], "value").withColumn("label", F.coalesce("label", "doc"))
     entries = settle(entries, "labelled")
+    drop(docs.sparkSession, plain)
     mixed = entries.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
     left = settle(entries.join(mixed, "value"), "mixed")
+    drop(docs.sparkSession, entries)
     sized = settle(left.groupBy("value").agg(F.count("*").alias("m"), F.max_by("doc", F.struct("share", -F.col("doc"))).alias("hub")), "sized")
     short = left.join(sized.where(F.col("m") <= SHORT).select("value"), "value")
     right = short.select("value", F.col("doc").alias("b"), F.col("n").alias("hub_n"), F.col("r").alias("hub_r"), F.col("label").alias("label_b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
     fits = (F.col("doc") < F.col("b")) & (F.col("label") != F.col("label_b")) & _fits()
     pairs = short.join(right, (short["value"] == right["value"]) & fits).select(F.col("doc").alias("a"), "b").distinct()
-    spokes = left.join(sized.where(F.col("m") > SHORT), "value").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"), "label").distinct()
+    spokes = left.join(sized.where(F.col("m") > SHORT), "value").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"), "label", "r", "s1", "s2").distinct()
     spokes = settle(spokes, "spokes")
     edits = settle(_edits(spokes.select("a", "b"), firsts, k).join(spokes, ["a", "b"]), "edits")
     pairs = pairs.unionByName(_off_hub(edits)).distinct()

@@ -117,7 +117,7 @@ def exact_pairs(rows, k):
 def test_pairs_by_edits_of_a_hub(spark):
     rows = family(9)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    spokes = spark.createDataFrame([(0, i, i) for i in range(1, len(rows))], "a long, b long, label long")
+    spokes = spark.createDataFrame([(0, i, i, 10**6, 0, 0) for i in range(1, len(rows))], "a long, b long, label long, r long, s1 long, s2 long")
     edits = minhash._edits(spokes.select("a", "b"), df, 4).join(spokes, ["a", "b"])
     got = {(r.a, r.b) for r in minhash._off_hub(edits).collect()}
     want = exact_pairs(rows, 4)
