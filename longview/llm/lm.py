@@ -1,21 +1,26 @@
 """Scoring texts with a weighted backoff automaton learned from the corpus.
 
 Words and one end are tokens; lower-cased word hashes of 64 bits stand for words. A unigram gives a token
-with count c the probability (c + 1) / (N + V + 1), all unknown words sharing one type. Frequent tokens (the end, and those
-with a count of at least N / ``FREQUENT``) are states of the automaton; all rarer words share a state. An
+with count c the probability (c + 1) / (N + V + 1), all unknown words sharing one type. Every word is a
+state of the automaton, and so are the end and the begin of a text, whatever the size of the corpus. An
 arc (h, w) seen c times in training has weight (c + k P(w)) / (c(h) + k); without one the failure arc of h
 weighs k / (c(h) + k) and leads to the unigram state, whose arc weighs P(w). That is one distribution for
-each h. A rarer word then costs its share of the rare words. There are at most ``FREQUENT`` such states
-whatever the corpus, so that their table can be broadcast; counts and arcs cover the whole corpus.
+each h. Only where ``FREQUENT`` is set to bound the states do the words with a count below N / ``FREQUENT``
+share one, a rare word then costing its share of them.
+
+Where a weight is worked out depends on the counts, the weight does not: words with a count of at least
+N / ``SHARED``, ``SHARED`` at most, are in a broadcast table. All others are cold: what is known of one is
+in the task of its hash, which gets each place where it stands with the words before and after it.
 
 1. Words of the training rows are counted, combined by block before the shuffle.
 2. Arcs that are hot (about one in ``HOT`` tokens or more take them, so that there are ``HOT`` at most) are
    found from each task's most frequent ones, and then counted exactly in a pass of their own. Which arcs
    count as hot changes where their weight is worked out, not the weight.
 3. One left-to-right pass over all rows carries the state and names each arc taken. Hot arcs get their weight
-   there. The others and rare words go, with the number of their row, to the task of their hash, which knows
+   there. The others and cold words go, with the number of their row, to the task of their hash, which knows
    all counts of theirs and sums the logarithms for each row; sums are then added by row. So no task gets a
-   large share of the arcs. Blocks send an arc's rows packed, a few bytes each.
+   large share of the arcs. Blocks send an arc's rows packed, a few bytes each. An arc between two cold words
+   is the second one's.
 
 Defined cases: null and empty texts have one token, the end; a null id counts as empty text for the split;
 repeated rows are scored alike; without training rows every token is unknown; an empty table gives an
@@ -33,7 +38,10 @@ from pyspark.sql import DataFrame, functions as F
 from . import arrays
 from .common import settle, small_batches
 
-FREQUENT = 1 << 18
+#: The most words that are states of their own: no bound.
+FREQUENT = 1 << 62
+#: The most words in the broadcast table.
+SHARED = 1 << 18
 SMOOTHING = 100.0
 BLOCK = 1_000_000
 HOT = 8192
@@ -41,6 +49,10 @@ END = np.uint64(0x5D1F0C2B9A7E4413)
 
 _COUNTS = "bucket int, hashes binary, counts binary, n long, v long"
 _EVENTS = "bucket int, kind byte, rows binary, step binary, a binary, b binary"
+#: Beside each place of a cold word: the hash of the word before (END at the begin), and the state after or
+#: ``_NONE``, with the top bit set in training rows.
+_BESIDE = np.dtype([("before", "<u8"), ("after", "<u4")])
+_NONE, _TRAINED = np.uint32((1 << 31) - 1), np.uint32(1 << 31)
 _EVENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), *((c, pa.binary()) for c in ("rows", "step", "a", "b"))])
 _SUM_SCHEMA = pa.schema([("part", pa.int32()), ("rows", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("score", pa.binary())])
 _SUMS = "part int, rows binary, known binary, base binary, score binary"
@@ -107,11 +119,14 @@ def counts(train: DataFrame, buckets: int) -> DataFrame:
 
 
 class States:
-    """The frequent tokens with their counts, and the numbers of the whole corpus."""
+    """The frequent tokens with their counts, and the numbers of the whole corpus.
+
+    Other words share the rare state if ``pooled``; else it only marks those that are cold.
+    """
 
-    def __init__(self, hashes: np.ndarray, count: np.ndarray, n: int, v: int, documents: int):
+    def __init__(self, hashes: np.ndarray, count: np.ndarray, n: int, v: int, documents: int, pooled: bool = True):
         order = np.argsort(hashes)
-        self.hashes, self.n, self.v = hashes[order], n, v
+        self.hashes, self.n, self.v, self.pooled = hashes[order], n, v, pooled
         self.rare, self.begin = len(hashes), len(hashes) + 1
         # The rare state has what is left; of the begin state only the history count is used.
         self.count = np.concatenate((count[order], [n - int(count.sum()), documents])).astype(np.float64)
@@ -131,6 +146,11 @@ class States:
         """log10 of the weight of arcs seen ``c`` times; with 0 that of the failure arc and what follows."""
         return np.log10((c + SMOOTHING * self.prob[state]) / (self.count[history] + SMOOTHING))
 
+    def cold(self, arc: np.ndarray) -> np.ndarray:
+        """Which arcs come from or lead to a cold word."""
+        size = len(self.count)
+        return np.zeros(len(arc), bool) if self.pooled else (arc // size == self.rare) | (arc % size == self.rare)
+
 
 def _arcs(s: States, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text number, state, arc) of the tokens of each text, from left to right."""
@@ -149,7 +169,8 @@ def hot_arcs(train: DataFrame, states, n: int) -> tuple[np.ndarray, np.ndarray]:
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arcs, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            a, c = np.unique(_arcs(states.value, arrays.as_bytes(b.column(0)))[3], return_counts=True)
+            a = _arcs(states.value, arrays.as_bytes(b.column(0)))[3]
+            a, c = np.unique(a[~states.value.cold(a)], return_counts=True)
             arcs, count = _summed(np.concatenate((arcs, a)), np.concatenate((count, c)))
             if len(arcs) > BLOCK:  # the rarest are let go
                 top = np.sort(np.argpartition(count, -BLOCK // 2)[-BLOCK // 2 :])
@@ -216,7 +237,8 @@ def score(docs: DataFrame) -> DataFrame:
     vocabulary = counts(docs.where("NOT held_out"), buckets)
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = int(total[0]), int(total[1])
-    least = max(1, -(-n // FREQUENT))
+    pooled = n > FREQUENT
+    least = max(1, -(-n // min(FREQUENT, SHARED)))
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,10 +247,10 @@ def score(docs: DataFrame) -> DataFrame:
                 use = (c >= least) | (h == END)
                 yield pa.RecordBatch.from_arrays([pa.array([h[use].tobytes()], pa.binary()), pa.array([c[use].tobytes()], pa.binary())], ["h", "c"])
 
-    found = vocabulary.select("hashes", "counts").mapInArrow(frequent, "h binary, c binary").collect()  # FREQUENT words at most
+    found = vocabulary.select("hashes", "counts").mapInArrow(frequent, "h binary, c binary").collect()  # SHARED words at most
     h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["h"], np.uint64) for r in found)])
     c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["c"], np.int64) for r in found)])
-    states = spark.sparkContext.broadcast(States(h, c, n, v, int(c[h == END].sum())))
+    states = spark.sparkContext.broadcast(States(h, c, n, v, int(c[h == END].sum()), pooled))
 
     arcs, seen_by_arc = hot_arcs(docs.where("NOT held_out"), states, n)
     s0 = states.value
@@ -241,15 +263,15 @@ def score(docs: DataFrame) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            row, key, rare, rare_row, made, trained = (np.concatenate(x) for x in list(zip(*held))[:6])
-            ids = np.concatenate([h[6] for h in held])
+            row, key, rare, rare_row, beside, made, trained = (np.concatenate(x) for x in list(zip(*held))[:7])
+            ids = np.concatenate([h[7] for h in held])
             out = []
-            for kind, r, k in ((0, row, key), (1, rare_row, rare)):
+            for kind, r, k in ((0, row, key), (1 if s.pooled else 3, rare_row, rare)):
                 k = k.astype(np.uint64)
                 for b, at in _split(((arrays.mix(k) if kind == 0 else k) % np.uint64(buckets)).astype(np.int64)):
                     for base, gaps, use in _stepped(ids[r[at]], at):
                         low = k[use].astype(np.uint32) if kind == 0 else k[use]
-                        high = (k[use] >> np.uint64(32)).astype(np.uint8) | (trained[r[use]].astype(np.uint8) << 7) if kind == 0 else low[:0]
+                        high = (k[use] >> np.uint64(32)).astype(np.uint8) | (trained[r[use]].astype(np.uint8) << 7) if kind == 0 else beside[use] if kind == 3 else low[:0]
                         out.append({"bucket": b, "kind": kind, "rows": base, "step": gaps, "a": low.tobytes(), "b": high.tobytes()})
             for b, at in _split(np.arange(len(ids)) % buckets):
                 out.append({"bucket": b, "kind": 2, "rows": ids[at].tobytes(), "step": b"", "a": made[at].tobytes(), "b": b""})
@@ -260,15 +282,25 @@ def score(docs: DataFrame) -> DataFrame:
             for b in batches:
                 h, d, state, key = _arcs(s, arrays.as_bytes(b.column(1)))
                 at, warm = _among(hot_arc, key)
-                known_weight = np.bincount(d[warm], hot_weight[at[warm]], minlength=b.num_rows)
-                rare = state == s.rare
+                known_weight = np.bincount(d[warm], hot_weight[at[warm]], minlength=b.num_rows).astype(np.float64)
+                rare, trained = state == s.rare, ~b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                sent, beside = ~warm, np.zeros(0, _BESIDE)
+                if not s.pooled:
+                    sent &= ~s.cold(key)
+                    history = key // len(s.count)
+                    into = rare & (history != s.rare)  # their numerator is the cold word's, c(h) is known here
+                    known_weight -= np.bincount(d[into], np.log10(s.count[history[into]] + SMOOTHING), minlength=b.num_rows)
+                    at = np.flatnonzero(rare)
+                    after = np.append(state, s.rare)[at + 1]  # of an end, which is cold without training rows: none
+                    beside = np.zeros(len(at), _BESIDE)
+                    beside["before"] = np.where(history[at] == s.begin, END, h[at - 1])
+                    beside["after"] = np.where((after == s.rare) | (h[at] == END), _NONE, after).astype(np.uint32) | np.where(trained[d[at]], _TRAINED, np.uint32(0))
                 known = np.bincount(d[~rare], minlength=b.num_rows)
                 base = np.bincount(d[~rare], s.unigram(s.count[state[~rare]]), minlength=b.num_rows)
                 ids = b.column(3)
                 made = np.stack([ids.fill_null(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) + 2 * ids.is_null().to_numpy(zero_copy_only=False), np.bincount(d, minlength=b.num_rows), known, base.view(np.int64), known_weight.view(np.int64)], 1).astype(np.int64)
                 made = np.ascontiguousarray(made).view("V48").ravel()
-                trained = ~b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                held.append((d[~warm] + base_row, key[~warm], h[rare], d[rare] + base_row, made, trained, b.column(0).to_numpy()))
+                held.append((d[sent] + base_row, key[sent], h[rare], d[rare] + base_row, beside, made, trained, b.column(0).to_numpy()))
                 base_row += b.num_rows
                 size += len(h)
                 if size >= BLOCK:
@@ -277,10 +309,39 @@ def score(docs: DataFrame) -> DataFrame:
             if held:
                 yield flush()
 
+    def cold(table: pa.Table, right: pa.Table) -> tuple[np.ndarray, ...]:
+        """(row numbers, known words, base, score) of the places of cold words: of each the arc into it, its
+        c(h), and the arc from it unless to another cold word."""
+        s = states.value
+        uid, doc = _rows_of(table)
+        h, beside = _cat(table["a"], np.uint64), _cat(table["b"], _BESIDE)
+        words, count = _summed(_cat(right["hashes"], np.uint64), _cat(right["counts"], np.int64))
+        known, base, sc = np.zeros(len(uid)), np.zeros(len(uid)), np.zeros(len(uid))
+
+        def numerators(word: np.ndarray, other: np.ndarray, train: np.ndarray, prob: np.ndarray) -> np.ndarray:
+            _, other = np.unique(other, return_inverse=True)
+            _, of = np.unique(word * (int(other.max(initial=0)) + 1) + other, return_inverse=True)
+            return np.log10(np.bincount(of[train], minlength=len(h))[of] + SMOOTHING * prob)
+
+        slices = 8  # a slice of the words at a time
+        for k in range(slices):
+            at = np.flatnonzero(h // np.uint64(buckets) % np.uint64(slices) == k)
+            found, word = np.unique(h[at], return_inverse=True)
+            place, there = _among(words, found)
+            c = np.where(there, count[place] if len(count) else 0, 0)[word]
+            after, train = beside["after"][at] & _NONE, beside["after"][at] >= _TRAINED
+            part = numerators(word, beside["before"][at], train, (c + 1) / (s.n + s.v + 1))
+            part -= np.where(h[at] == END, 0, np.log10(c + SMOOTHING))
+            on = np.flatnonzero(after != _NONE)
+            part[on] += numerators(word[on], after[on], train[on], s.prob[after[on]])
+            for total, x in ((known, c > 0), (base, s.unigram(c)), (sc, part)):
+                total += np.bincount(doc[at], x, minlength=len(uid))
+        return uid, known, base, sc
+
     def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
         s = states.value
         kinds = np.array(left["kind"].to_pylist(), dtype=np.int64)
-        tables = [left.filter(pa.array(kinds == k)) for k in (0, 1, 2)] if left.num_rows else [left] * 3
+        tables = [left.filter(pa.array(kinds == k)) for k in (0, 1, 2, 3)] if left.num_rows else [left] * 4
 
         uid, doc = _rows_of(tables[0])
         high = _cat(tables[0]["b"], np.uint8)
@@ -306,6 +367,8 @@ def score(docs: DataFrame) -> DataFrame:
             base = s.unigram(c)
             add = lambda w: np.bincount(doc, w, minlength=len(uid))
             out.append((uid, add((c > 0).astype(np.float64)), add(base), add(base - np.log10(s.prob[s.rare]))))
+        if tables[3].num_rows:
+            out.append(cold(tables[3], right))
         rows = []
         for uid, known, base, sc in out:
             numbers, at = np.unique(uid, return_inverse=True)

@@ -102,3 +102,20 @@ def test_row_numbers_are_packed_whole():
     table = pa.table({"rows": [p[0] for p in parts], "step": [p[1] for p in parts]})
     numbers, docs = lm._rows_of(table)
     assert numbers[docs].tolist() == uid.tolist() and np.concatenate([p[2] for p in parts]).tolist() == list(range(len(uid)))
+
+
+def test_every_word_is_a_state_whatever_the_size(spark, monkeypatch):
+    # Above 262,144 training tokens words of a low count were once pooled into one state.
+    rows = [(i, " ".join(f"w{(i * 7919 + j * j) % 60_000} a b" for j in range(300))) for i in range(400)] + [(None, "w1 w2 zz w3"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm.score(df).collect()
+    monkeypatch.setattr(lm, "FREQUENT", 1 << 62)
+    assert got[0].train_tokens > 1 << 18
+    check(got, rows)
+
+
+@pytest.mark.parametrize("shared", [1, 4, 60])
+def test_cold_words_have_their_own_arcs(spark, monkeypatch, shared):
+    monkeypatch.setattr(lm, "SHARED", shared)
+    rows = [(i, "a b A c " * (i % 4) + f"x{i % 9} y{i % 3} x{i % 9} x1") for i in range(60)] + [(None, "a b"), (None, None), (5, ""), (6, "\n x1 y2 \t"), (7, "x1 y1 new " * 3_000)]
+    check(lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
