@@ -1,14 +1,18 @@
-"""SentencePiece encoding and decoding with a single-pass Viterbi over an Aho-Corasick automaton.
+"""SentencePiece encoding and decoding as the model does: by merges, or by Viterbi over an automaton.
 
-The automaton holds every normal piece. It reads a text once; at each place its output links give the
+A BPE model's scores are minus the rank of its merges, so that their sum means nothing. From single
+characters on, the two neighbours whose joint piece has the best score are merged, the first of equals,
+until no two make a piece: these are the library's ids.
+
+For a unigram model one pass of Viterbi goes over an Aho-Corasick automaton. The automaton holds every normal piece. It reads a text once; at each place its output links give the
 pieces that end there, each of which relaxes the best score of that place from the best score of its
 start. A character without a piece of its own falls back on its bytes. The path with the largest sum of
 scores is the encoding; of equal paths the one whose last piece is longer wins.
 
 Spaces become U+2581 and one is put before the text. No piece of the supported models goes on after a
 space that follows another character, nor holds a line feed (checked on loading), so the text is cut
-there without changing the best path, and the ids of parts are kept for later texts, in a table of
-bounded size. Decoding gives back every text exactly: U+2581 itself goes by its bytes.
+there without changing the pieces, and the ids of parts are kept for later texts, in a table of
+bounded size. Decoding gives back every text exactly: U+2581 itself goes by its bytes (the library takes it for a space).
 
 Documents stay where they are: no shuffle. Defined cases: null and empty texts have no ids and decode to
 an empty text; an empty table gives an empty table; further columns are kept, but for those
@@ -18,6 +22,7 @@ named as the results.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -30,6 +35,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import small_batches
 
 CACHE = 400_000
+#: Characters up to which a part's neighbours are scanned for the best merge; longer ones take a heap.
+SHORT = 100
 SPACE = "▁"
 #: Stands for U+2581 inside a text while spaces stand as U+2581; in no piece.
 _MARK = "\x00"
@@ -51,6 +58,8 @@ class _Known:
 
 
 class Codec:
+    """Viterbi: the encoding of a unigram model."""
+
     def __init__(self, path: str):
         import sentencepiece
 
@@ -118,6 +127,10 @@ class Codec:
             p = start
         return ids[::-1], best[n]
 
+    def part(self, part: str) -> list[int]:
+        """The ids of a part that no piece reaches beyond."""
+        return self.viterbi(part)[0]
+
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
         plain: list[tuple[int, list[str]]] = []
@@ -132,7 +145,7 @@ class Codec:
                 plain.append((i, t.replace("\n", " \n").split(" ")))
             else:
                 spaced.append((i, self.split((" " + t.replace(SPACE, _MARK)).replace(" ", SPACE))))
-        for known, found, make in ((self.words, plain, self._word), (self.parts, spaced, lambda p: self.viterbi(p)[0])):
+        for known, found, make in ((self.words, plain, self._word), (self.parts, spaced, self.part)):
             known.learn(set().union(*(p for _, p in found)), make)
             for i, p in found:
                 out[i] = np.frombuffer(b"".join(map(known.young.__getitem__, p)), dtype=np.int32)
@@ -144,8 +157,8 @@ class Codec:
     def _word(self, word: str) -> list[int]:
         """The ids of what stands between two spaces, a line feed only being its first character."""
         if word[:1] == "\n":
-            return self.viterbi("\n")[0] + self.viterbi(word[1:])[0]
-        return self.viterbi(SPACE + word)[0]
+            return self.part("\n") + self.part(word[1:])
+        return self.part(SPACE + word)
 
     def _rare(self, text: str) -> np.ndarray:
         """A text with the character that marks U+2581: it is cut there, and goes by its byte."""
@@ -153,12 +166,12 @@ class Codec:
         for part in re.split(f"({_MARK})", text):
             if part == _MARK:
                 if first:
-                    out += self.viterbi(SPACE)[0]
+                    out += self.part(SPACE)
                 out.append(int(self.byte_ids[0]))
             elif part:
                 marked = part.replace(SPACE, _MARK).replace(" ", SPACE)
                 for p in self.split(SPACE + marked if first else marked):
-                    out += self.viterbi(p)[0]
+                    out += self.part(p)
             else:
                 continue
             first = False
@@ -173,9 +186,74 @@ class Codec:
         return self.flat[at].tobytes()[1:]
 
 
+class MergeCodec(Codec):
+    """Merges in the order of their scores: the encoding of a BPE model."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.rank = {p: score for p, (_, score, _) in self.scores.items()}
+
+    def part(self, part: str) -> list[int]:
+        ids: list[int] = []
+        for p in self._scanned(part) if len(part) <= SHORT else self._heaped(part):
+            if p in self.scores:
+                ids.append(self.scores[p][2])
+            else:  # a single character
+                ids += self.byte_ids[list((SPACE if p == _MARK else p).encode("utf-8", "surrogatepass"))].tolist()
+        return ids
+
+    def _scanned(self, part: str) -> list[str]:
+        s, get, none = list(part), self.rank.get, -np.inf
+        best = [get(a + b, none) for a, b in zip(s, s[1:])]
+        while best and (most := max(best)) > none:
+            i = best.index(most)
+            s[i] += s.pop(i + 1)
+            del best[i]
+            if i < len(best):
+                best[i] = get(s[i] + s[i + 1], none)
+            if i:
+                best[i - 1] = get(s[i - 1] + s[i], none)
+        return s
+
+    def _heaped(self, part: str) -> list[str]:
+        s, n = list(part), len(part)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, int, str]] = []
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j < n and (score := self.rank.get(s[i] + s[j])) is not None:
+                heapq.heappush(heap, (-score, i, j, s[i] + s[j]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, j, piece = heapq.heappop(heap)
+            if not s[i] or not s[j] or after[i] != j or s[i] + s[j] != piece:  # one of them has been merged since
+                continue
+            s[i], s[j], after[i] = piece, "", after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(before[i], i)
+            offer(i, after[i])
+        return [x for x in s if x]
+
+
 @functools.lru_cache(2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    """The codec that the kind of the model asks for."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    kind = model.trainer_spec.model_type
+    if kind not in (model.trainer_spec.UNIGRAM, model.trainer_spec.BPE):
+        raise ValueError("only unigram and BPE models are supported")
+    if kind == model.trainer_spec.UNIGRAM:
+        return Codec(path)
+    if any(p.type in (p.USER_DEFINED, p.UNUSED) for p in model.pieces):
+        raise ValueError("BPE models with user-defined or unused pieces are not supported")
+    return MergeCodec(path)
 
 
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
