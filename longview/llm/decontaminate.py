@@ -4,8 +4,12 @@ Words are lower-cased without punctuation; numbers, names (capitalised inside a
 (after a number) become typed placeholders. Windows of ``WINDOW`` such tokens of the benchmark form a
 hash table, which the windows of every document are looked up in. Matches of one document and item at
 one offset are joined to runs; a run counts if it has ``LITERALS`` plain words and its slots are
-consistent: equal values of the item stand for equal values in the document, different ones for
-different ones. So a question with other numbers or names is caught, and a chance likeness is not.
+consistent: equal values of the item stand for equal values in the document. So a question with other
+numbers or names is caught, and a chance likeness is not. Different values may become equal.
+
+A run with a conflict is split. Of its parts of ``WINDOW`` tokens and more those count that equal the item
+word for word, and the longest consistent ones with ``LITERALS`` plain words in which a value of the item
+comes twice: as the run has shown that its slots need not hold, a part has to show that they do.
 
 The benchmark is the stated query set: it is taken in blocks of at most ``BLOCK`` bytes of text, each
 going with its table to the documents in a pass of its own, so nothing grows with the benchmark but the
@@ -126,25 +130,50 @@ class Matcher:
             stop, i = a + k, i + 1
             while i < len(pairs) and pairs[i][0] - pairs[i][1] == a - b and pairs[i][0] <= stop and d.doc[pairs[i][0]] == d.doc[a] and t.doc[pairs[i][1]] == t.doc[b]:
                 stop, i = max(stop, pairs[i][0] + pairs[i][2]), i + 1
-            if self._consistent(d, a, b, stop - a):
-                out[d.doc[a]].append((int(t.doc[b]), a, stop - a))
+            out[d.doc[a]] += [(int(t.doc[b]), a + x, n) for x, n in self._parts(d, a, b, stop - a)]
         return out
 
-    def _consistent(self, d: Tokens, a: int, b: int, n: int) -> bool:
-        t, plain = self.tokens, 0
-        there: dict[tuple[int, bytes], bytes] = {}
-        back: dict[tuple[int, bytes], bytes] = {}
-        for x, y in zip(range(a, a + n), range(b, b + n)):
-            u, v, kind = d.word(x), t.word(y), int(t.kind[y])
-            if int(d.kind[x]) != kind:
-                return False
-            if not kind:
-                if u != v:
-                    return False
-                plain += 1
-            elif there.setdefault((kind, v), u) != u or back.setdefault((kind, u), v) != v:
-                return False
-        return plain >= min(LITERALS, n)
+    def _parts(self, d: Tokens, a: int, b: int, n: int) -> list[tuple[int, int]]:
+        """(first, tokens) of the parts of a run that count, which do not overlap."""
+        t = self.tokens
+        last: dict[tuple[int, bytes], tuple[int, bytes, int]] = {}  # place and value of a slot, and where it last had another
+        plain, same, earlier = np.zeros(n + 1, np.int64), [], []
+        found: list[tuple[int, int]] = []
+        start = 0
+
+        def consider(first: int, stop: int) -> None:
+            if first or stop < n:
+                if stop - first < WINDOW or not any(first <= e for e in earlier[first:stop]):
+                    return
+            if stop - first > 0 and plain[stop] - plain[first] >= min(LITERALS, stop - first):
+                found.append((first, stop))
+
+        for j in range(n):
+            u, v, kind = d.word(a + j), t.word(b + j), int(t.kind[b + j])
+            same.append(u == v)
+            plain[j + 1] = plain[j] + (not kind)
+            before, value, other = last.get((kind, v), (-1, u, -1)) if kind else (-1, u, -1)
+            if value != u:
+                other = before
+            earlier.append(before)
+            if kind:
+                last[kind, v] = (j, u, other)
+            broken = int(d.kind[a + j]) != kind or not kind and u != v  # only where hashes collide
+            to = j + 1 if broken else other + 1
+            if to > start:
+                consider(start, j)
+                start = to
+        consider(start, n)
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).astype(np.int8)))
+        if found != [(0, n)]:
+            found += [(int(x), int(y)) for x, y in zip(edges[::2], edges[1::2]) if y - x >= WINDOW]
+        out: list[tuple[int, int]] = []
+        for x, y in sorted(found):
+            if out and x <= out[-1][1]:
+                out[-1] = (out[-1][0], max(y, out[-1][1]))
+            else:
+                out.append((x, y))
+        return [(x, y - x) for x, y in out]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Matcher]:

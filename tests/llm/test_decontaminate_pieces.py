@@ -119,6 +119,22 @@ def test_reparameterised_questions():
     assert found("An unrelated question about the colour of grass") == []
 
 
+def test_a_conflict_does_not_hide_the_rest_of_a_run():
+    item = "the old bridge near Lima was built by 40 men who had walked there from far away and were paid in silver before the town of Lima had its own walls and towers again today"
+    m = decontaminate.Matcher([(1, item)])
+    n = len(item.split())
+    copy = "so " + item.replace("town of Lima", "town of Cusco") + " ok"
+    # Word for word but for one of two names.
+    assert [(i, k) for i, _, k in m.find([copy.encode()])[0]] == [(0, 26), (0, n - 27)] and item.split()[26] == "Lima"
+    assert m.find([("so " + item).encode()])[0] == [(0, 1, n)]
+    # Different values become equal.
+    assert decontaminate.Matcher([(1, "add 3 apples to 5 apples in the large green basket")]).find([b"add 4 apples to 4 apples in the large green basket"])[0]
+    # Other values all over, a conflict at the end, and one value that is twice the same before it.
+    m = decontaminate.Matcher([(1, "so Ann gave 7 coins to Bob and then Ann took the coins from Bob again and met Cid while Cid was out")])
+    assert m.find([b"so Eve gave 8 coins to Tom and then Eve took the coins from Tom again and met Max while Jim was out"])[0]
+    assert not m.find([b"so Eve gave 8 coins to Tom and then Max took the coins from Jim again and met Max while Jim was out"])[0]
+
+
 def brute(text, item):
     """Whether eight equal plain words of the item stand in the text, for texts without slots."""
     norm = lambda s: ["".join(c for c in w.lower() if c.isalnum() or ord(c) > 127) for w in s.split()]
