@@ -8,9 +8,12 @@ consistent: equal values of the item stand for equal values in the document. So
 numbers or names is caught, and a chance likeness is not. Different values may become equal.
 
 A run with a conflict is split. Of its parts of ``WINDOW`` tokens and more those count that equal the item
-word for word, and the longest consistent ones with ``LITERALS`` plain words in which a value of the item
+word for word (see below), and the longest consistent ones with ``LITERALS`` plain words in which a value of the item
 comes twice: as the run has shown that its slots need not hold, a part has to show that they do.
 
+Windows of the plain lower-cased words, without placeholders, are looked up too, and count whatever they
+are made of: so a copy of numbers and names is found, and one in other capitals.
+
 The benchmark is the stated query set: it is taken in blocks of at most ``BLOCK`` bytes of text, each
 going with its table to the documents in a pass of its own, so nothing grows with the benchmark but the
 number of passes. Documents stay where they are.
@@ -47,11 +50,11 @@ _STOP[[ord(c) for c in ".!?:;"]] = True
 
 
 class Tokens:
-    """The canonical tokens of a batch of texts: hash, kind, text number, and where the word stands."""
+    """The canonical tokens of a batch of texts: hash, hash of the word itself, kind, text number, and where the word stands."""
 
     def __init__(self, texts: list[bytes]):
         self.texts = texts
-        hashes, kinds, docs, starts, stops = ([np.zeros(0, t)] for t in (np.uint64, np.int8, np.int64, np.int64, np.int64))
+        hashes, words, kinds, docs, starts, stops = ([np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int8, np.int64, np.int64, np.int64))
         seen = np.zeros(len(texts), dtype=np.int64)  # bytes of each text in the pieces before
         with np.errstate(over="ignore"):
             for buf, of, at in arrays.pieces(texts):
@@ -72,13 +75,14 @@ class Tokens:
                 unit = np.isin(h, UNIT_HASHES) & np.append(False, (kind[:-1] == NUMBER) & (part[1:] == part[:-1]))
                 kind[unit] = UNIT
                 hashes.append(np.where(kind > 0, arrays.TABLE[kind], h))
+                words.append(h)
                 kinds.append(kind)
                 docs.append(of[part])
                 shift = seen[of[part]] - at[part]
                 starts.append(a + shift)
                 stops.append(b + shift)
                 np.add.at(seen, of, np.diff(np.append(at, len(buf))) - 1)
-        self.hash, self.kind, self.doc, self.start, self.stop = map(np.concatenate, (hashes, kinds, docs, starts, stops))
+        self.hash, self.plain, self.kind, self.doc, self.start, self.stop = map(np.concatenate, (hashes, words, kinds, docs, starts, stops))
 
     def word(self, i: int) -> bytes:
         text = self.texts[self.doc[i]][self.start[i] : self.stop[i]]
@@ -102,23 +106,26 @@ class Matcher:
         self.ids = [i for i, _ in items]
         self.tokens = t = Tokens([(x or "").encode() for _, x in items])
         sizes = np.bincount(t.doc, minlength=len(items))
-        self.tables = {}
+        self.tables, self.plain = self._tables(t.hash, sizes), self._tables(t.plain, sizes)
+
+    def _tables(self, hashes: np.ndarray, sizes: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        tables = {}
         for k in range(SHORTEST, WINDOW + 1):
-            h, doc, at = arrays.windows(t.hash, t.doc, k)
+            h, doc, at = arrays.windows(hashes, self.tokens.doc, k)
             own = np.ones(len(h), bool) if k == WINDOW else sizes[doc] == k
             if own.any():
                 order = np.argsort(h[own], kind="stable")
                 mask = np.zeros(1 << 20, bool)
                 mask[h[own] >> np.uint64(44)] = True
-                self.tables[k] = (h[own][order], at[own][order], mask)
+                tables[k] = (h[own][order], at[own][order], mask)
+        return tables
 
-    def find(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
-        """For each text: (number of an item, first matching token, matching tokens) of its runs."""
-        d, t = Tokens(texts), self.tokens
-        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    def _runs(self, d: Tokens, hashes: np.ndarray, tables: dict) -> Iterator[tuple[int, int, int]]:
+        """(token of a text, token of the item, tokens) of the matches of one offset that meet."""
+        t = self.tokens
         pairs: list[tuple[int, int, int]] = []  # (token of the text, token of the item, window)
-        for k, (table, places, mask) in self.tables.items():
-            h, _, at = arrays.windows(d.hash, d.doc, k)
+        for k, (table, places, mask) in tables.items():
+            h, _, at = arrays.windows(hashes, d.doc, k)
             maybe = np.flatnonzero(mask[h >> np.uint64(44)])
             lo, hi = np.searchsorted(table, h[maybe], "left"), np.searchsorted(table, h[maybe], "right")
             for i in np.flatnonzero(hi > lo):
@@ -130,14 +137,27 @@ class Matcher:
             stop, i = a + k, i + 1
             while i < len(pairs) and pairs[i][0] - pairs[i][1] == a - b and pairs[i][0] <= stop and d.doc[pairs[i][0]] == d.doc[a] and t.doc[pairs[i][1]] == t.doc[b]:
                 stop, i = max(stop, pairs[i][0] + pairs[i][2]), i + 1
-            out[d.doc[a]] += [(int(t.doc[b]), a + x, n) for x, n in self._parts(d, a, b, stop - a)]
+            yield a, b, stop - a
+
+    def find(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
+        """For each text: (number of an item, first matching token, matching tokens) of its runs."""
+        d, t = Tokens(texts), self.tokens
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        parts: dict[tuple[int, int, int], list[tuple[int, int]]] = {}  # by text, item and offset
+        for a, b, n in self._runs(d, d.hash, self.tables):
+            parts.setdefault((int(d.doc[a]), int(t.doc[b]), a - b), []).extend((a + x, a + x + k) for x, k in self._parts(d, a, b, n))
+        for a, b, n in self._runs(d, d.plain, self.plain):
+            if all(d.word(a + j) == t.word(b + j) for j in range(n)):
+                parts.setdefault((int(d.doc[a]), int(t.doc[b]), a - b), []).append((a, a + n))
+        for (text, item, _), found in sorted(parts.items()):
+            out[text] += [(item, x, y - x) for x, y in _joined(found)]
         return out
 
     def _parts(self, d: Tokens, a: int, b: int, n: int) -> list[tuple[int, int]]:
-        """(first, tokens) of the parts of a run that count, which do not overlap."""
+        """(first, tokens) of the consistent parts of a run that count, which do not overlap."""
         t = self.tokens
         last: dict[tuple[int, bytes], tuple[int, bytes, int]] = {}  # place and value of a slot, and where it last had another
-        plain, same, earlier = np.zeros(n + 1, np.int64), [], []
+        plain, earlier = np.zeros(n + 1, np.int64), []
         found: list[tuple[int, int]] = []
         start = 0
 
@@ -150,7 +170,6 @@ class Matcher:
 
         for j in range(n):
             u, v, kind = d.word(a + j), t.word(b + j), int(t.kind[b + j])
-            same.append(u == v)
             plain[j + 1] = plain[j] + (not kind)
             before, value, other = last.get((kind, v), (-1, u, -1)) if kind else (-1, u, -1)
             if value != u:
@@ -164,16 +183,18 @@ class Matcher:
                 consider(start, j)
                 start = to
         consider(start, n)
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).astype(np.int8)))
-        if found != [(0, n)]:
-            found += [(int(x), int(y)) for x, y in zip(edges[::2], edges[1::2]) if y - x >= WINDOW]
-        out: list[tuple[int, int]] = []
-        for x, y in sorted(found):
-            if out and x <= out[-1][1]:
-                out[-1] = (out[-1][0], max(y, out[-1][1]))
-            else:
-                out.append((x, y))
-        return [(x, y - x) for x, y in out]
+        return [(x, y - x) for x, y in _joined(found)]
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans without overlaps, in order."""
+    out: list[tuple[int, int]] = []
+    for x, y in sorted(spans):
+        if out and x <= out[-1][1]:
+            out[-1] = (out[-1][0], max(y, out[-1][1]))
+        else:
+            out.append((x, y))
+    return out
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Matcher]:

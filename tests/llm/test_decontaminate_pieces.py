@@ -135,6 +135,16 @@ def test_a_conflict_does_not_hide_the_rest_of_a_run():
     assert not m.find([b"so Eve gave 8 coins to Tom and then Max took the coins from Jim again and met Max while Jim was out"])[0]
 
 
+def test_word_for_word_copies_count_whatever_their_words():
+    one = lambda item, text: [(i, k) for i, _, k in decontaminate.Matcher([(1, item)]).find([text.encode()])[0]]
+    numbers = "3 km 4 km 5 km 6 km 7 km 8 km"
+    assert one(numbers, f"see {numbers} here") == [(0, 12)]
+    assert one(numbers, "see 9 km 4 km 2 km 6 km 1 km 8 km here") == []
+    passage = "the train from Lima met Anna and Bert at noon near Quito where Carl slept"
+    assert one(passage, "AND " + passage.upper() + " SO") == one(passage, "and " + passage.lower() + " so") == [(0, len(passage.split()))]
+    assert one("2 4 6 8", "it is 2 4 6 8 again") == [(0, 4)]
+
+
 def brute(text, item):
     """Whether eight equal plain words of the item stand in the text, for texts without slots."""
     norm = lambda s: ["".join(c for c in w.lower() if c.isalnum() or ord(c) > 127) for w in s.split()]
