@@ -1,7 +1,8 @@
 """A corpus pipeline: quality rules, near duplicates, repeated passages, benchmark leaks, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps with the columns of
-``documents``; the last one returns doc_id, ids and n_tokens. ``run`` writes what a stage returns as
+``documents``; the last one encodes, decodes what it has encoded, and returns doc_id, ids, n_tokens, the SHA-256 of
+the decoded bytes and whether they are the text's. ``run`` writes what a stage returns as
 Parquet in the shared folder and reads it back for the next.
 
 Null, empty, long and repeated texts and further columns are treated as each operator says; a document
@@ -10,7 +11,7 @@ whose whole text is repeated stays with an empty text; an empty table passes thr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from longview.llm import decontaminate, minhash, pieces, quality, suffixes
 from longview.llm.common import settle
@@ -41,7 +42,11 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship(spark)
-    return pieces.encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "ids", "n_tokens")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    out = pieces.decode(pieces.encode(rows, model).select("doc_id", "sha", "ids", "n_tokens"), model)
+    decoded = F.sha2("decoded", 256)
+    return out.select("doc_id", "ids", "n_tokens", decoded.alias("decoded_sha256"), (decoded == F.col("sha")).alias("round_trip"))
 
 
 STAGES = [

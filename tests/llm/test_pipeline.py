@@ -40,3 +40,12 @@ def test_stages_with_nulls_clashing_columns_and_empty_tables(spark):
         if name != "encoding":
             assert got.columns == df.columns
         assert got.count() == (2 if name == "quality_rules" else 5)
+
+
+def test_encoding_is_decoded_and_checked(spark):
+    import hashlib
+
+    texts = {1: "Hello  world\n▁é", 2: "", 3: None, 4: "日本語 the\t"}
+    got = corpus_pipeline.encoding(spark, spark.createDataFrame([*texts.items()], "doc_id long, text string"), SF).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in got} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts.items()}
+    assert all(r.round_trip and len(r.ids) == r.n_tokens for r in got)
