@@ -7,10 +7,10 @@ a smaller id. Documents are judged on the input, and matches never cross documen
    equal windows pick equal anchors, one for some fourteen bytes. Anchors that occur in two documents or
    more are found by a shuffle of their hashes alone; windows of other anchors can't repeat.
 2. Suffix arrays. The windows that picked a repeated anchor go, with their bytes, to the task of that
-   anchor. Its windows form shards of bounded size; each shard gets a suffix array of its window starts,
-   refined in the manner of Larsson and Sadakane: only groups that are still tied are sorted again, by
-   what follows at the depth reached. Common prefixes of neighbours, up to LENGTH, part the array into
-   classes of equal windows. Shards are merged by binary search of their sorted classes.
+   anchor. Its windows form shards of bounded size; each shard gets a sparse suffix array of its window
+   starts, by keys of fixed length: only groups that are still tied are sorted again, by the next eight
+   bytes, up to LENGTH. Neighbours that differ there part the array into classes of equal windows.
+   Larsson-Sadakane doubling and Kasai's prefixes, which need every suffix of a text, serve in tests. Shards are merged by binary search of their sorted classes.
 3. Windows whose class has a smaller document id are marked, and each document's marks are united.
 
 Blocks of documents settle what they can before each shuffle: of equal anchors, or equal runs of windows,
