@@ -22,6 +22,7 @@ named as the results.
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -30,11 +31,13 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from .common import small_batches
 
-CACHE = 400_000
+#: Bytes of parts and ids kept for later texts by each of a worker's two tables, and bytes of text taken at a time.
+CACHE = 16 << 20
+SLICE = 1 << 20
 #: Characters up to which a part's neighbours are scanned for the best merge; longer ones take a heap.
 SHORT = 100
 SPACE = "▁"
@@ -43,18 +46,22 @@ _MARK = "\x00"
 
 
 class _Known:
-    """The ids of parts met before; those not met again for ``CACHE`` new ones are forgotten."""
+    """The ids of parts met before, in two generations of about ``CACHE`` / 2 bytes; what the younger did not meet is forgotten."""
 
     def __init__(self):
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, parts: set[str], make) -> None:
-        if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
+        if self.held > CACHE // 2:
+            self.young, self.old, self.held = {}, self.young, 0
         for p in parts.difference(self.young):
             x = self.old.pop(p, None)
-            self.young[p] = np.array(make(p), dtype=np.int32).tobytes() if x is None else x
+            if x is None:
+                x = np.array(make(p), dtype=np.int32).tobytes()
+            self.young[p] = x
+            self.held += 180 + len(p) + len(x)  # with the two objects and their place in the table
 
 
 class Codec:
@@ -65,7 +72,7 @@ class Codec:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.byte_ids = np.zeros(256, dtype=np.int32)
-        self.out: list[bytes] = []
+        out: list[bytes] = []
         self.scores: dict[str, tuple[int, float, int]] = {}
         self.byte_score = -1e9
         for i in range(len(model)):
@@ -73,11 +80,11 @@ class Codec:
             if model.is_byte(i):
                 b = int(p[3:5], 16)
                 self.byte_ids[b], self.byte_score = i, min(-1.0, model.get_score(i))
-                self.out.append(bytes([b]))
+                out.append(bytes([b]))
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
-                self.out.append(b"")
+                out.append(b"")
             else:
-                self.out.append(p.replace(SPACE, " ").encode())
+                out.append(p.replace(SPACE, " ").encode())
                 self.scores[p] = (len(p), model.get_score(i), i)
         self.automaton = ahocorasick.Automaton()
         for p, v in self.scores.items():
@@ -87,8 +94,8 @@ class Codec:
         self.split = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if cuts else r"(?s).+").findall
         self.cuts = cuts
         self.words, self.parts = _Known(), _Known()
-        self.sizes = np.array([len(x) for x in self.out])
-        self.flat = np.frombuffer(b"".join(self.out), dtype=np.uint8)
+        self.sizes = np.array([len(x) for x in out])
+        self.flat = np.frombuffer(b"".join(out), dtype=np.uint8)
         self.places = np.cumsum(self.sizes) - self.sizes
 
     def viterbi(self, part: str) -> tuple[list[int], float]:
@@ -132,7 +139,15 @@ class Codec:
         return self.viterbi(part)[0]
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text."""
+        """The ids of each text, worked out for some ``SLICE`` bytes of texts at a time."""
+        out: list[np.ndarray] = []
+        ends = np.cumsum([len(t or "") for t in texts])
+        while len(out) < len(texts):
+            upto = int(np.searchsorted(ends, (ends[len(out) - 1] if out else 0) + SLICE, "right"))
+            out += self._encode_some(texts[len(out) : max(upto, len(out) + 1)])
+        return out
+
+    def _encode_some(self, texts: list[str | None]) -> list[np.ndarray]:
         plain: list[tuple[int, list[str]]] = []
         spaced: list[tuple[int, list[str]]] = []
         out = [np.zeros(0, dtype=np.int32)] * len(texts)
@@ -256,6 +271,16 @@ def codec(path: str) -> Codec:
     return MergeCodec(path)
 
 
+_VERIFIED = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
+
+
+def _lists(ids: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """The ids of a batch as one Arrow column of lists, and their numbers."""
+    sizes = np.array([len(x) for x in ids], dtype=np.int64)
+    flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat), pa.array(sizes)
+
+
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """``docs`` with ids (array of int) and n_tokens (long)."""
     small_batches(docs.sparkSession)
@@ -266,10 +291,7 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for b in batches:
-            ids = c.encode_all(b.column(names.index(text)).to_pylist())
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(sizes)], [*names, "ids", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *_lists(c.encode_all(b.column(names.index(text)).to_pylist()))], [*names, "ids", "n_tokens"])
 
     return docs.mapInArrow(run, schema)
 
@@ -292,10 +314,29 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
+def verified(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """``docs`` with ids (array of int), n_tokens (long), and, of these ids decoded, decoded_sha256 (of the bytes) and
+    round_trip (whether they are the text's). One worker does both, and the decoded text goes no further."""
+    small_batches(docs.sparkSession)
+    docs = docs.drop(*(f.name for f in _VERIFIED))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model)
+        for b in batches:
+            texts = b.column(names.index(text)).to_pylist()
+            ids = c.encode_all(texts)
+            back = [c.decode(x) for x in ids]
+            shas = [hashlib.sha256(x).hexdigest() for x in back]
+            same = [x == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(back, texts)]
+            lists, sizes = _lists(ids)
+            yield pa.RecordBatch.from_arrays([*b.columns, lists, sizes, pa.array(shas, pa.string()), pa.array(same, pa.bool_())], [*names, *(f.name for f in _VERIFIED)])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *_VERIFIED]))
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
-    out = decode(encode(docs, model).select("doc_id", "sha", "ids", "n_tokens"), model)
-    return out.select("doc_id", "n_tokens", F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"), "ids")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return verified(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "decoded_sha256", "round_trip", "ids")
