@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, types as T
 from .common import small_batches
 
 #: Bytes of parts and ids kept for later texts by each of a worker's two tables, and bytes of text taken at a time.
-CACHE = 16 << 20
+CACHE = 80 << 20
 SLICE = 1 << 20
 #: Characters up to which a part's neighbours are scanned for the best merge; longer ones take a heap.
 SHORT = 100
