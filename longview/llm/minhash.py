@@ -2,29 +2,30 @@
 
 Documents are linked where 100 * intersection >= 80 * union of their sets of word shingles.
 
-1. One pass gives each text's set size, a 128-bit fingerprint of its set, its ``SKETCH`` smallest hashes,
-   and counts of hashed shingles in a table of fixed size (a count-min row). Texts with equal sets form a
-   class, which goes on with its smallest id.
-2. The counts turn the hash into an order, common shingles last, that is the same for all documents. Of n
-   shingles the first ``n - ceil(0.8 n) + 1`` are retained: two sets with that likeness share a retained
-   value, so the inverted lists of retained values meet every link.
-3. In each list every document is paired with the smallest and with the hub, that with the largest share of
-   shared values; each keeps its best partner of either kind. These pairs are confirmed on full sets, and
-   linked documents get one label. Then only documents of one list with different labels are paired: in short
-   lists if their sizes, what they can share and their signatures allow a link, in long ones if by their edits
-   of the list's hub they may be alike (:func:`_off_hub`). A retained value of no other document
-   is shared with none, so the others bound every intersection. So a group of thousands of near copies is joined by as many
-   pairs, not by their square, and no link between components is lost.
-4. A signature has a bit of the smallest hash in each of 128 ranges; of a linked pair at most ``BITS``
-   differ (surely for unions up to 210, else but for a chance under 1e-12). The union sketch of a pair then
-   estimates its likeness; pairs below ``FLOOR`` are dropped (a linked one by a chance under 1e-15). The
-   others are confirmed on full sets.
-
-What is broadcast is the count table (fixed size), and ids or labels where their counted rows are few.
+1. Sketches. One pass over the texts keeps of each set its size, a 128-bit fingerprint and its ``SKETCH`` smallest
+   hashes. Texts with equal sets form a class, which goes on with its smallest id.
+2. Inverted lists. Every retained value gets its list of documents. Linked sets share at least ``need`` retained
+   values: surely ceil(0.8 n) where both sketches are whole sets, else half of ``SKETCH``, which a pair at the limit
+   misses by a chance of 2e-8. So of each sketch only the ``size - need + 1`` rarest values are listed (rarity as
+   counted over all sketches, the same for all documents): two that are linked still meet, and passages that many
+   documents share are in no list unless a document is made of little else. Values of one document are not listed.
+3. Overlaps. In each list every document is paired with the list's hub (its document with most values listed, the
+   smallest id of equals), and keeps the hub with which it has the largest overlap. Pairs whose union sketch (the
+   ``SKETCH`` smallest values of both) has less than ``FLOOR`` of its values in both are dropped, a linked one by a chance of
+   2e-8 again; the others are confirmed on full sets, and linked documents get one label.
+4. Then only documents of one list with different labels are paired: in lists of up to ``SHORT`` directly, in longer
+   ones where their edits of the list's hub leave room for a link (:func:`_off_hub`, which loses none). These pairs
+   pass the union sketch and the full sets as well. So a group of thousands of near copies costs
+   about as many pairs, not their square.
+
+``near_duplicates(..., sketch=None)`` is the exact way: it retains whole sets, so that steps 2 and 3 lose nothing.
+
+Full sets are fetched for confirmed pairs only, in groups of a few MB that get each set once; hubs with many partners
+are in several groups. What is broadcast are ids, labels or counts where their counted rows are few.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; a text of fewer
-words than a shingle has one, the whole; rows with a null id have no component and are kept; rows are
-judged one by one, equal rows alike; an empty table gives an empty table; further columns are ignored.
+words than a shingle has one, the whole; rows with a null id have no component and are kept; rows of one id
+are one document, linked with whatever one of its texts is alike; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,22 +34,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import arrays
 from .common import BROADCAST_KEYS, drop, is_small, lookup, settle, small_batches
 from .graph import components
 
 PERCENT = 80
-SKETCH = 48
-FLOOR = 0.25
-BITS = 42
-COUNTERS = 1 << 20
+SKETCH = 64
+FLOOR = 0.5
 #: Lists up to this size pair their documents directly, longer ones by their edits of a hub; both lose no link.
 SHORT = 16
-SLICES = 16
-FLUSH = 2_000_000
-_SHIFT = np.uint64(44)
+#: Bytes of full sets in a group of pairs, about.
+GROUP = 8 << 20
+_WHOLE = 1 << 31
 
 
 def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,139 +70,92 @@ def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return s[new], d[new]
 
 
-def _signature(s: np.ndarray, d: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lowest bit of the smallest hash of each of 128 ranges, for texts with ``n`` sorted hashes each."""
-    place = s >> np.uint64(57)
-    least = np.append(True, (place[1:] != place[:-1]) | (d[1:] != d[:-1]))[: len(s)]
-    bit = np.where(least, s & np.uint64(1), np.uint64(0)) << (place & np.uint64(63))
-    has, out = np.flatnonzero(n), []
-    start = (np.cumsum(n) - n)[has]
-    for high in (False, True):
-        x = np.zeros(len(n), dtype=np.uint64)
-        if len(has):
-            x[has] = np.add.reduceat(np.where((place > 63) == high, bit, np.uint64(0)), start)
-        out.append(x.view(np.int64))
-    return out[0], out[1]
-
-
-def _signs(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of kind 0, one for each document, and of kind 1, slices of the counts."""
+def _signs(docs: DataFrame, k: int, sketch: int) -> DataFrame:
+    """doc_id, n (set size), f1 and f2 (fingerprint of the set) and sketch (its smallest hashes) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, dtype=np.int64)
-        schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("data", pa.binary())])
-        some = False
         for b in batches:
             s, d = shingles(arrays.as_bytes(b.column(1)), k)
-            counts += np.bincount((s >> _SHIFT).astype(np.int64), minlength=COUNTERS)
-            some = some or len(s) > 0
             n = np.bincount(d, minlength=b.num_rows)
             stop = np.concatenate(([0], np.cumsum(n)))
             with np.errstate(over="ignore"):
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(arrays.mix(s * np.uint64(c))))) for c in (1, 0x9E3779B97F4A7C15)]
                 f1, f2 = ((x[stop[1:]] - x[stop[:-1]]).view(np.int64) for x in sums)
-            s1, s2 = _signature(s, d, n)
-            low = (s >> np.uint64(32)).astype(np.uint32)
-            data = [low[a : min(z, a + SKETCH)].tobytes() for a, z in zip(stop[:-1].tolist(), stop[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int8)), b.column(0), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), pa.array(s1), pa.array(s2), pa.array(data, pa.binary())], schema=schema)
-        if some:
-            rows = [{"kind": 1, "doc_id": i, "n": 0, "f1": 0, "f2": 0, "s1": 0, "s2": 0, "data": x.astype(np.uint32).tobytes()} for i, x in enumerate(np.split(np.minimum(counts, 2**32 - 1), SLICES))]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            low = s[np.arange(len(s)) - stop[d] < sketch].view(np.int64)
+            places = np.concatenate(([0], np.cumsum(np.minimum(n, sketch)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), pa.ListArray.from_arrays(pa.array(places), pa.array(low))], ["doc_id", "n", "f1", "f2", "sketch"])
 
-    return settle(docs.select("doc_id", "text").mapInArrow(run, "kind byte, doc_id long, n long, f1 long, f2 long, s1 long, s2 long, data binary"), "signs")
+    return settle(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch array<long>"), "signs")
 
 
-def _heat(signs: DataFrame) -> np.ndarray:
-    """For each counter how far it is above the mean, in half powers of two from 0 to 15."""
+def _entries(heads: DataFrame, sketch: int) -> DataFrame:
+    """(value, doc, n, listed): the inverted lists, with each document's set size and number of values listed."""
+    each = heads.select("doc_id", "n", "f1", F.explode("sketch").alias("value"))
+    # Equal rows hold a value twice, but in one document.
+    counts = each.groupBy("value").agg(F.count("*").alias("df"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    shared = settle(counts.where("lo < hi").select("value", "df"), "shared")
+    live = each.join(F.broadcast(shared) if is_small(shared) else shared, "value")
+    size = F.least("n", F.lit(sketch))
+    # Where partners of any size within the limit have whole sketches the overlap is sure.
+    need = F.when(100 * F.col("n") <= PERCENT * sketch, F.ceil(PERCENT * F.col("n") / 100)).otherwise(-(-sketch // 2))
+    own = live.groupBy("doc_id", "f1", "n").agg(F.sort_array(F.collect_set(F.struct("df", "value"))).alias("v"))  # at most ``sketch`` values
+    first = F.greatest(size - need + 1 - (size - F.size("v")), F.lit(0)).cast("int")
+    own = own.withColumn("listed", F.least(first, F.size("v"))).where("listed > 0")
+    out = own.select(F.explode(F.slice("v", F.lit(1), F.col("listed"))).alias("v"), F.col("doc_id").alias("doc"), "n", "listed")
+    out = settle(out.select("v.value", "doc", "n", "listed"), "entries")
+    drop(heads.sparkSession, shared)
+    return out
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, np.uint32).astype(np.int64) for x in table["data"].to_pylist()], axis=0)
-        return pa.table({"slice": table["doc_id"][:1], "data": pa.array([total.tobytes()], pa.binary())})
 
-    got = signs.where("kind = 1").select("doc_id", "data").groupBy("doc_id").applyInArrow(add, "slice long, data binary").collect()  # SLICES rows
-    counts = np.zeros(COUNTERS, dtype=np.int64)
-    for r in got:
-        part = COUNTERS // SLICES
-        counts[r["slice"] * part : (r["slice"] + 1) * part] = np.frombuffer(r["data"], np.int64)
-    return np.clip(np.floor(2 * np.log2(np.maximum(counts / max(1.0, counts.mean()), 1))), 0, 15).astype(np.uint8)
+def _sizes_allow(m, n):
+    return 100 * F.least(m, n) >= PERCENT * F.greatest(m, n)
 
 
-def _lists(docs: DataFrame, k: int, heat: np.ndarray) -> DataFrame:
-    """Rows of kind 0, (a, b, n): documents that share n retained values of a bucket with the smallest
-    document of each list; and of kind 1, (a = value, b = document, n = set size): lists of two and more."""
-    spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = spark.sparkContext.broadcast(heat)
+def _hub():
+    """The document of a list with the most values listed, the smallest id of equals."""
+    return F.max_by(F.struct(F.col("doc").alias("hub"), F.col("n").alias("hub_n")), F.struct("listed", -F.col("doc"))).alias("h")
 
-    def retained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, owner, sizes, held = [], [], [], 0
 
-        def flush() -> pa.RecordBatch:
-            v, o, n = np.concatenate(values), np.concatenate(owner), np.concatenate(sizes)
-            with np.errstate(over="ignore"):
-                b = (arrays.mix(v) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(b, kind="stable")
-            cut = np.flatnonzero(np.append(True, b[order][1:] != b[order][:-1]))
-            rows = []
-            for x, y in zip(cut, np.append(cut[1:], len(b))):
-                at = order[x:y]
-                rows.append({"bucket": int(b[at[0]]), "value": v[at].tobytes(), "doc": o[at].tobytes(), "n": n[at].astype(np.uint32).tobytes()})
-            return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("value", pa.binary()), ("doc", pa.binary()), ("n", pa.binary())]))
-
-        for batch in batches:
-            s, d = shingles(arrays.as_bytes(batch.column(1)), k)
-            if not len(s):
-                continue
-            s = shared.value[(s >> _SHIFT).astype(np.int64)].astype(np.uint64) << np.uint64(60) | s >> np.uint64(4)
-            order = np.lexsort((s, d))
-            s, d = s[order], d[order]
-            n = np.bincount(d, minlength=batch.num_rows)
-            place = np.arange(len(s)) - (np.cumsum(n) - n)[d]
-            keep = place < (n - -(-PERCENT * n // 100) + 1)[d]
-            values.append(s[keep])
-            owner.append(batch.column(0).to_numpy()[d[keep]])
-            sizes.append(n[d[keep]])
-            held += int(keep.sum())
-            if held >= FLUSH:
-                yield flush()
-                values, owner, sizes, held = [], [], [], 0
-        if held:
-            yield flush()
-
-    out_schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-
-    def meet(table: pa.Table) -> pa.Table:
-        cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()])
-        v, doc, n = cat("value", np.uint64), cat("doc", np.int64), cat("n", np.uint32).astype(np.int64)
-        order = np.lexsort((doc, v))
-        v, doc, n = v[order], doc[order], n[order]
-        new = np.append(True, v[1:] != v[:-1])
-        size = np.diff(np.append(np.flatnonzero(new), len(v)))
-        live = np.repeat(size > 1, size)
-        v, doc, n, new = v[live], doc[live], n[live], new[live]
-        if not len(v):
-            return out_schema.empty_table()
-        first = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
-        star = (first != np.arange(len(v))) & (doc[first] != doc) & _sizes_allow(n[first], n)
-        pairs, count = np.unique(np.stack([doc[first][star], doc[star]], 1), axis=0, return_counts=True)
-        kind = np.repeat(np.array([0, 1], np.int8), [len(pairs), len(v)])
-        cols = [kind, np.concatenate((pairs[:, 0], v.view(np.int64))), np.concatenate((pairs[:, 1], doc)), np.concatenate((count, n))]
-        return pa.Table.from_arrays([pa.array(c) for c in cols], schema=out_schema)
-
-    packed = docs.select("doc_id", "text").mapInArrow(retained, "bucket int, value binary, doc binary, n binary")
-    return settle(packed.groupBy("bucket").applyInArrow(meet, "kind byte, a long, b long, n long"), "lists")
-
-
-def _sizes_allow(m: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return 100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n)
+def _of(df: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose doc_id is in ``pairs``, and the table of these ids."""
+    ids = settle(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "ids")
+    return df.join(F.broadcast(ids) if is_small(ids, BROADCAST_KEYS) else ids, "doc_id", "left_semi"), ids
+
+
+def _likely(pairs: DataFrame, heads: DataFrame, sketch: int) -> DataFrame:
+    """The pairs (a, b, m, n) whose union sketch does not rule a link out."""
+    pairs = settle(pairs, "pairs")
+    some, ids = _of(heads.select("doc_id", "sketch"), pairs)
+    with_a = pairs.join(some, F.col("a") == F.col("doc_id")).select(*pairs.columns, F.col("sketch").alias("x"))
+    both = with_a.join(some, F.col("b") == F.col("doc_id")).select(*pairs.columns, "x", F.col("sketch").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for c in (b.column(4), b.column(5)):
+                flat, stop = c.flatten().to_numpy(zero_copy_only=False).view(np.uint64), c.offsets.to_numpy() - c.offsets[0].as_py()
+                sets.append([flat[i:j] for i, j in zip(stop[:-1], stop[1:])])
+            keep = []
+            for x, y in zip(*sets):
+                every = np.concatenate((x, y))
+                every.sort()
+                twice = np.append(every[1:] == every[:-1], False)
+                new = np.append(True, ~twice[:-1])
+                union = np.flatnonzero(new)[:sketch]
+                keep.append(int(np.count_nonzero(twice[union])) >= FLOOR * len(union))
+            yield pa.RecordBatch.from_arrays(b.columns[:4], ["a", "b", "m", "n"]).filter(pa.array(keep, pa.bool_()))
+
+    out = settle(both.mapInArrow(run, "a long, b long, m long, n long").dropDuplicates(["a", "b"]), "likely")
+    for df in (pairs, ids):
+        drop(heads.sparkSession, df)
+    return out
 
 
 def _with_sets(pairs: DataFrame, docs: DataFrame, k: int, compare, kind: str, name: str) -> DataFrame:
-    """What ``compare`` makes of groups of pairs (a, b) of document ids: it gets the sets of each a, and
-    the rows (a, b, set of b)."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    needed = settle(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "needed")
-    some = docs.join(F.broadcast(needed) if is_small(needed, BROADCAST_KEYS) else needed, "doc_id", "left_semi")
+    """What ``compare`` makes of groups of pairs (a, b) of document ids: it gets the full sets of a group by id, and
+    its pairs. ``pairs`` is settled and has the set sizes m and n."""
+    spark = docs.sparkSession
+    some, ids = _of(docs, pairs)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,21 +164,26 @@ def _with_sets(pairs: DataFrame, docs: DataFrame, k: int, compare, kind: str, na
             data = [x.tobytes() for x in np.split(s, stop[:-1])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
 
-    full = settle(some.select("doc_id", "text").mapInArrow(sets, "doc_id long, data binary"), "sets")
+    full = some.select("doc_id", "text").mapInArrow(sets, "doc_id long, data binary")
+    total = pairs.agg(F.sum(8 * (F.col("m") + F.col("n")))).first()[0] or 0
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // GROUP))
     # A document with very many partners meets them in many groups.
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(1024)).alias("salt"))
-    group = F.pmod(F.xxhash64("a", "salt"), F.lit(buckets)).cast("int").alias("g")
-    left = salted.select("a", "salt").distinct().join(full, F.col("a") == F.col("doc_id")).select(group, "a", "data")
-    right = salted.join(full, F.col("b") == F.col("doc_id")).select(group.alias("h"), F.col("a").alias("of"), F.col("b").alias("with"), F.col("data").alias("other"))
+    hubs = pairs.groupBy("a").agg(F.ceil(F.sum(8 * F.col("n")) / (GROUP // 2)).alias("salts")).where("salts > 1")
+    salted = lookup(pairs.select("a", "b"), settle(hubs, "hubs"), ["a"], "b")
+    g = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)))), F.lit(groups)).cast("int")
+    salted = settle(salted.select(g.alias("g"), "a", "b"), "grouped")
+    wanted = salted.select("g", F.col("a").alias("doc")).unionAll(salted.select("g", "b")).distinct()
+    left = wanted.join(full, F.col("doc") == F.col("doc_id")).select(F.col("g").alias("of"), "doc", "data")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own: dict[int, list[np.ndarray]] = {}
-        for a, x in sorted(dict.fromkeys(zip(left["a"].to_pylist(), left["data"].to_pylist()))):
+        for a, x in sorted(zip(left["doc"].to_pylist(), left["data"].to_pylist())):
             own.setdefault(a, []).append(np.frombuffer(x, np.uint64))
-        return compare(own, zip(right["of"].to_pylist(), right["with"].to_pylist(), right["other"].to_pylist()))
+        return compare(own, sorted(zip(right["a"].to_pylist(), right["b"].to_pylist())))
 
-    found = settle(left.groupBy("g").cogroup(right.groupBy("h")).applyInArrow(run, kind), name)
-    drop(docs.sparkSession, full)
+    found = settle(left.groupBy("of").cogroup(salted.groupBy("g")).applyInArrow(run, kind), name)
+    for df in (ids, salted):
+        drop(spark, df)
     return found
 
 
@@ -241,12 +198,8 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The pairs (a, b) of document ids whose full sets are alike enough."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(own, rows) -> pa.Table:
-        linked = set()
-        for a, b, y in rows:
-            y = np.frombuffer(y, np.uint64)
-            if any(_alike(x, y) for x in own.get(a, ())):
-                linked.add((a, b))
+    def compare(own, pairs) -> pa.Table:
+        linked = [(a, b) for a, b in pairs if any(_alike(x, y) for x in own.get(a, ()) for y in own.get(b, ()))]
         return pa.Table.from_pylist([{"a": a, "b": b} for a, b in linked], schema=schema)
 
     return _with_sets(pairs, docs, k, compare, "a long, b long", "links")
@@ -254,134 +207,109 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 def _edits(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """How each document b differs from its hub a: n (set size), gone and more (numbers of the hub's
-    shingles that it lacks, and of its own), linked (alike enough), loose (not alike the hub's first set),
+    shingles that it lacks, and of its own), loose (not alike the hub's first set),
     extra (its own) and few (the lacked ones), each in order and as many as :func:`_off_hub` needs."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), *((c, pa.int64()) for c in ("n", "gone", "more")), ("linked", pa.bool_()), ("loose", pa.bool_()), ("extra", pa.list_(pa.int64())), ("few", pa.list_(pa.int64()))])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), *((c, pa.int64()) for c in ("n", "gone", "more")), ("loose", pa.bool_()), ("extra", pa.list_(pa.int64())), ("few", pa.list_(pa.int64()))])
 
-    def compare(own, rows) -> pa.Table:
+    def compare(own, pairs) -> pa.Table:
         out = []
-        for a, b, y in rows:
-            y = np.frombuffer(y, np.uint64)
-            sets = own.get(a, ())
-            if not sets:
-                continue
-            lacked, extra = np.setdiff1d(sets[0], y, True), np.setdiff1d(y, sets[0], True)
-            n, gone, more = len(y), len(lacked), len(extra)
-            loose = 9 * (gone + more) > n + len(sets[0])
-            few = n // 4 + 1 - more if loose else (4 * (gone - more)) // 9 + 1
-            extra = extra[: n // 4 + 1] if loose else extra
-            out.append({"a": a, "b": b, "n": n, "gone": gone, "more": more, "linked": any(_alike(x, y) for x in sets), "loose": loose, "extra": extra.view(np.int64), "few": lacked[: max(0, few)].view(np.int64)})
+        for a, b in pairs:
+            hub = own[a][0]
+            for y in own[b]:
+                lacked, extra = np.setdiff1d(hub, y, True), np.setdiff1d(y, hub, True)
+                n, gone, more = len(y), len(lacked), len(extra)
+                loose = 9 * (gone + more) > n + len(hub)
+                few = n // 4 + 1 - more if loose else (4 * (gone - more)) // 9 + 1
+                extra = extra[: n // 4 + 1] if loose else extra
+                out.append({"a": a, "b": b, "n": n, "gone": gone, "more": more, "loose": loose, "extra": extra.view(np.int64), "few": lacked[: max(0, few)].view(np.int64)})
         return pa.Table.from_pylist(out, schema=schema)
 
-    return _with_sets(pairs, docs, k, compare, "a long, b long, n long, gone long, more long, linked boolean, loose boolean, extra array<long>, few array<long>", "edits")
+    return _with_sets(pairs, docs, k, compare, "a long, b long, n long, gone long, more long, loose boolean, extra array<long>, few array<long>", "edits")
 
 
 def _off_hub(edits: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents with one hub that may be linked though one of them is not alike the hub.
+    """The pairs (a, b, m, n) of documents with one hub that may be linked though one of them is not alike the hub.
 
     Let D be a document's edits, what it lacks of the hub and what it has besides. Two sets of sizes m and n
     are alike if their edits differ by (m + n) / 9 at most (for 80 percent), so they share at least
     (|D| + |D'| - (m + n) / 9) / 2 edits, which is over 0. Either they share something that the hub has not,
     or their share of the lacked shingles alone reaches that number, and then the first few lacked ones of
     both meet (a prefix filter). A loose document has n / 4 more edits than it has to share at most, so in
-    an order with its own shingles first the first n / 4 + 1 edits are enough to meet. Edits of single documents are shared with none, which bounds the rest.
-    ``edits`` has ``label``, the component of b so far, and what :func:`_fits` needs of b.
+    an order with its own shingles first the first n / 4 + 1 edits are enough to meet. Edits of single documents are
+    shared with none, which bounds the rest. ``edits`` has ``label``, the component of b so far.
     """
     own = edits.select("a", "b", "label", F.explode("extra").alias("edit"))  # those left out may all be shared
     shared = settle(own.groupBy("a", "edit").agg(F.count("*").alias("c"), (F.min("label") < F.max("label")).alias("mixed")).where("c > 1").drop("c"), "shared")
     common = own.join(shared, ["a", "edit"])
     both = common.groupBy("a", "b").agg(F.count("*").alias("common"))
     rest = F.col("more") - F.size("extra")
-    info = edits.select("a", "b", "n", "gone", "more", "loose", "label", "r", "s1", "s2", rest.alias("rest")).join(both, ["a", "b"], "left")
+    info = edits.select("a", "b", "n", "gone", "more", "loose", "label", rest.alias("rest")).join(both, ["a", "b"], "left")
     info = settle(info.fillna(0, ["common"]), "info")
     keys = common.where("mixed").select("a", "b", "edit", F.lit(True).alias("own")).unionByName(edits.select("a", "b", F.explode("few").alias("edit"), F.lit(False).alias("own")))
     x = settle(keys.join(info, ["a", "b"]), "keys")
-    y = x.select(*[F.col(c).alias(f"{c}_2") for c in ("a", "edit", "own", "b", "gone", "more", "loose", "label", "common", "rest")], F.col("n").alias("hub_n"), F.col("r").alias("hub_r"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    needed = 9 * (F.col("gone") + F.col("more") + F.col("gone_2") + F.col("more_2")) - (F.col("n") + F.col("hub_n"))
+    y = x.select(*[F.col(c).alias(f"{c}_2") for c in x.columns])
+    needed = 9 * (F.col("gone") + F.col("more") + F.col("gone_2") + F.col("more_2")) - (F.col("n") + F.col("n_2"))
     reached = F.least("gone", "gone_2") + F.when(F.col("own"), F.least("common", "common_2") + F.col("rest") + F.col("rest_2")).otherwise(0)
     may = (F.col("b") < F.col("b_2")) & (F.col("label") != F.col("label_2")) & (F.col("loose") | F.col("loose_2")) & (needed <= 18 * reached)
-    may = may & (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")) & _fits()
+    may = may & _sizes_allow(F.col("n"), F.col("n_2"))
     same = [F.col(c) == F.col(f"{c}_2") for c in ("a", "edit", "own")]
-    return x.join(y, [*same, may]).select(F.col("b").alias("a"), F.col("b_2").alias("b"))
-
-
-def _fits() -> Column:
-    """Whether sizes (n, hub_n), shareable values (r, hub_r) and signatures (s1, s2 and t1, t2) allow a link."""
-    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-    shared = F.least("r", "hub_r")
-    return ((100 + PERCENT) * shared >= PERCENT * (F.col("n") + F.col("hub_n"))) & (differ <= BITS)
-
+    return x.join(y, [*same, may]).select(F.col("b").alias("a"), F.col("b_2").alias("b"), F.col("n").alias("m"), F.col("n_2").alias("n"))
 
-def _likely(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """The pairs whose union sketch does not rule a link out."""
-    sketch = signs.where("kind = 0").select("doc_id", "data").dropDuplicates(["doc_id"])
-    with_a = pairs.join(sketch, F.col("a") == F.col("doc_id")).select("a", "b", F.col("data").alias("x"))
-    both = with_a.join(sketch, F.col("b") == F.col("doc_id")).select("a", "b", "x", F.col("data").alias("y"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                union = np.union1d(x, y)[:SKETCH]
-                keep.append(len(np.intersect1d(np.intersect1d(union, x), y)) >= FLOOR * len(union))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _spokes(entries: DataFrame, lists: DataFrame, *more: str) -> DataFrame:
+    """Rows (a = hub, b = document, m, n) of the documents of each list, a row for each list."""
+    met = entries.join(lists, "value").where("doc <> hub")
+    return met.select(F.col("hub").alias("a"), F.col("doc").alias("b"), F.col("hub_n").alias("m"), "n", *more)
 
-    return both.mapInArrow(run, "a long, b long")
 
-
-def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int, sketch: int | None = SKETCH) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that a document reaches) and kept, a row for each row."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    sketch = sketch or _WHOLE
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signs = _signs(docs, k)
-    rows = signs.where("kind = 0").select("doc_id", "n", "f1", "f2")
-    solid = rows.where("n > 0 AND doc_id IS NOT NULL")
+    signs = _signs(docs, k, sketch)
+    solid = signs.where("n > 0 AND doc_id IS NOT NULL")
     classes = settle(solid.groupBy("f1", "f2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("m")).where("m > 1").drop("m"), "classes")
-    rows = settle(lookup(rows, classes, ["f1", "f2"], "doc_id").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("first_id", "doc_id")).otherwise(F.col("doc_id")).alias("first_id")), "rows")
-    copies = settle(rows.where("doc_id IS NULL OR n = 0 OR doc_id <> first_id").select("doc_id").where("doc_id IS NOT NULL").distinct(), "copies")
-    firsts = docs.where("doc_id IS NOT NULL").join(F.broadcast(copies) if is_small(copies, BROADCAST_KEYS) else copies, "doc_id", "left_anti")
-
-    lists = _lists(firsts, k, _heat(signs))
-    stars = lists.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    entries = lists.where("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("doc"))
-    # A hub: of its retained values the largest share is in lists of two and more.
-    live = entries.groupBy("doc").count()
-    info = signs.where("kind = 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct("n", "s1", "s2"), "n").alias("i")).select("doc_id", "i.*")
-    info = settle(live.join(info, F.col("doc") == F.col("doc_id")).select("doc", "n", "s1", "s2", (F.floor((PERCENT * F.col("n") + 99) / 100) - 1 + F.col("count")).alias("r"), (F.col("count") / F.col("n")).alias("share")), "info")
-    entries = settle(entries.join(info, "doc"), "entries")
-    hub = entries.groupBy("value").agg(F.max_by(F.struct(F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("r").alias("hub_r"), F.col("s1").alias("t1"), F.col("s2").alias("t2")), F.struct("share", -F.col("doc"))).alias("h")).select("value", "h.*")
-    near = entries.join(hub, "value").where((F.col("hub") != F.col("doc")) & _fits())
-    near = near.groupBy(F.col("hub").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("n"))
-    best = [x.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")) for x in (stars, near)]
-    first = best[0].unionByName(best[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = settle(first, "stars")
-    drop(docs.sparkSession, lists)
-    links = _confirm(first, firsts, k)
+    rows = lookup(signs.select("doc_id", "n", "f1", "f2"), classes, ["f1", "f2"], "doc_id")
+    rows = settle(rows.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("first_id", "doc_id")).otherwise(F.col("doc_id")).alias("first_id")), "rows")
+    by_id = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("first_id").alias("lo"), F.max("first_id").alias("hi"))
+    by_id = settle(by_id.where("lo < hi OR hi < doc_id"), "by_id")
+    copies = by_id.where("hi < doc_id").select("doc_id")  # all rows of the id are copies
+    several = rows.join(by_id.where("lo < hi").select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")).where("b IS NOT NULL")
+    first_of = lambda df: df.join(F.broadcast(copies) if is_small(copies, BROADCAST_KEYS) else copies, "doc_id", "left_anti")
+    firsts, heads = first_of(docs.where("doc_id IS NOT NULL")), first_of(solid)
+
+    entries = _entries(heads, sketch)
+    lists = entries.groupBy("value").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), _hub()).where("lo < hi").select("value", "h.*")
+    near = _spokes(entries, settle(lists, "lists")).where(_sizes_allow(F.col("m"), F.col("n")))
+    overlaps = near.groupBy("a", "b", "m", "n").agg(F.count("*").alias("overlap"))
+    best = overlaps.groupBy("b").agg(F.max_by(F.struct("a", "m", "n"), F.struct("overlap", -F.col("a"))).alias("p")).select("p.a", "b", "p.m", "p.n")
+    stars = _likely(best, heads, sketch)
+    links = _confirm(stars, firsts, k).unionAll(several)
     labels = components(links)
 
-    plain, entries = entries, lookup(entries, labels.withColumnRenamed("node", "doc"), ["doc"], "value").withColumn("label", F.coalesce("label", "doc"))
-    entries = settle(entries, "labelled")
-    drop(docs.sparkSession, plain)
-    mixed = entries.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
-    left = settle(entries.join(mixed, "value"), "mixed")
-    drop(docs.sparkSession, entries)
-    sized = settle(left.groupBy("value").agg(F.count("*").alias("m"), F.max_by("doc", F.struct("share", -F.col("doc"))).alias("hub")), "sized")
-    short = left.join(sized.where(F.col("m") <= SHORT).select("value"), "value")
-    right = short.select("value", F.col("doc").alias("b"), F.col("n").alias("hub_n"), F.col("r").alias("hub_r"), F.col("label").alias("label_b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    fits = (F.col("doc") < F.col("b")) & (F.col("label") != F.col("label_b")) & _fits()
-    pairs = short.join(right, (short["value"] == right["value"]) & fits).select(F.col("doc").alias("a"), "b").distinct()
-    spokes = left.join(sized.where(F.col("m") > SHORT), "value").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"), "label", "r", "s1", "s2").distinct()
-    spokes = settle(spokes, "spokes")
-    edits = settle(_edits(spokes.select("a", "b"), firsts, k).join(spokes, ["a", "b"]), "edits")
-    pairs = pairs.unionByName(_off_hub(edits)).distinct()
-    pairs = settle(_likely(pairs.join(first, ["a", "b"], "left_anti"), signs), "likely")
-    more = _confirm(pairs, firsts, k)
-    labels = components(links.unionAll(more).unionAll(edits.where("linked").select("a", "b")))
-    labels = labels.select(F.col("node").alias("first_id"), "label")
-    out = lookup(rows, labels, ["first_id"], "doc_id")
+    marked = lookup(entries, labels.withColumnRenamed("node", "doc"), ["doc"], "value").withColumn("label", F.coalesce("label", "doc"))
+    marked = settle(marked, "labelled")
+    drop(spark, entries)
+    mixed = marked.groupBy("value").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), _hub()).where("lo <> hi")
+    mixed = settle(mixed.select("value", F.col("m").alias("size"), "h.*"), "mixed")
+    short = marked.join(mixed.where(F.col("size") <= SHORT).select("value"), "value").select("value", "doc", "n", "label")
+    other = short.select("value", F.col("doc").alias("b"), F.col("n").alias("n_2"), F.col("label").alias("label_2"))
+    fits = (F.col("doc") < F.col("b")) & (F.col("label") != F.col("label_2")) & _sizes_allow(F.col("n"), F.col("n_2"))
+    pairs = short.join(other, (short["value"] == other["value"]) & fits).select(F.col("doc").alias("a"), "b", F.col("n").alias("m"), F.col("n_2").alias("n"))
+    spokes = settle(_spokes(marked, mixed.where(F.col("size") > SHORT), "label").dropDuplicates(["a", "b"]), "spokes")
+    edits = _edits(spokes, firsts, k).join(spokes.select("a", "b", "m", "label"), ["a", "b"])
+    edits = settle(edits, "edits")
+    hubs = edits.where("NOT loose").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m", "n")
+    pairs = pairs.unionByName(_off_hub(edits.drop("m"))).unionByName(hubs).dropDuplicates(["a", "b"])
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _confirm(_likely(pairs.join(done, ["a", "b"], "left_anti"), heads, sketch), firsts, k)
+    labels = components(links.unionAll(more)).select(F.col("node").alias("first_id"), "label")
+    for df in (marked, mixed, spokes, edits, signs):
+        drop(spark, df)
     part = F.coalesce("label", "first_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), part.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == part)).alias("kept"))
+    return lookup(rows, labels, ["first_id"], "doc_id").select("doc_id", F.col("n").alias("n_shingles"), part.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == part)).alias("kept"))
 
 
 def keep(docs: DataFrame, k: int = 5) -> DataFrame:

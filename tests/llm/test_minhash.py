@@ -99,13 +99,53 @@ def family(seed):
     return [(i, " ".join(x)) for i, x in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_long_lists_lose_no_link(spark, monkeypatch, seed):
+@pytest.mark.parametrize(("seed", "sketch", "group"), [(4, 64, 8 << 20), (5, 64, 4000), (5, None, 8 << 20)])
+def test_long_lists_lose_no_link(spark, monkeypatch, seed, sketch, group):
     monkeypatch.setattr(minhash, "SHORT", 2)
+    monkeypatch.setattr(minhash, "GROUP", group)  # a small one: hubs are in several groups
     rows = family(seed)
+    check(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, sketch), rows, 4)
+
+
+def near(seed):
+    """Texts of several hundred words, their likeness around the limit, so that sketches hold a part of each set only."""
+    r = random.Random(seed)
+    rows = []
+    for _ in range(40):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.randint(150, 600))]
+        rows.append(base)
+        for _ in range(4):
+            x = base[:]
+            for at in r.sample(range(len(x)), int(len(x) * r.uniform(0.005, 0.035))):
+                x[at] = f"e{r.randrange(10**6)}"
+            rows.append(x)
+    r.shuffle(rows)
+    return [(i, " ".join(x)) for i, x in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_recall_of_sketches(spark, seed):
+    # A link is missed by a chance of 2e-8: all are found.
+    rows = near(seed)
+    s = sets([t for _, t in rows], 4)
+    likeness = [len(a & b) / len(a | b) for a, b in itertools.combinations(s, 2)]
+    assert sum(0.75 < x < 0.8 for x in likeness) > 5 and sum(0.8 <= x < 0.85 for x in likeness) > 5
     check(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4), rows, 4)
 
 
+def test_exact_way_and_long_text(spark):
+    rows = [*planted(8), (2001, "ab cd ef gh " * 60_000 + "x"), (2002, "ab cd ef gh " * 60_000 + "y"), (2003, "z" * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(minhash.near_duplicates(df, 4, None), rows, 4)
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(20))
+    rows = [(1, text("a")), (2, text("b")), (3, text("a")), (3, text("b")), (4, text("c")), (4, text("b")), (5, text("c") + " more")]
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == {(i, 1) for i in range(1, 6)}
+
+
 def exact_pairs(rows, k):
     """The links between texts of ``rows`` that :func:`minhash._off_hub` has to find: not both alike the first."""
     s = sets([t for _, t in rows], k)
@@ -117,8 +157,9 @@ def exact_pairs(rows, k):
 def test_pairs_by_edits_of_a_hub(spark):
     rows = family(9)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    spokes = spark.createDataFrame([(0, i, i, 10**6, 0, 0) for i in range(1, len(rows))], "a long, b long, label long, r long, s1 long, s2 long")
-    edits = minhash._edits(spokes.select("a", "b"), df, 4).join(spokes, ["a", "b"])
+    h = len(sets([rows[0][1]], 4)[0])
+    spokes = spark.createDataFrame([(0, i, h, h, i) for i in range(1, len(rows))], "a long, b long, m long, n long, label long")
+    edits = minhash._edits(spokes, df, 4).join(spokes.select("a", "b", "label"), ["a", "b"])
     got = {(r.a, r.b) for r in minhash._off_hub(edits).collect()}
     want = exact_pairs(rows, 4)
     assert want and want <= got
