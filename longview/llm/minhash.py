@@ -94,7 +94,7 @@ def _entries(heads: DataFrame, sketch: int) -> DataFrame:
     # Equal rows hold a value twice, but in one document.
     counts = each.groupBy("value").agg(F.count("*").alias("df"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     shared = settle(counts.where("lo < hi").select("value", "df"), "shared")
-    live = each.join(F.broadcast(shared) if is_small(shared) else shared, "value")
+    live = each.join(shared, "value")  # it grows with the documents, so it is not broadcast
     size = F.least("n", F.lit(sketch))
     # Where partners of any size within the limit have whole sketches the overlap is sure.
     need = F.when(100 * F.col("n") <= PERCENT * sketch, F.ceil(PERCENT * F.col("n") / 100)).otherwise(-(-sketch // 2))
