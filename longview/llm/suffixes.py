@@ -7,10 +7,10 @@ a smaller id. Documents are judged on the input, and matches never cross documen
    equal windows pick equal anchors, one for some fourteen bytes. Anchors that occur in two documents or
    more are found by a shuffle of their hashes alone; windows of other anchors can't repeat.
 2. Suffix arrays. The windows that picked a repeated anchor go, with their bytes, to the task of that
-   anchor. Its windows form shards of bounded size; each shard gets a sparse suffix array of its window
-   starts, by keys of fixed length: only groups that are still tied are sorted again, by the next eight
-   bytes, up to LENGTH. Neighbours that differ there part the array into classes of equal windows.
-   Larsson-Sadakane doubling and Kasai's prefixes, which need every suffix of a text, serve in tests. Shards are merged by binary search of their sorted classes.
+   anchor. Its windows form shards of bounded size. Each shard gets the suffix array of its windows by
+   Larsson-Sadakane refinement: ranks by eight bytes, then by 16, 32 and LENGTH, each from two ranks of the step
+   before, only places that are still tied being sorted again. Kasai's common prefixes of neighbours part the
+   array into classes of equal windows. Shards are merged by binary search of their sorted classes.
 3. Windows whose class has a smaller document id are marked, and each document's marks are united.
 
 Blocks of documents settle what they can before each shuffle: of equal anchors, or equal runs of windows,
@@ -40,85 +40,103 @@ from .common import BROADCAST_KEYS, is_small, settle, small_batches
 LENGTH = 50
 GRAM = 24
 BLOCK = 2_000_000
-SHARD = 1_000_000
+SHARD = 500_000
 _LOW = np.uint64((1 << 22) - 1)
 
 
 # --- suffix arrays
-def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Starts of all suffixes in order, by Larsson-Sadakane doubling: ranks by the first h bytes and the
-    ranks h bytes on give ranks by 2h bytes; only groups that are still tied are sorted again. With a
-    ``depth``, suffixes that agree so far are left in order of their starts."""
-    n = len(text)
-    order = np.argsort(text, kind="stable")
-    rank = np.zeros(n, dtype=np.int64)
-    new = np.append(True, text[order][1:] != text[order][:-1])[:n]
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    h = 1
-    while h < (depth or n) and n:
-        size = np.diff(np.append(np.flatnonzero(new), n))
-        tied = np.repeat(size > 1, size)
-        if not tied.any():
-            break
-        at = np.flatnonzero(tied)
-        s = order[at]
-        follow = np.where(s + h < n, rank[np.minimum(s + h, n - 1)], -1)
-        again = np.lexsort((s, follow, rank[s]))
-        s, follow = s[again], follow[again]
-        order[at] = s
-        split = np.append(True, (follow[1:] != follow[:-1]) | (rank[s][1:] != rank[s][:-1]))
-        new[at] |= split
-        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        h *= 2
-    return order
-
-
-def kasai(text: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Common prefix of each suffix in order with the one before (0 for the first)."""
-    n = len(text)
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.arange(n)
-    out = np.zeros(n, dtype=np.int64)
-    data, places, ranks, h = bytes(text), order.tolist(), rank.tolist(), 0
-    for i in range(n):
-        r = ranks[i]
-        if not r:
-            h = 0
-            continue
-        j = places[r - 1]
-        while i + h < n and j + h < n and data[i + h] == data[j + h]:
-            h += 1
-        out[r] = h
-        h = max(0, h - 1)
+def _eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``text`` on, as a big-endian number, zeros following its end."""
+    text = np.concatenate((text, np.zeros(LENGTH + 8, np.uint8)))
+    return np.ndarray(len(text) - 7, dtype=">u8", buffer=text, strides=(1,))
+
+
+def _steps(depth: int) -> list[int]:
+    """How far on the ranks are that double the compared length, from eight bytes to ``depth``."""
+    out, h = [], 8
+    while h < depth:
+        out.append(min(h, depth - h))
+        h += out[-1]
     return out
 
 
-def _words(text: np.ndarray, at: np.ndarray, skip: int, n: int) -> np.ndarray:
-    """The ``n`` <= 8 bytes of each suffix that follow the first ``skip``, as a big-endian number; ``text`` ends in 8 bytes of no suffix."""
-    every = np.ndarray(len(text) - 7, dtype=">u8", buffer=text, strides=(1,))
-    return every[at + skip].astype(np.uint64) >> np.uint64(8 * (8 - n))
-
-
-def sparse_suffix_array(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes that start at ``at``, which all have ``depth`` bytes, in order of these, and where
-    a common prefix with the one before is shorter than ``depth``."""
-    n = len(at)
-    text = np.concatenate((text, np.zeros(8, np.uint8)))
-    order = at[np.argsort(key := _words(text, at, 0, min(8, depth)), kind="stable")]
-    key.sort()
-    new = np.append(True, key[1:] != key[:-1])[:n]
-    for h in range(8, depth, 8):
-        size = np.diff(np.append(np.flatnonzero(new), n))
-        tied = np.flatnonzero(np.repeat(size > 1, size))
-        if not tied.size:
-            break
-        group = np.cumsum(new)[tied]
-        key = _words(text, order[tied], h, min(8, depth - h))
-        again = np.lexsort((key, group))
-        order[tied] = order[tied][again]
-        key = key[again]
-        new[tied] |= np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))
-    return order, new
+def suffix_array(eights: np.ndarray, start: np.ndarray, count: np.ndarray, depth: int) -> np.ndarray:
+    """Numbers of the windows, sorted by their ``depth`` >= 8 bytes, by Larsson-Sadakane refinement.
+
+    Segment k has ``count[k]`` windows, from byte ``start[k]`` on, and ``depth`` - 1 bytes more; windows are numbered through.
+    Ranks by the first h bytes and the ranks h bytes on give ranks by 2h bytes; a place that shares its
+    rank with no other is sorted no more, and a place is ranked only as far as windows look at it.
+    """
+    steps = _steps(depth)
+    first = np.cumsum(count) - count
+
+    def places(reach: int) -> np.ndarray:
+        size = count + reach
+        return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+    def first_of(x: np.ndarray) -> np.ndarray:
+        return np.maximum.accumulate(np.where(np.append(True, x[1:] != x[:-1])[: len(x)], np.arange(len(x)), 0))
+
+    rank = np.zeros(len(eights), dtype=np.uint32)
+    near = np.zeros(len(eights), dtype=bool)
+    at = places(sum(steps))
+    key = eights[at].astype(np.uint64)
+    if depth < 8:
+        key >>= np.uint64(8 * (8 - depth))
+    by = np.argsort(key)
+    at, key = at[by], key[by]
+    rank[at] = first_of(key)
+    for k, step in enumerate(steps):
+        same = key[1:] == key[:-1]
+        tied = np.append(False, same) | np.append(same, False)
+        near[:] = False
+        near[places(sum(steps[k + 1 :]))] = True
+        at = at[tied[: len(at)]]
+        at = at[near[at]]
+        key = rank[at].astype(np.uint64) << np.uint64(32) | rank[at + step]
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        group = key >> np.uint64(32)
+        rank[at] = group + (first_of(key) - first_of(group)).astype(np.uint64)
+    window = np.arange(int(count.sum()))
+    return np.argsort(rank[window + np.repeat(start - first, count)])
+
+
+def kasai(eights: np.ndarray, start: np.ndarray, count: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefix, up to ``depth`` bytes, of each window in ``order`` with the one before (0 for the first).
+
+    As Kasai's: if a window has h bytes in common with the one before it in order, and what follows that one in the text
+    comes before what follows the window (with h < ``depth`` it does, if it is a window), this has
+    h - 1 at least. All segments are gone through side by side, a window of each at a time.
+    """
+    n = len(order)
+    out = np.zeros(n, dtype=np.int64)
+    first = np.cumsum(count) - count
+    at = np.arange(n) + np.repeat(start - first, count)
+    last = np.zeros(n, dtype=bool)
+    last[(first + count - 1)[count > 0]] = True
+    rank = np.zeros(n + 1, dtype=np.int64)
+    rank[order] = np.arange(n)
+    before = np.append(0, order[:-1])[:n]
+    lanes = np.argsort(-count, kind="stable")
+    sizes = count[lanes]
+    held = np.zeros(len(lanes), dtype=np.int64)
+    for t in range(int(sizes[0]) if len(sizes) else 0):
+        live = int(np.searchsorted(-sizes, -t, "left"))  # the lanes with more than t windows
+        w = first[lanes[:live]] + t
+        r = rank[w]
+        other = before[r]
+        h = np.where(r > 0, np.maximum(held[:live] - 1, 0), 0)
+        go = np.flatnonzero((r > 0) & (h < depth))
+        while len(go):
+            x = eights[at[w[go]] + h[go]].astype(np.uint64) ^ eights[at[other[go]] + h[go]].astype(np.uint64)
+            same = sum((x < np.uint64(1 << b)).astype(np.int64) for b in range(0, 64, 8))
+            h[go] += same
+            go = go[(same == 8) & (h[go] < depth)]
+        h = np.minimum(h, depth)
+        out[r] = h
+        held[:live] = np.where(last[other] | (rank[other + 1] > rank[w + 1]), 0, h)
+    return out
 
 
 # --- anchors
@@ -268,15 +286,17 @@ def _marks(segments, ids, doc) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(count)
     while lo < len(start):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SHARD, "right")))
-        seg = np.repeat(np.arange(lo, hi), count[lo:hi])
-        inside = np.arange(len(seg)) - np.repeat(ends[lo:hi] - count[lo:hi] - (ends[lo - 1] if lo else 0), count[lo:hi])
-        at = start[seg] + inside
-        by_start = np.argsort(at, kind="stable")
-        order, new = sparse_suffix_array(text, at, LENGTH)
-        of = by_start[np.searchsorted(at[by_start], order)]
+        own, size = count[lo:hi], count[lo:hi] + LENGTH - 1
+        place = np.cumsum(size) - size
+        part = text[np.arange(int(size.sum())) + np.repeat(start[lo:hi] - place, size)]
+        eights = _eights(part)
+        order = suffix_array(eights, place, own, LENGTH)
+        new = kasai(eights, place, own, order, LENGTH) < LENGTH
         first = np.flatnonzero(new)
-        owner = ids[doc[seg[of]], 0]
-        shards.append({"class": np.cumsum(new) - 1, "seg": seg[of], "inside": inside[of], "owner": owner, "least": np.minimum.reduceat(owner, first), "at": order[first]})
+        seg = np.repeat(np.arange(lo, hi), own)[order]
+        inside = order - (np.cumsum(own) - own)[seg - lo]
+        owner = ids[doc[seg], 0]
+        shards.append({"class": np.cumsum(new) - 1, "seg": seg, "inside": inside, "owner": owner, "least": np.minimum.reduceat(owner, first), "at": (start[seg] + inside)[first]})
         lo = hi
     for s in shards if len(shards) > 1 else ():  # equal classes of two shards share the smaller owner
         s["keys"] = np.ascontiguousarray(text[s["at"][:, None] + np.arange(LENGTH)]).view(f"S{LENGTH}").ravel()

@@ -31,34 +31,24 @@ def got(df):
     return sorted(((r.doc_id if "doc_id" in r else r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()), key=str)
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.binary(max_size=60).map(lambda b: bytes(x % 3 for x in b)))
-def test_suffix_array_and_kasai(data):
-    text = np.frombuffer(data, np.uint8)
-    order = suffixes.suffix_array(text)
-    assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
-    lcp = suffixes.kasai(text, order)
-    for r in range(1, len(data)):
-        a, b = data[order[r - 1] :], data[order[r] :]
-        n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        assert lcp[r] == n
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.binary(min_size=20, max_size=90).map(lambda b: bytes(x % 2 for x in b)), st.integers(1, 19))
-def test_sparse_suffix_array_agrees_with_whole_one(data, depth):
-    text = np.frombuffer(data, np.uint8)
-    at = np.arange(0, len(data) - depth + 1, 2)
-    order, new = suffixes.sparse_suffix_array(text, at, depth)
-    keys = [data[i : i + depth] for i in order]
-    assert keys == sorted(keys) and sorted(order.tolist()) == at.tolist()
-    assert new.tolist() == [i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))]
-    whole = suffixes.suffix_array(text)
-    lcp = suffixes.kasai(text, whole)
-    rank = {int(p): r for r, p in enumerate(whole)}
-    for i in range(1, len(order)):
-        a, b = sorted((rank[int(order[i - 1])], rank[int(order[i])]))
-        assert (not new[i]) == bool(lcp[a + 1 : b + 1].min() >= depth)
+segments = st.lists(st.tuples(st.integers(1, 30), st.integers(0, 2**32)), min_size=1, max_size=6)
+
+
+@settings(max_examples=150, deadline=None)
+@given(segments, st.sampled_from([1, 3, 8, 9, 16, 20, L]), st.booleans())
+def test_suffix_array_and_common_prefixes(segments, depth, twice):
+    texts = [bytes(random.Random(seed).choices(b"ab", k=depth - 1 + n)) for n, seed in segments]
+    texts += texts[:2] if twice else []
+    size = np.array([len(t) for t in texts])
+    start, count = np.cumsum(size) - size, size - depth + 1
+    eights = suffixes._eights(np.frombuffer(b"".join(texts), np.uint8))
+    windows = [t[i : i + depth] for t in texts for i in range(len(t) - depth + 1)]
+    order = suffixes.suffix_array(eights, start, count, depth)
+    found = [windows[i] for i in order]
+    assert found == sorted(windows) and sorted(order.tolist()) == list(range(len(windows)))
+    common = suffixes.kasai(eights, start, count, order, depth)
+    for k in range(1, len(found)):
+        assert common[k] == next((i for i, (a, b) in enumerate(zip(found[k - 1], found[k])) if a != b), depth)
 
 
 def test_query_matches_brute_force(spark):
