@@ -1,26 +1,29 @@
 """Scoring texts with a weighted backoff automaton learned from the corpus.
 
-Words and one end are tokens; lower-cased word hashes of 64 bits stand for words. A unigram gives a token
-with count c the probability (c + 1) / (N + V + 1), all unknown words sharing one type. Every word is a
-state of the automaton, and so are the end and the begin of a text, whatever the size of the corpus. An
-arc (h, w) seen c times in training has weight (c + k P(w)) / (c(h) + k); without one the failure arc of h
-weighs k / (c(h) + k) and leads to the unigram state, whose arc weighs P(w). That is one distribution for
-each h. Only where ``FREQUENT`` is set to bound the states do the words with a count below N / ``FREQUENT``
-share one, a rare word then costing its share of them.
-
-Where a weight is worked out depends on the counts, the weight does not: words with a count of at least
-N / ``SHARED``, ``SHARED`` at most, are in a broadcast table. All others are cold: what is known of one is
-in the task of its hash, which gets each place where it stands with the words before and after it.
-
-1. Words of the training rows are counted, combined by block before the shuffle.
-2. Arcs that are hot (about one in ``HOT`` tokens or more take them, so that there are ``HOT`` at most) are
-   found from each task's most frequent ones, and then counted exactly in a pass of their own. Which arcs
-   count as hot changes where their weight is worked out, not the weight.
-3. One left-to-right pass over all rows carries the state and names each arc taken. Hot arcs get their weight
-   there. The others and cold words go, with the number of their row, to the task of their hash, which knows
-   all counts of theirs and sums the logarithms for each row; sums are then added by row. So no task gets a
-   large share of the arcs. Blocks send an arc's rows packed, a few bytes each. An arc between two cold words
-   is the second one's.
+Words and one end are tokens; lower-cased word hashes of 64 bits stand for words. The states are the n-grams seen in
+training: every pair of tokens (u, v), every word v, the begin of a text, and the root, whatever the size of the
+corpus. With c for counts, N for all tokens, V for distinct ones:
+
+* the root's arc for w weighs P(w) = (c(w) + 1) / (N + V + 1), all unknown words sharing one type;
+* v's arc for w weighs P(w | v) = (c(vw) + BIGRAM * P(w)) / (c(v) + BIGRAM); where vw is unseen that is the failure arc to
+  the root, BIGRAM / (c(v) + BIGRAM), and the root's arc;
+* (u, v)'s arc for w weighs (c(uvw) + TRIGRAM * P(w | v)) / (c(uv) + TRIGRAM); where uvw is unseen that is the failure
+  arc to v, TRIGRAM / (c(uv) + TRIGRAM), and what follows from there; an unseen uv is at v at once.
+
+So each state has one distribution. A text is walked once from left to right, and the logarithms are added up.
+
+A logarithm is a numerator's, c(uvw) + TRIGRAM * P(w | v), less a denominator's, c(uv) + TRIGRAM. The pair (v, w) knows what its
+token's numerator needs and the next token's denominator. So each token is one event, and all events of a pair meet in
+one task, which counts c(vw) and c(uvw) from those of training rows. Where that is depends on counts, the weights do not:
+
+1. Words of the training rows are counted, combined by block before the shuffle. The ``SHARED`` most frequent are in a
+   broadcast table with their counts. Other words are cold: the task of a cold word's hash knows its count, and gets the
+   pairs with it; a pair of two cold words goes to the first one's task, and on to the second's with c(v).
+2. Pairs and triples that are hot (about one in ``HOT`` tokens or more, so ``HOT`` of either at most) are found from each
+   task's most frequent ones, and then counted exactly in a pass of their own. A hot triple, and the denominator after
+   a hot pair, are weighed where the text is; a hot pair's other triples go to tasks by (u, v, w). So no task gets a
+   large share of the events.
+3. Blocks send the events of a task packed, with steps between the numbers of their rows. Sums are added by row.
 
 Defined cases: null and empty texts have one token, the end; a null id counts as empty text for the split;
 repeated rows are scored alike; without training rows every token is unknown; an empty table gives an
@@ -38,24 +41,23 @@ from pyspark.sql import DataFrame, functions as F
 from . import arrays
 from .common import settle, small_batches
 
-#: The most words that are states of their own: no bound.
-FREQUENT = 1 << 62
-#: The most words in the broadcast table.
+#: The most words in the broadcast table; it does not change a score.
 SHARED = 1 << 18
-SMOOTHING = 100.0
+BIGRAM = 100.0
+TRIGRAM = 30.0
 BLOCK = 1_000_000
 HOT = 8192
 END = np.uint64(0x5D1F0C2B9A7E4413)
+#: Marks the hash of a cold word where numbers of shared ones stand as well.
+_COLD = np.uint64(1 << 63)
+_TOP = np.uint32(1 << 31)
+#: Kinds of events: a pair of shared words; the second word cold; the first; both; a hot pair. Then what tasks send on:
+#: pairs of two cold words with c(v); sums; and the rows themselves.
+PAIR, SECOND, FIRST, BOTH, HOT_PAIR, ONWARD, SUMS, ROWS = range(8)
 
 _COUNTS = "bucket int, hashes binary, counts binary, n long, v long"
-_EVENTS = "bucket int, kind byte, rows binary, step binary, a binary, b binary"
-#: Beside each place of a cold word: the hash of the word before (END at the begin), and the state after or
-#: ``_NONE``, with the top bit set in training rows.
-_BESIDE = np.dtype([("before", "<u8"), ("after", "<u4")])
-_NONE, _TRAINED = np.uint32((1 << 31) - 1), np.uint32(1 << 31)
-_EVENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), *((c, pa.binary()) for c in ("rows", "step", "a", "b"))])
-_SUM_SCHEMA = pa.schema([("part", pa.int32()), ("rows", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("score", pa.binary())])
-_SUMS = "part int, rows binary, known binary, base binary, score binary"
+_EVENTS = "bucket int, kind byte, rows binary, step binary, a binary, b binary, u binary"
+_EVENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), *((c, pa.binary()) for c in ("rows", "step", "a", "b", "u"))])
 
 
 def _split(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -76,6 +78,14 @@ def _cat(column, t) -> np.ndarray:
     return np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in column.to_pylist())])
 
 
+def _among(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``x`` would be in the sorted ``table``, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
+
+
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of all tokens, each text's end included."""
     h, d = arrays.word_hashes(texts)
@@ -118,85 +128,142 @@ def counts(train: DataFrame, buckets: int) -> DataFrame:
     return settle(train.select("text").mapInArrow(run, _COUNTS).groupBy("bucket").applyInArrow(add, _COUNTS), "counts")
 
 
-class States:
-    """The frequent tokens with their counts, and the numbers of the whole corpus.
+def _lower(c: np.ndarray) -> np.ndarray:
+    """Counts rounded down to four leading bits, so that there are few different ones."""
+    e = np.maximum(np.frexp(c.astype(np.float64))[1] - 4, 0)
+    return c >> e << e
 
-    Other words share the rare state if ``pooled``; else it only marks those that are cold.
-    """
 
-    def __init__(self, hashes: np.ndarray, count: np.ndarray, n: int, v: int, documents: int, pooled: bool = True):
-        order = np.argsort(hashes)
-        self.hashes, self.n, self.v, self.pooled = hashes[order], n, v, pooled
-        self.rare, self.begin = len(hashes), len(hashes) + 1
-        # The rare state has what is left; of the begin state only the history count is used.
-        self.count = np.concatenate((count[order], [n - int(count.sum()), documents])).astype(np.float64)
-        self.prob = (self.count + 1) / (n + v + 1)
-        self.prob[self.rare] = (n - count.sum() + (v - len(hashes)) + 1) / (n + v + 1)
-
-    def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(h), self.rare)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, self.rare)
-
-    def unigram(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 1) / (self.n + self.v + 1))
+def frequent(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count) of the most frequent words, ``SHARED`` at most, down to the least rounded count that allows it."""
 
-    def arc(self, c: np.ndarray, history: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """log10 of the weight of arcs seen ``c`` times; with 0 that of the failure arc and what follows."""
-        return np.log10((c + SMOOTHING * self.prob[state]) / (self.count[history] + SMOOTHING))
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in b.column(0).to_pylist():
+                low, n = np.unique(_lower(np.frombuffer(c, np.int64)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(n.astype(np.int64))], ["low", "n"])
+
+    found = vocabulary.select("counts").mapInArrow(sizes, "low long, n long").groupBy("low").agg(F.sum("n").alias("n")).collect()  # some 500 rows at most
+    least, held = np.iinfo(np.int64).max, 0
+    for r in sorted(found, reverse=True):
+        held += r["n"]
+        if held > SHARED:
+            break
+        least = r["low"]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h, c = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)
+                use = (c >= least) | (h == END)
+                yield pa.RecordBatch.from_arrays([pa.array([h[use].tobytes()], pa.binary()), pa.array([c[use].tobytes()], pa.binary())], ["h", "c"])
 
-    def cold(self, arc: np.ndarray) -> np.ndarray:
-        """Which arcs come from or lead to a cold word."""
-        size = len(self.count)
-        return np.zeros(len(arc), bool) if self.pooled else (arc // size == self.rare) | (arc % size == self.rare)
+    rows = vocabulary.select("hashes", "counts").mapInArrow(pick, "h binary, c binary").collect()  # SHARED words and the end at most
+    h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["h"], np.uint64) for r in rows)])
+    return h, np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["c"], np.int64) for r in rows)])
 
 
-def _arcs(s: States, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, state, arc) of the tokens of each text, from left to right."""
-    h, d = tokens(texts)
-    state = s.of(h)
-    start = np.append(True, d[1:] != d[:-1])[: len(d)]
-    history = np.where(start, s.begin, np.append(0, state[:-1])[: len(d)])
-    return h, d, state, history.astype(np.int64) * len(s.count) + state
+class States:
+    """The shared words and the end, numbered, with their counts, and the numbers of the whole corpus."""
 
+    def __init__(self, hashes: np.ndarray, count: np.ndarray, n: int, v: int):
+        if END not in hashes:
+            hashes, count = np.append(hashes, END), np.append(count, 0)
+        order = np.argsort(hashes)
+        self.hashes, self.n, self.v = hashes[order], n, v
+        self.size = len(hashes) + 1
+        self.end, self.begin, self.none = int(np.searchsorted(self.hashes, END)), self.size - 1, self.size
+        self.count = np.append(count[order], 0).astype(np.float64)
+        self.prob = self.p1(self.count)
+        self.history = self.count + BIGRAM
+        self.history[self.begin] = self.count[self.end] + BIGRAM  # every text begins and ends
 
-def hot_arcs(train: DataFrame, states, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most HOT arcs, in order, that have a large share of the training tokens, and their exact counts."""
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The number of each token's state, -1 of a cold word."""
+        at, there = _among(self.hashes, h)
+        return np.where(there, at, -1)
+
+    def p1(self, c: np.ndarray) -> np.ndarray:
+        return (c + 1) / (self.n + self.v + 1)
+
+
+def p2(c: np.ndarray, p1: np.ndarray, history: np.ndarray) -> np.ndarray:
+    """P(w | v) of pairs seen ``c`` times; ``history`` is c(v) + BIGRAM."""
+    return (c + BIGRAM * p1) / history
+
+
+class Walk:
+    """The tokens of some texts from left to right: hash, text number, state, and of the two tokens before
+    the state and hash of the last and the code of the one before it (a state, or a marked hash)."""
+
+    def __init__(self, s: States, texts: list[bytes]):
+        self.h, self.d = tokens(texts)
+        n = len(self.h)
+        self.state = s.of(self.h)
+        start = np.append(True, self.d[1:] != self.d[:-1])[:n]
+        self.v = np.where(start, s.begin, np.append(0, self.state[:-1])[:n])
+        self.v_hash = np.append(np.uint64(0), self.h[:-1])[:n]
+        own = np.where(self.state >= 0, self.state.astype(np.uint64), self.h | _COLD)
+        second = np.append(False, start[:-1])[:n]
+        self.u = np.append(np.zeros(2, np.uint64), own[:-2])[:n]
+        self.u[second] = s.begin
+        self.u[start] = s.none
+        self.plain = (self.state >= 0) & (self.v >= 0)
+        self.pair = np.where(self.plain, self.v * s.size + self.state, -1)
+
+
+def hot_ngrams(train: DataFrame, states, n: int) -> dict[str, np.ndarray]:
+    """Pairs and triples, in order, that have a large share of the training tokens (``HOT`` of either at most), and
+    their exact counts. A triple is its pair's place among the hot ones * (states + 1) + u."""
     spark = train.sparkSession
-    least = max(1, n // HOT)
+    least = max(2, -(-n // HOT))
 
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arcs, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = states.value
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
         for b in batches:
-            a = _arcs(states.value, arrays.as_bytes(b.column(0)))[3]
-            a, c = np.unique(a[~states.value.cold(a)], return_counts=True)
-            arcs, count = _summed(np.concatenate((arcs, a)), np.concatenate((count, c)))
-            if len(arcs) > BLOCK:  # the rarest are let go
-                top = np.sort(np.argpartition(count, -BLOCK // 2)[-BLOCK // 2 :])
-                arcs, count = arcs[top], count[top]
-        top = np.argsort(count)[-2 * HOT :]
-        yield pa.RecordBatch.from_arrays([pa.array(arcs[top]), pa.array(count[top])], ["arc", "n"])
-
-    found = train.select("text").mapInArrow(frequent, "arc long, n long").groupBy("arc").agg(F.sum("n").alias("n"))
-    rows = found.where(F.col("n") >= least).select("arc").collect()  # HOT at most: their counts are part of n
-    arcs = np.sort(np.array([r[0] for r in rows], dtype=np.int64))
-    shared = spark.sparkContext.broadcast(arcs)
+            w = Walk(s, arrays.as_bytes(b.column(0)))
+            known = w.plain & (w.u < s.size)
+            for k, x in enumerate((w.pair[w.plain], w.u[known].astype(np.int64) * s.size**2 + w.pair[known])):
+                x, c = np.unique(x, return_counts=True)
+                x, c = _summed(np.concatenate((held[k][0], x)), np.concatenate((held[k][1], c)))
+                if len(x) > BLOCK:  # the rarest are let go
+                    top = np.sort(np.argpartition(c, -BLOCK // 2)[-BLOCK // 2 :])
+                    x, c = x[top], c[top]
+                held[k] = x, c
+        for k, (x, c) in enumerate(held):
+            top = np.argsort(c)[-2 * HOT :]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), k)), pa.array(x[top]), pa.array(c[top])], ["kind", "x", "n"])
+
+    found = train.select("text").mapInArrow(often, "kind long, x long, n long").groupBy("kind", "x").agg(F.sum("n").alias("n"))
+    rows = found.where(F.col("n") >= least).select("kind", "x").collect()  # HOT of either at most: their counts are parts of n
+    s = states.value
+    pairs = np.sort(np.array([r["x"] for r in rows if r["kind"] == 0], dtype=np.int64))
+    triples = np.array([r["x"] for r in rows if r["kind"] == 1], dtype=np.int64)
+    at, there = _among(pairs, triples % s.size**2)
+    triples = np.sort((at * (s.size + 1) + triples // s.size**2)[there])
+    shared = spark.sparkContext.broadcast((pairs, triples))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(len(shared.value), np.int64)
+        s, (pairs, triples) = states.value, shared.value
+        count = np.zeros(len(pairs) + len(triples), np.int64)
         for b in batches:
-            at, hot = _among(shared.value, _arcs(states.value, arrays.as_bytes(b.column(0)))[3])
-            count += np.bincount(at[hot], minlength=len(count))
+            w = Walk(s, arrays.as_bytes(b.column(0)))
+            at, hot = _among(pairs, w.pair)
+            count[: len(pairs)] += np.bincount(at[hot], minlength=len(pairs))
+            known = hot & (w.u < s.size)
+            of, hot = _among(triples, at[known] * (s.size + 1) + w.u[known].astype(np.int64))
+            count[len(pairs) :] += np.bincount(of[hot], minlength=len(triples))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(count))), pa.array(count)], ["at", "n"])
 
-    count = np.zeros(len(arcs), np.int64)
-    if len(arcs):
-        for r in train.select("text").mapInArrow(exact, "at long, n long").groupBy("at").agg(F.sum("n")).collect():  # a row for each hot arc
+    count = np.zeros(len(pairs) + len(triples), np.int64)
+    if len(pairs):
+        for r in train.select("text").mapInArrow(exact, "at long, n long").groupBy("at").agg(F.sum("n")).collect():  # a row for each hot one
             count[r[0]] = r[1]
-    return arcs, count
+    return {"pairs": pairs, "pair_counts": count[: len(pairs)], "triples": triples, "triple_counts": count[len(pairs) :]}
 
 
+# --- packed events
 def _stepped(uid: np.ndarray, at: np.ndarray) -> Iterator[tuple[bytes, bytes, np.ndarray]]:
     """Ascending row numbers as a first one and 16-bit steps, anew where a step is too long: (first, steps, their part of ``at``)."""
     gaps = np.diff(uid, prepend=uid[:1])
@@ -219,12 +286,61 @@ def _rows_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(numbers), np.concatenate(docs)
 
 
-def _among(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each of ``x`` would be in the sorted ``table``, and whether it is there."""
-    if not len(table):
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return at, table[at] == x
+def _planes(u: np.ndarray) -> bytes:
+    """Codes of tokens: 16 bits, the next 8 (255 for cold words), and the hashes of the cold ones."""
+    cold = u >= _COLD
+    return u.astype(np.uint16).tobytes() + np.where(cold, 255, u >> np.uint64(16)).astype(np.uint8).tobytes() + u[cold].tobytes()
+
+
+def _codes(table: pa.Table) -> np.ndarray:
+    """The codes of :func:`_planes` of all rows."""
+    out = [np.zeros(0, np.uint64)]
+    for x, steps in zip(table["u"].to_pylist(), table["step"].to_pylist()):
+        n = len(steps) // 2
+        high = np.frombuffer(x, np.uint8, n, 2 * n)
+        u = np.frombuffer(x, np.uint16, n).astype(np.uint64) | high.astype(np.uint64) << np.uint64(16)
+        if len(x) > 3 * n:
+            u[high == 255] = np.frombuffer(x, np.uint64, -1, 3 * n)
+        out.append(u)
+    return np.concatenate(out)
+
+
+def _packed(kind: int, bucket: np.ndarray, uid: np.ndarray, a: np.ndarray, b: np.ndarray, u: np.ndarray) -> Iterator[dict]:
+    """Rows of events, by bucket; ``uid`` is ascending."""
+    for k, at in _split(bucket):
+        for base, gaps, use in _stepped(uid[at], at):
+            yield {"bucket": k, "kind": kind, "rows": base, "step": gaps, "a": a[use].tobytes(), "b": b[use].tobytes(), "u": _planes(u[use])}
+
+
+_ON = np.dtype([("v", "<u8"), ("c", "<i8"), ("trained", "?")])
+_NEXT = np.dtype([("w", "<u8"), ("trained", "?")])
+
+
+def _dense(*keys: np.ndarray) -> np.ndarray:
+    """Numbers from 0 for the different combinations of the keys."""
+    out = np.zeros(len(keys[0]), np.int64)
+    for k in keys:
+        _, x = np.unique(k, return_inverse=True)
+        _, out = np.unique(out * (int(x.max(initial=0)) + 1) + x, return_inverse=True)
+    return out
+
+
+def _numerators(s: States, pair: np.ndarray, u: np.ndarray, trained: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """log10 of c(uvw) + TRIGRAM * P(w | v) of events; of first tokens, which have no u, P(w | v) itself.
+
+    ``pair`` has numbers from 0, ``second`` is P(w | v)."""
+    _, v = np.unique(u, return_inverse=True)
+    _, of = np.unique(pair * (int(v.max(initial=0)) + 1) + v, return_inverse=True)
+    seen = np.bincount(of[trained], minlength=len(pair))
+    return np.log10(np.where(u == s.none, second, seen[of] + TRIGRAM * second))
+
+
+def _weights(s: States, pair: np.ndarray, u: np.ndarray, trained: np.ndarray, first: np.ndarray, history: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """What the events of whole pairs add: their token's numerator and, but after an end, the next one's denominator.
+
+    ``first`` is P(w), ``history`` c(v) + BIGRAM."""
+    c = np.bincount(pair[trained], minlength=len(pair))[pair]
+    return _numerators(s, pair, u, trained, p2(c, first, history)) - np.where(ends, 0, np.log10(c + TRIGRAM))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -234,178 +350,194 @@ def score(docs: DataFrame) -> DataFrame:
     buckets = parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     docs = docs.select(F.col("doc_id").cast("long"), "text", split.alias("held_out"))
-    vocabulary = counts(docs.where("NOT held_out"), buckets)
+    train = docs.where("NOT held_out")
+    vocabulary = counts(train, buckets)
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = int(total[0]), int(total[1])
-    pooled = n > FREQUENT
-    least = max(1, -(-n // min(FREQUENT, SHARED)))
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for h, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h, c = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)
-                use = (c >= least) | (h == END)
-                yield pa.RecordBatch.from_arrays([pa.array([h[use].tobytes()], pa.binary()), pa.array([c[use].tobytes()], pa.binary())], ["h", "c"])
-
-    found = vocabulary.select("hashes", "counts").mapInArrow(frequent, "h binary, c binary").collect()  # SHARED words at most
-    h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["h"], np.uint64) for r in found)])
-    c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["c"], np.int64) for r in found)])
-    states = spark.sparkContext.broadcast(States(h, c, n, v, int(c[h == END].sum()), pooled))
-
-    arcs, seen_by_arc = hot_arcs(docs.where("NOT held_out"), states, n)
-    s0 = states.value
-    weights = s0.arc(seen_by_arc, arcs // len(s0.count), arcs % len(s0.count)) if len(arcs) else np.zeros(0)
-    hot = spark.sparkContext.broadcast((arcs, weights))
+    states = spark.sparkContext.broadcast(States(*frequent(vocabulary), n, v))
+    hot = spark.sparkContext.broadcast(hot_ngrams(train, states, n))
+    place = lambda x: (arrays.mix(x) % np.uint64(buckets)).astype(np.int64)
+    home = lambda h: (h % np.uint64(buckets)).astype(np.int64)  # noqa: E731  as the vocabulary's
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, (hot_arc, hot_weight) = states.value, hot.value
+        s, known = states.value, hot.value
+        pairs, pair_counts = known["pairs"], known["pair_counts"]
+        second = p2(pair_counts, s.prob[pairs % s.size], s.history[pairs // s.size])
+        after = np.where(pairs % s.size == s.end, 0, -np.log10(pair_counts + TRIGRAM))
+        triples = known["triples"]
+        triple = np.log10(known["triple_counts"] + TRIGRAM * second[triples // (s.size + 1)])
         held: list[tuple] = []
-        size = 0
 
         def flush() -> pa.RecordBatch:
-            row, key, rare, rare_row, beside, made, trained = (np.concatenate(x) for x in list(zip(*held))[:7])
-            ids = np.concatenate([h[7] for h in held])
             out = []
-            for kind, r, k in ((0, row, key), (1 if s.pooled else 3, rare_row, rare)):
-                k = k.astype(np.uint64)
-                for b, at in _split(((arrays.mix(k) if kind == 0 else k) % np.uint64(buckets)).astype(np.int64)):
-                    for base, gaps, use in _stepped(ids[r[at]], at):
-                        low = k[use].astype(np.uint32) if kind == 0 else k[use]
-                        high = (k[use] >> np.uint64(32)).astype(np.uint8) | (trained[r[use]].astype(np.uint8) << 7) if kind == 0 else beside[use] if kind == 3 else low[:0]
-                        out.append({"bucket": b, "kind": kind, "rows": base, "step": gaps, "a": low.tobytes(), "b": high.tobytes()})
-            for b, at in _split(np.arange(len(ids)) % buckets):
-                out.append({"bucket": b, "kind": 2, "rows": ids[at].tobytes(), "step": b"", "a": made[at].tobytes(), "b": b""})
+            for kind in range(PAIR, HOT_PAIR + 1):
+                bucket, uid, a, b, u = (np.concatenate(x) for x in zip(*[h[kind] for h in held]))
+                out += _packed(kind, bucket, uid, a, b, u)
+            uid, made = (np.concatenate(x) for x in zip(*[h[-1] for h in held]))
+            for b, at in _split(uid % buckets):
+                out.append({"bucket": b, "kind": ROWS, "rows": uid[at].tobytes(), "step": b"", "a": made[at].tobytes(), "b": b"", "u": b""})
             return pa.RecordBatch.from_pylist(out, schema=_EVENT_SCHEMA)
 
-        base_row = 0
+        size = 0
         with np.errstate(over="ignore"):
             for b in batches:
-                h, d, state, key = _arcs(s, arrays.as_bytes(b.column(1)))
-                at, warm = _among(hot_arc, key)
-                known_weight = np.bincount(d[warm], hot_weight[at[warm]], minlength=b.num_rows).astype(np.float64)
-                rare, trained = state == s.rare, ~b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                sent, beside = ~warm, np.zeros(0, _BESIDE)
-                if not s.pooled:
-                    sent &= ~s.cold(key)
-                    history = key // len(s.count)
-                    into = rare & (history != s.rare)  # their numerator is the cold word's, c(h) is known here
-                    known_weight -= np.bincount(d[into], np.log10(s.count[history[into]] + SMOOTHING), minlength=b.num_rows)
-                    at = np.flatnonzero(rare)
-                    after = np.append(state, s.rare)[at + 1]  # of an end, which is cold without training rows: none
-                    beside = np.zeros(len(at), _BESIDE)
-                    beside["before"] = np.where(history[at] == s.begin, END, h[at - 1])
-                    beside["after"] = np.where((after == s.rare) | (h[at] == END), _NONE, after).astype(np.uint32) | np.where(trained[d[at]], _TRAINED, np.uint32(0))
-                known = np.bincount(d[~rare], minlength=b.num_rows)
-                base = np.bincount(d[~rare], s.unigram(s.count[state[~rare]]), minlength=b.num_rows)
+                w = Walk(s, arrays.as_bytes(b.column(1)))
+                uid = b.column(0).to_numpy()
+                trained = ~b.column(2).to_numpy(zero_copy_only=False).astype(bool)[w.d]
+                at, warm = _among(pairs, w.pair)
+                weight = np.zeros(len(w.h))
+                weight[warm] = after[at[warm]]
+                first = warm & (w.u == s.none)
+                weight[first] += np.log10(second[at[first]])
+                rest = warm & ~first
+                near = rest & (w.u < s.size)
+                of, there = _among(triples, at[near] * (s.size + 1) + w.u[near].astype(np.int64))
+                done = np.flatnonzero(near)[there]
+                weight[done] += triple[of[there]]
+                rest[done] = False
+
+                mark = np.where(trained, _TOP, np.uint32(0))
+                events = []
+                i = np.flatnonzero(w.plain & ~warm)
+                key = w.pair[i].astype(np.uint64)
+                events.append((place(key), uid[w.d[i]], key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint8) | trained[i].astype(np.uint8) << 7, w.u[i]))
+                i = np.flatnonzero((w.state < 0) & (w.v >= 0))
+                events.append((home(w.h[i]), uid[w.d[i]], w.h[i], w.v[i].astype(np.uint32) | mark[i], w.u[i]))
+                i = np.flatnonzero((w.state >= 0) & (w.v < 0))
+                events.append((home(w.v_hash[i]), uid[w.d[i]], w.v_hash[i], w.state[i].astype(np.uint32) | mark[i], w.u[i]))
+                i = np.flatnonzero((w.state < 0) & (w.v < 0))
+                both = np.zeros(len(i), _NEXT)
+                both["w"], both["trained"] = w.h[i], trained[i]
+                events.append((home(w.v_hash[i]), uid[w.d[i]], w.v_hash[i], both, w.u[i]))
+                i = np.flatnonzero(rest)
+                events.append((place(at[i].astype(np.uint64) * np.uint64(s.size + 1) + w.u[i]), uid[w.d[i]], at[i].astype(np.uint16) | trained[i].astype(np.uint16) << 15, np.zeros(len(i), np.uint8), w.u[i]))
+
+                add = lambda use, x: np.bincount(w.d[use], x, minlength=b.num_rows)
+                there = w.state >= 0
+                c = s.count[w.state[there]]
                 ids = b.column(3)
-                made = np.stack([ids.fill_null(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) + 2 * ids.is_null().to_numpy(zero_copy_only=False), np.bincount(d, minlength=b.num_rows), known, base.view(np.int64), known_weight.view(np.int64)], 1).astype(np.int64)
-                made = np.ascontiguousarray(made).view("V48").ravel()
-                held.append((d[sent] + base_row, key[sent], h[rare], d[rare] + base_row, beside, made, trained, b.column(0).to_numpy()))
-                base_row += b.num_rows
-                size += len(h)
+                null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+                made = [ids.fill_null(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) + 2 * null, np.bincount(w.d, minlength=b.num_rows), add(there, c > 0).astype(np.int64), add(there, np.log10(s.p1(c))).view(np.int64), np.bincount(w.d, weight, minlength=b.num_rows).astype(np.float64).view(np.int64)]
+                events.append((uid, np.ascontiguousarray(np.stack(made, 1).astype(np.int64)).view("V48").ravel()))
+                held.append(tuple(events))
+                size += len(w.h)
                 if size >= BLOCK:
                     yield flush()
-                    held, size, base_row = [], 0, 0
+                    held, size = [], 0
             if held:
                 yield flush()
 
-    def cold(table: pa.Table, right: pa.Table) -> tuple[np.ndarray, ...]:
-        """(row numbers, known words, base, score) of the places of cold words: of each the arc into it, its
-        c(h), and the arc from it unless to another cold word."""
-        s = states.value
-        uid, doc = _rows_of(table)
-        h, beside = _cat(table["a"], np.uint64), _cat(table["b"], _BESIDE)
+    def sums(found: list[tuple]) -> Iterator[dict]:
+        """Rows of sums, by part, of lists of (row numbers, known words or None, base or None, score)."""
+        for uid, known, base, sc in found:
+            numbers, at = np.unique(uid, return_inverse=True)
+            known, base, sc = (None if x is None else np.bincount(at, x, minlength=len(numbers)) for x in (known, base, sc))
+            for p, use in _split(numbers % parts):  # in order, so that differences are small
+                text = lambda x, t: b"" if x is None else x[use].astype(t).tobytes()
+                yield {"bucket": p, "kind": SUMS, "rows": np.diff(numbers[use], prepend=0).tobytes(), "step": b"", "a": text(known, np.uint32), "b": text(base, np.float64), "u": text(sc, np.float64)}
+
+    def vocabulary_of(right: pa.Table):
         words, count = _summed(_cat(right["hashes"], np.uint64), _cat(right["counts"], np.int64))
-        known, base, sc = np.zeros(len(uid)), np.zeros(len(uid)), np.zeros(len(uid))
-
-        def numerators(word: np.ndarray, other: np.ndarray, train: np.ndarray, prob: np.ndarray) -> np.ndarray:
-            _, other = np.unique(other, return_inverse=True)
-            _, of = np.unique(word * (int(other.max(initial=0)) + 1) + other, return_inverse=True)
-            return np.log10(np.bincount(of[train], minlength=len(h))[of] + SMOOTHING * prob)
-
-        slices = 8  # a slice of the words at a time
-        for k in range(slices):
-            at = np.flatnonzero(h // np.uint64(buckets) % np.uint64(slices) == k)
-            found, word = np.unique(h[at], return_inverse=True)
-            place, there = _among(words, found)
-            c = np.where(there, count[place] if len(count) else 0, 0)[word]
-            after, train = beside["after"][at] & _NONE, beside["after"][at] >= _TRAINED
-            part = numerators(word, beside["before"][at], train, (c + 1) / (s.n + s.v + 1))
-            part -= np.where(h[at] == END, 0, np.log10(c + SMOOTHING))
-            on = np.flatnonzero(after != _NONE)
-            part[on] += numerators(word[on], after[on], train[on], s.prob[after[on]])
-            for total, x in ((known, c > 0), (base, s.unigram(c)), (sc, part)):
-                total += np.bincount(doc[at], x, minlength=len(uid))
-        return uid, known, base, sc
+
+        def of(h: np.ndarray) -> np.ndarray:
+            at, there = _among(words, h)
+            return np.where(there, count[at] if len(count) else 0, 0)
+
+        return of
 
     def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
-        s = states.value
+        s, known = states.value, hot.value
         kinds = np.array(left["kind"].to_pylist(), dtype=np.int64)
-        tables = [left.filter(pa.array(kinds == k)) for k in (0, 1, 2, 3)] if left.num_rows else [left] * 4
-
-        uid, doc = _rows_of(tables[0])
-        high = _cat(tables[0]["b"], np.uint8)
-        key = (high & np.uint8(127)).astype(np.int64) << 32 | _cat(tables[0]["a"], np.uint32)
-        trained = high > 127
-        out = []
-        if len(key):
-            sums = np.zeros(len(uid))
-            slices = 8  # a slice of the arcs at a time
+        table = lambda k: left.filter(pa.array(kinds == k))
+        count = vocabulary_of(right)
+        out, found = [], []
+        total = lambda doc, uid, x: np.bincount(doc, x, minlength=len(uid))
+
+        if (t := table(PAIR)).num_rows:
+            uid, doc = _rows_of(t)
+            high, u = _cat(t["b"], np.uint8), _codes(t)
+            key = (high & np.uint8(127)).astype(np.int64) << 32 | _cat(t["a"], np.uint32)
+            trained = high > 127
+            sc = np.zeros(len(uid))
+            slices = 8  # a slice of the pairs at a time
+            part = (key // 7 % slices).astype(np.int8)
             for k in range(slices):
-                at = np.flatnonzero(key % slices == k).astype(np.int32)
-                arcs, of = np.unique(key[at], return_inverse=True)
-                seen = np.bincount(of[trained[at]], minlength=len(arcs))
-                weight = s.arc(seen, arcs // len(s.count), arcs % len(s.count)) if len(arcs) else np.zeros(0)
-                sums += np.bincount(doc[at], weight[of], minlength=len(uid))
-            out.append((uid, None, None, sums))
-        uid, doc = _rows_of(tables[1])
-        h = _cat(tables[1]["a"], np.uint64)
-        if len(h):
-            words, count = _summed(_cat(right["hashes"], np.uint64), _cat(right["counts"], np.int64))
-            at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
-            c = np.where(words[at] == h, count[at], 0) if len(words) else np.zeros(len(h), np.int64)
-            base = s.unigram(c)
-            add = lambda w: np.bincount(doc, w, minlength=len(uid))
-            out.append((uid, add((c > 0).astype(np.float64)), add(base), add(base - np.log10(s.prob[s.rare]))))
-        if tables[3].num_rows:
-            out.append(cold(tables[3], right))
-        rows = []
-        for uid, known, base, sc in out:
-            numbers, at = np.unique(uid, return_inverse=True)
-            known, base, sc = (None if x is None else np.bincount(at, x, minlength=len(numbers)) for x in (known, base, sc))
-            for p, use in _split(numbers % parts):  # in order, so that differences are small
-                text = lambda x, t: b"" if x is None else x[use].astype(t).tobytes()
-                rows.append({"part": p, "rows": np.diff(numbers[use], prepend=0).tobytes(), "known": text(known, np.uint32), "base": text(base, np.float64), "score": text(sc, np.float64)})
-        uid = _cat(tables[2]["rows"], np.int64)
-        made = _cat(tables[2]["a"], np.int64).reshape(-1, 6)
-        for p, at in _split(uid % parts):  # the numbers of the rows themselves: "base" has them, the others are empty
-            rows.append({"part": p, "rows": uid[at].tobytes(), "known": b"", "base": made[at].tobytes(), "score": b""})
-        return pa.Table.from_pylist(rows, schema=_SUM_SCHEMA)
+                at = np.flatnonzero(part == k)
+                pairs, of = np.unique(key[at], return_inverse=True)
+                v, w = pairs // s.size, pairs % s.size
+                sc += total(doc[at], uid, _weights(s, of, u[at], trained[at], s.prob[w][of], s.history[v][of], (w == s.end)[of]))
+            found.append((uid, None, None, sc))
+        if (t := table(SECOND)).num_rows:
+            uid, doc = _rows_of(t)
+            h, v = _cat(t["a"], np.uint64), _cat(t["b"], np.uint32)
+            trained, v, c = v >= _TOP, v & ~_TOP, count(h)
+            sc = _weights(s, _dense(h, v), _codes(t), trained, s.p1(c), s.history[v], np.zeros(len(h), bool))
+            found.append((uid, total(doc, uid, c > 0), total(doc, uid, np.log10(s.p1(c))), total(doc, uid, sc)))
+        if (t := table(FIRST)).num_rows:
+            uid, doc = _rows_of(t)
+            h, w = _cat(t["a"], np.uint64), _cat(t["b"], np.uint32)
+            trained, w = w >= _TOP, w & ~_TOP
+            sc = _weights(s, _dense(h, w), _codes(t), trained, s.prob[w], count(h) + BIGRAM, w == s.end)
+            found.append((uid, None, None, total(doc, uid, sc)))
+        if (t := table(HOT_PAIR)).num_rows:
+            uid, doc = _rows_of(t)
+            at = _cat(t["a"], np.uint16)
+            trained, at = at >= 1 << 15, (at & np.uint16((1 << 15) - 1)).astype(np.int64)
+            second = p2(known["pair_counts"], s.prob[known["pairs"] % s.size], s.history[known["pairs"] // s.size])
+            found.append((uid, None, None, total(doc, uid, _numerators(s, at, _codes(t), trained, second[at]))))
+        if (t := table(BOTH)).num_rows:
+            uid, doc = _rows_of(t)
+            order = np.argsort(uid[doc], kind="stable")
+            h, w, u = _cat(t["a"], np.uint64)[order], _cat(t["b"], _NEXT)[order], _codes(t)[order]
+            on = np.zeros(len(h), _ON)
+            on["v"], on["c"], on["trained"] = h, count(h), w["trained"]
+            out += _packed(ONWARD, home(w["w"]), uid[doc][order], w["w"], on, u)
+        out += sums(found)
+        t = table(ROWS)
+        uid = _cat(t["rows"], np.int64)
+        made = _cat(t["a"], np.int64).reshape(-1, 6).view("V48").ravel()
+        for p, at in _split(uid % parts):
+            out.append({"bucket": p, "kind": ROWS, "rows": uid[at].tobytes(), "step": b"", "a": made[at].tobytes(), "b": b"", "u": b""})
+        return pa.Table.from_pylist(out, schema=_EVENT_SCHEMA)
+
+    def onward(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The pairs of two cold words, in the task of the second one."""
+        s, found = states.value, []
+        if left.num_rows:
+            uid, doc = _rows_of(left)
+            h, on = _cat(left["a"], np.uint64), _cat(left["b"], _ON)
+            c = vocabulary_of(right)(h)
+            sc = _weights(s, _dense(h, on["v"]), _codes(left), on["trained"], s.p1(c), on["c"] + BIGRAM, np.zeros(len(h), bool))
+            add = lambda x: np.bincount(doc, x, minlength=len(uid))
+            found.append((uid, add(c > 0), add(np.log10(s.p1(c))), add(sc)))
+        return pa.Table.from_pylist(list(sums(found)), schema=_EVENT_SCHEMA)
 
     final = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def finish(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        own = [r for r in rows if not r["score"]]
+        own = [r for r in rows if r["kind"] == ROWS]
         uid = np.concatenate([np.frombuffer(r["rows"], np.int64) for r in own])
-        made = np.concatenate([np.frombuffer(r["base"], np.int64).reshape(-1, 6) for r in own])
+        made = np.concatenate([np.frombuffer(r["a"], np.int64).reshape(-1, 6) for r in own])
         order = np.argsort(uid)
         uid, made = uid[order], made[order]
         known, base, sc = made[:, 3].astype(np.float64), np.ascontiguousarray(made[:, 4]).view(np.float64).copy(), np.ascontiguousarray(made[:, 5]).view(np.float64).copy()
         for r in rows:
-            if r["score"]:
+            if r["kind"] == SUMS:
                 at = np.searchsorted(uid, np.cumsum(np.frombuffer(r["rows"], np.int64)))  # each row once
-                sc[at] += np.frombuffer(r["score"], np.float64)
-                if r["known"]:
-                    known[at] += np.frombuffer(r["known"], np.uint32)
-                    base[at] += np.frombuffer(r["base"], np.float64)
+                sc[at] += np.frombuffer(r["u"], np.float64)
+                if r["a"]:
+                    known[at] += np.frombuffer(r["a"], np.uint32)
+                    base[at] += np.frombuffer(r["b"], np.float64)
         ids = pa.array(made[:, 0], mask=made[:, 1] >= 2)
         return pa.Table.from_arrays([ids, pa.array(made[:, 1] % 2 == 1), pa.array(made[:, 2]), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(sc)], schema=final)
 
     # A row's number only has to hold within this one job, and a repeated task gives the same.
     events = docs.select(F.monotonically_increasing_id().alias("uid"), "text", "held_out", "doc_id").mapInArrow(traverse, _EVENTS)
-    sums = settle(events.groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(resolve, _SUMS), "sums")
-    out = sums.groupBy("part").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    found = settle(events.groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(resolve, _EVENTS), "sums")
+    cold = found.where(F.col("kind") == ONWARD).groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(onward, _EVENTS)
+    both = found.where(F.col("kind") != ONWARD).unionAll(cold)
+    out = both.groupBy("bucket").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

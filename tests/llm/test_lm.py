@@ -15,37 +15,46 @@ def toks(t):
     return [*(w.translate(LOWER) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")), None]
 
 
+class Automaton:
+    """The automaton held in memory: arcs of the n-grams seen, and failure arcs."""
+
+    def __init__(self, train):
+        self.one, self.two, self.three, self.after1, self.after2 = (Counter() for _ in range(5))
+        for t in train:
+            u, v = None, "<begin>"
+            for w in t:
+                self.one[w] += 1
+                self.two[v, w] += 1
+                self.after1[v] += 1
+                if v != "<begin>":
+                    self.three[u, v, w] += 1
+                    self.after2[u, v] += 1
+                u, v = v, (w,)
+        self.n, self.v = sum(self.one.values()), len(self.one)
+
+    def weight(self, state, w):
+        """Of the arc for ``w`` from a state, or of the failure arc and what follows."""
+        if state == ():
+            return (self.one[w] + 1) / (self.n + self.v + 1)
+        seen, left, k = (self.two, self.after1[state[0]], lm.BIGRAM) if len(state) == 1 else (self.three, self.after2[state], lm.TRIGRAM)
+        fail = k / (left + k)
+        return seen[(*state, w)] / (left + k) + fail * self.weight(state[1:], w)
+
+    def score(self, t):
+        total, state = 0.0, ("<begin>",)
+        for w in t:
+            total += math.log10(self.weight(state, w))
+            state = (*state, (w,))[-2:]
+        return total
+
+
 def brute(rows):
-    """The automaton held in memory: states, arcs, failure arcs, one traversal of each text."""
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
-    train = [toks(t) for (_, t), h in zip(rows, held) if not h]
-    c = Counter(x for t in train for x in t)
-    n, v = sum(c.values()), len(c)
-    least = max(1, -(-n // lm.FREQUENT))
-    is_state = lambda x: x is None and c[x] > 0 or c[x] >= least
-    state = lambda x: ("w", x) if is_state(x) else "rare"
-    rare = [x for x in c if not is_state(x)]
-    prob = lambda s: (sum(c[x] + 1 for x in rare) + 1) / (n + v + 1) if s == "rare" else (c[s[1]] + 1) / (n + v + 1)
-    history = Counter({"begin": len(train), "rare": sum(c[x] for x in rare), **{("w", x): c[x] for x in c if is_state(x)}})
-    arcs = Counter()
-    for t in train:
-        s = "begin"
-        for x in t:
-            arcs[s, state(x)] += 1
-            s = state(x)
+    m = Automaton([toks(t) for (_, t), h in zip(rows, held) if not h])
     out = []
     for (i, t), h in zip(rows, held):
-        base = total = known = 0
-        s = "begin"
-        for x in toks(t):
-            p, to = (c[x] + 1) / (n + v + 1), state(x)
-            base += math.log10(p)
-            known += c[x] > 0
-            total += math.log10((arcs[s, to] + lm.SMOOTHING * prob(to)) / (history[s] + lm.SMOOTHING))
-            if to == "rare":
-                total += math.log10(p / prob("rare"))
-            s = to
-        out.append((i, h, len(toks(t)), known, n, base, total))
+        x = toks(t)
+        out.append((i, h, len(x), sum(m.one[w] > 0 for w in x), m.n, sum(math.log10(m.weight((), w)) for w in x), m.score(x)))
     return out
 
 
@@ -65,25 +74,35 @@ def test_query_matches_brute_force_and_beats_base(spark):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-@pytest.mark.parametrize(("frequent", "hot"), [(4, 2), (1 << 18, 30), (1 << 18, 8192)])
-def test_cases(spark, monkeypatch, frequent, hot):
-    monkeypatch.setattr(lm, "FREQUENT", frequent)
+@pytest.mark.parametrize(("shared", "hot"), [(4, 2), (1 << 18, 2), (1 << 18, 30), (1 << 18, 8192), (0, 8192), (20, 50)])
+def test_cases(spark, monkeypatch, shared, hot):
+    monkeypatch.setattr(lm, "SHARED", shared)
     monkeypatch.setattr(lm, "HOT", hot)
     rows = [(i, "a b A c " * (i % 4) + f"x{i}") for i in range(40)] + [(None, "a b"), (None, None), (5, ""), (5, ""), (6, "\n é \t"), (7, "a b " * 30_000)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_tokens int")
     check(lm.score(df).collect(), rows)
 
 
-def test_weights_of_a_state_sum_to_one():
-    import numpy as np
+@pytest.mark.parametrize("shared", [0, 1, 4, 60])
+def test_cold_words_have_their_own_arcs(spark, monkeypatch, shared):
+    monkeypatch.setattr(lm, "SHARED", shared)
+    rows = [(i, "a b A c " * (i % 4) + f"x{i % 9} y{i % 3} x{i % 9} x1") for i in range(60)] + [(None, "a b"), (None, None), (5, ""), (6, "\n x1 y2 \t"), (7, "x1 y1 new " * 3_000)]
+    check(lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
 
-    hashes, count = np.array([3, 9, 20], np.uint64), np.array([5, 4, 2])
-    s = lm.States(hashes, count, 20, 8, 3)
-    seen = np.array([[2, 1, 0, 1], [0, 0, 3, 0], [1, 1, 0, 0]])
-    s.count[:3] = seen.sum(1)
-    for h in range(3):
-        assert sum(10 ** s.arc(seen[h], np.full(4, h), np.arange(4))) == pytest.approx(1)
-    assert s.prob[:4].sum() == pytest.approx(1)
+
+def test_every_ngram_is_a_state_whatever_the_size(spark):
+    rows = [(i, " ".join(f"w{(i * 7919 + j * j) % 60_000} a b" for j in range(300))) for i in range(400)] + [(None, "w1 w2 zz w3"), (None, None)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert got[0].train_tokens > 1 << 18
+    check(got, rows)
+
+
+def test_weights_of_a_state_sum_to_one():
+    # With the one type that stands for all unknown words.
+    m = Automaton([toks(t) for t in ("a b c", "a b d", "b c", "", "a a a b")])
+    words = [*m.one, "unknown"]
+    for state in [(), ("<begin>",), (("a",),), (("c",),), (("a",), ("b",)), ("<begin>", ("a",)), (("d",), ("a",))]:
+        assert sum(m.weight(state, w) for w in words) == pytest.approx(1)
 
 
 def test_no_training_rows_and_empty_table(spark):
@@ -93,29 +112,13 @@ def test_no_training_rows_and_empty_table(spark):
     assert lm.score(df.limit(0)).count() == 0
 
 
-def test_row_numbers_are_packed_whole():
+def test_events_are_packed_whole():
     import numpy as np
     import pyarrow as pa
 
     uid = np.array([5, 5, 6, 70_000, 70_000, 1 << 35, (1 << 35) + 65_535])
-    parts = list(lm._stepped(uid, np.arange(len(uid))))
-    table = pa.table({"rows": [p[0] for p in parts], "step": [p[1] for p in parts]})
+    u = np.array([0, 65_536, 262_144, (1 << 63) + 5, 3, (1 << 63) + (1 << 62), 77], np.uint64)
+    rows = list(lm._packed(lm.PAIR, np.zeros(7, int), uid, np.arange(7), np.arange(7), u))
+    table = pa.Table.from_pylist(rows, schema=lm._EVENT_SCHEMA)
     numbers, docs = lm._rows_of(table)
-    assert numbers[docs].tolist() == uid.tolist() and np.concatenate([p[2] for p in parts]).tolist() == list(range(len(uid)))
-
-
-def test_every_word_is_a_state_whatever_the_size(spark, monkeypatch):
-    # Above 262,144 training tokens words of a low count were once pooled into one state.
-    rows = [(i, " ".join(f"w{(i * 7919 + j * j) % 60_000} a b" for j in range(300))) for i in range(400)] + [(None, "w1 w2 zz w3"), (None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = lm.score(df).collect()
-    monkeypatch.setattr(lm, "FREQUENT", 1 << 62)
-    assert got[0].train_tokens > 1 << 18
-    check(got, rows)
-
-
-@pytest.mark.parametrize("shared", [1, 4, 60])
-def test_cold_words_have_their_own_arcs(spark, monkeypatch, shared):
-    monkeypatch.setattr(lm, "SHARED", shared)
-    rows = [(i, "a b A c " * (i % 4) + f"x{i % 9} y{i % 3} x{i % 9} x1") for i in range(60)] + [(None, "a b"), (None, None), (5, ""), (6, "\n x1 y2 \t"), (7, "x1 y1 new " * 3_000)]
-    check(lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+    assert numbers[docs].tolist() == uid.tolist() and lm._codes(table).tolist() == u.tolist()
