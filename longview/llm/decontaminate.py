@@ -1,22 +1,19 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are lower-cased without punctuation; numbers, names (capitalised inside a sentence) and units
-(after a number) become typed placeholders. Windows of ``WINDOW`` such tokens of the benchmark form a
-hash table, which the windows of every document are looked up in. Matches of one document and item at
-one offset are joined to runs; a run counts if it has ``LITERALS`` plain words and its slots are
+(after a number) become typed placeholders. Windows of ``WINDOW`` such tokens of a document are joined by their hash
+with those of the benchmark. A window counts if its plain words are the item's and its slots are
 consistent: equal values of the item stand for equal values in the document. So a question with other
-numbers or names is caught, and a chance likeness is not. Different values may become equal.
+numbers or names is caught, and a chance likeness is not. Different values may become equal. Windows are judged one by
+one, so a conflict elsewhere in a passage does not hide them. A window of fewer than ``LITERALS`` plain words, such as
+a row of a table of numbers, is no template and is left out.
 
-A run with a conflict is split. Of its parts of ``WINDOW`` tokens and more those count that equal the item
-word for word (see below), and the longest consistent ones with ``LITERALS`` plain words in which a value of the item
-comes twice: as the run has shown that its slots need not hold, a part has to show that they do.
-
-Windows of the plain lower-cased words, without placeholders, are looked up too, and count whatever they
+Windows of the plain lower-cased words, without placeholders, are joined too, and count whatever they
 are made of: so a copy of numbers and names is found, and one in other capitals.
 
-The benchmark is the stated query set: it is taken in blocks of at most ``BLOCK`` bytes of text, each
-going with its table to the documents in a pass of its own, so nothing grows with the benchmark but the
-number of passes. Documents stay where they are.
+Nothing is held by the driver but a bit table of fixed size, by which documents send only windows that some item
+may have, with their few words, to the join. The items' windows are a written table, broadcast by Spark where its size
+allows it. What is found is kept for each different text (by 128 bits of hash) and looked up by it.
 
 Defined cases: null and empty texts match nothing; items with 4 to 7 tokens are matched whole, shorter
 ones never; a null item id is reported as null; repeated items and documents each count; an empty
@@ -32,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import arrays
-from .common import small_batches
+from .common import BROADCAST_KEYS, is_small, lookup, settle, small_batches
 
 WINDOW = 8
 SHORTEST = 4
 LITERALS = 4
-BLOCK = 2 << 20
+#: Of the table of bits: 16 MB.
+BITS = 27
 NUMBER, NAME, UNIT = 1, 2, 3
 UNITS = "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres g kg mg lb lbs oz gram grams kilogram kilograms ton tons tonne tonnes pound pounds ounce ounces ml l liter liters litre litres gallon gallons s sec ms min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years decade decades c f k celsius fahrenheit kelvin degree degrees percent dollar dollars euro euros cent cents usd eur gbp mph kmh w kw kwh v volt volts amp amps watt watts joule joules hz khz mhz ghz b kb mb gb tb byte bytes bit bits".split()
 
@@ -99,143 +97,147 @@ def _unit_hashes() -> np.ndarray:
 UNIT_HASHES = _unit_hashes()
 
 
-class Matcher:
-    """The template windows of a block of benchmark items."""
+class Windows:
+    """The windows of some texts that may count: text number, size, kind (0 template, 1 plain words), hash, first token.
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.ids = [i for i, _ in items]
-        self.tokens = t = Tokens([(x or "").encode() for _, x in items])
-        sizes = np.bincount(t.doc, minlength=len(items))
-        self.tables, self.plain = self._tables(t.hash, sizes), self._tables(t.plain, sizes)
+    Of a template window those count that have a slot and ``LITERALS`` plain words (or no more than the
+    slots leave); one without slots is a plain one. ``sizes`` are the window sizes that a text of n tokens has."""
 
-    def _tables(self, hashes: np.ndarray, sizes: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        tables = {}
+    def __init__(self, texts: list[bytes], sizes):
+        self.tokens = t = Tokens(texts)
+        self.long = np.bincount(t.doc, minlength=len(texts))
+        slots = np.concatenate(([0], np.cumsum(t.kind > 0)))
+        parts = [[np.zeros(0, x)] for x in (np.int64, np.int64, np.int64, np.uint64, np.int64)]
         for k in range(SHORTEST, WINDOW + 1):
-            h, doc, at = arrays.windows(hashes, self.tokens.doc, k)
-            own = np.ones(len(h), bool) if k == WINDOW else sizes[doc] == k
-            if own.any():
-                order = np.argsort(h[own], kind="stable")
-                mask = np.zeros(1 << 20, bool)
-                mask[h[own] >> np.uint64(44)] = True
-                tables[k] = (h[own][order], at[own][order], mask)
-        return tables
-
-    def _runs(self, d: Tokens, hashes: np.ndarray, tables: dict) -> Iterator[tuple[int, int, int]]:
-        """(token of a text, token of the item, tokens) of the matches of one offset that meet."""
-        t = self.tokens
-        pairs: list[tuple[int, int, int]] = []  # (token of the text, token of the item, window)
-        for k, (table, places, mask) in tables.items():
-            h, _, at = arrays.windows(hashes, d.doc, k)
-            maybe = np.flatnonzero(mask[h >> np.uint64(44)])
-            lo, hi = np.searchsorted(table, h[maybe], "left"), np.searchsorted(table, h[maybe], "right")
-            for i in np.flatnonzero(hi > lo):
-                pairs += [(int(at[maybe[i]]), int(places[j]), k) for j in range(lo[i], hi[i])]
-        pairs.sort(key=lambda p: (d.doc[p[0]], t.doc[p[1]], p[0] - p[1], p[0]))
-        i = 0
-        while i < len(pairs):
-            a, b, k = pairs[i]
-            stop, i = a + k, i + 1
-            while i < len(pairs) and pairs[i][0] - pairs[i][1] == a - b and pairs[i][0] <= stop and d.doc[pairs[i][0]] == d.doc[a] and t.doc[pairs[i][1]] == t.doc[b]:
-                stop, i = max(stop, pairs[i][0] + pairs[i][2]), i + 1
-            yield a, b, stop - a
-
-    def find(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
-        """For each text: (number of an item, first matching token, matching tokens) of its runs."""
-        d, t = Tokens(texts), self.tokens
-        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        parts: dict[tuple[int, int, int], list[tuple[int, int]]] = {}  # by text, item and offset
-        for a, b, n in self._runs(d, d.hash, self.tables):
-            parts.setdefault((int(d.doc[a]), int(t.doc[b]), a - b), []).extend((a + x, a + x + k) for x, k in self._parts(d, a, b, n))
-        for a, b, n in self._runs(d, d.plain, self.plain):
-            if all(d.word(a + j) == t.word(b + j) for j in range(n)):
-                parts.setdefault((int(d.doc[a]), int(t.doc[b]), a - b), []).append((a, a + n))
-        for (text, item, _), found in sorted(parts.items()):
-            out[text] += [(item, x, y - x) for x, y in _joined(found)]
-        return out
-
-    def _parts(self, d: Tokens, a: int, b: int, n: int) -> list[tuple[int, int]]:
-        """(first, tokens) of the consistent parts of a run that count, which do not overlap."""
+            for kind, hashes in enumerate((t.hash, t.plain)):
+                h, doc, at = arrays.windows(hashes, t.doc, k)
+                use = sizes(self.long[doc], k)
+                if kind == 0:
+                    n = slots[at + k] - slots[at]
+                    use &= (n > 0) & (k - n >= LITERALS)
+                with np.errstate(over="ignore"):
+                    h = arrays.mix(h[use] + np.uint64(2 * k + kind))
+                for x, y in zip(parts, (doc[use], np.full(len(h), k), np.full(len(h), kind), h, at[use])):
+                    x.append(y)
+        self.doc, self.size, self.kind, self.hash, self.at = map(np.concatenate, parts)
+        self.first = np.searchsorted(t.doc, np.arange(len(texts)))
+
+    def columns(self, use: np.ndarray) -> list[pa.Array]:
+        """hash, size, kind, first token in its text, words and kinds of tokens of the chosen windows."""
         t = self.tokens
-        last: dict[tuple[int, bytes], tuple[int, bytes, int]] = {}  # place and value of a slot, and where it last had another
-        plain, earlier = np.zeros(n + 1, np.int64), []
-        found: list[tuple[int, int]] = []
-        start = 0
-
-        def consider(first: int, stop: int) -> None:
-            if first or stop < n:
-                if stop - first < WINDOW or not any(first <= e for e in earlier[first:stop]):
-                    return
-            if stop - first > 0 and plain[stop] - plain[first] >= min(LITERALS, stop - first):
-                found.append((first, stop))
-
-        for j in range(n):
-            u, v, kind = d.word(a + j), t.word(b + j), int(t.kind[b + j])
-            plain[j + 1] = plain[j] + (not kind)
-            before, value, other = last.get((kind, v), (-1, u, -1)) if kind else (-1, u, -1)
-            if value != u:
-                other = before
-            earlier.append(before)
-            if kind:
-                last[kind, v] = (j, u, other)
-            broken = int(d.kind[a + j]) != kind or not kind and u != v  # only where hashes collide
-            to = j + 1 if broken else other + 1
-            if to > start:
-                consider(start, j)
-                start = to
-        consider(start, n)
-        return [(x, y - x) for x, y in _joined(found)]
-
-
-def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans without overlaps, in order."""
-    out: list[tuple[int, int]] = []
-    for x, y in sorted(spans):
-        if out and x <= out[-1][1]:
-            out[-1] = (out[-1][0], max(y, out[-1][1]))
-        else:
-            out.append((x, y))
-    return out
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[Matcher]:
-    items, size = [], 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        items.append((r.item_id, r.text))
-        size += len(r.text or "")
-        if size >= BLOCK:
-            yield Matcher(items)
-            items, size = [], 0
-    if items:
-        yield Matcher(items)
+        words, kinds = [], []
+        for a, k in zip(self.at[use].tolist(), self.size[use].tolist()):
+            words.append(b"\0".join(t.word(j) for j in range(a, a + k)))
+            kinds.append(t.kind[a : a + k].tobytes())
+        at = self.at[use] - self.first[self.doc[use]]
+        return [pa.array(self.hash[use].view(np.int64)), pa.array(self.size[use]), pa.array(self.kind[use]), pa.array(at), pa.array(words, pa.binary()), pa.array(kinds, pa.binary())]
+
+
+_WINDOW = "h long, size long, kind long, at long, words binary, kinds binary"
+
+
+def consistent(words: bytes, kinds: bytes, item_words: bytes, item_kinds: bytes) -> bool:
+    """Whether a template window's plain words are the item's, and equal values of the item's slots stand for equal ones."""
+    stands: dict[tuple[int, bytes], bytes] = {}
+    for x, a, y, b in zip(words.split(b"\0"), kinds, item_words.split(b"\0"), item_kinds):
+        if a != b or (stands.setdefault((b, y), x) if b else y) != x:
+            return False
+    return True
+
+
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """The windows of all items, with item (number of its row) and item_id: of ``WINDOW`` tokens, or whole shorter items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = Windows(arrays.as_bytes(b.column(2)), lambda n, k: (n == k) if k < WINDOW else (n >= k))
+            use = np.arange(len(w.hash))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(w.doc)), b.column(1).take(pa.array(w.doc)), *w.columns(use)], names)
+
+    names = ["item", "item_id", "h", "size", "kind", "item_at", "item_words", "item_kinds"]
+    rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long"), "text")
+    return settle(rows.mapInArrow(run, "item long, item_id long, h long, size long, kind long, item_at long, item_words binary, item_kinds binary"), "items")
+
+
+def _filter(items: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """A bit for each value of the leading ``BITS`` bits of the windows' hashes, and the sizes of windows.
+
+    Its size is fixed; it only spares the windows of documents that no item has the way to the join."""
+    spare, pieces = BITS - 3, 16
+
+    def bits(table: pa.Table) -> pa.Table:
+        h = table["h"].to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+        part = np.zeros((1 << spare) // pieces, np.uint8)
+        at = (h >> np.uint64(3)).astype(np.int64) % len(part)
+        np.bitwise_or.at(part, at, np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
+        return pa.table({"piece": table["piece"][:1], "bits": pa.array([part.tobytes()], pa.binary())})
+
+    piece = F.shiftrightunsigned("h", 60)
+    got = items.select(piece.alias("piece"), "h").distinct().groupBy("piece").applyInArrow(bits, "piece long, bits binary").collect()  # 16 rows of fixed size
+    mask = np.zeros((pieces, (1 << spare) // pieces), np.uint8)
+    for r in got:
+        mask[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
+    return mask.ravel(), sorted(r[0] for r in items.select("size").distinct().collect())  # five sizes at most
+
+
+def _key(text: str):
+    return [F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2")]
+
+
+def found(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """__k1 and __k2 (which stand for a text), item_ids and n_matched of the texts with a match."""
+    spark = docs.sparkSession
+    items = item_windows(benchmark)
+    mask, sizes = _filter(items)
+    shared = spark.sparkContext.broadcast(mask)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = shared.value
+        for b in batches:
+            w = Windows(arrays.as_bytes(b.column(2)), lambda n, k: np.full(len(n), k in sizes))
+            h = w.hash >> np.uint64(64 - BITS)
+            use = np.flatnonzero(mask[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+            of = pa.array(w.doc[use])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), *w.columns(use)], ["__k1", "__k2", *(x.split()[0] for x in _WINDOW.split(", "))])
+
+    near = docs.select(*_key(text), F.col(text).alias("text")).mapInArrow(candidates, f"__k1 long, __k2 long, {_WINDOW}")
+    # Joined by hash: the items' windows are broadcast by Spark where their size allows it.
+    met = near.join(items, ["h", "size", "kind"]).select("__k1", "__k2", "at", "size", "kind", "words", "kinds", "item_words", "item_kinds", "item", "item_id")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind, *sides = (b.column(k).to_pylist() for k in (4, 5, 6, 7, 8))
+            good = [x == y if k else consistent(x, a, y, c) for k, x, a, y, c in zip(kind, *sides)]
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in (0, 1, 2, 3, 9, 10)], ["__k1", "__k2", "at", "size", "item", "item_id"]).filter(pa.array(good, pa.bool_()))
+
+    hits = settle(met.mapInArrow(judge, "__k1 long, __k2 long, at long, size long, item long, item_id long"), "hits")
+    keys = ["__k1", "__k2"]
+    ids = hits.select(*keys, "item", "item_id").distinct().groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("item", "item_id"))), lambda x: x["item_id"]).alias("item_ids"))
+    covered = hits.select(*keys, F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("token")).distinct().groupBy(*keys).agg(F.count("*").alias("n_matched"))
+    return settle(ids.join(covered, keys), "found")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with item_ids (array of long) and n_matched (long, tokens of the runs)."""
+    """``docs`` with item_ids (array of long, an id for each matching row of the benchmark) and n_matched (long, the
+    document's tokens in matching windows)."""
     small_batches(docs.sparkSession)
     docs = docs.drop("item_ids", "n_matched")
-    names = docs.columns
-    found = docs.withColumn("item_ids", F.array().cast("array<long>")).withColumn("n_matched", F.lit(0).cast("long"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("n_matched", T.LongType())])
-    for matcher in _blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                runs = matcher.find(arrays.as_bytes(b.column(names.index(text))))
-                ids = [(old or []) + [matcher.ids[i] for i in sorted({r[0] for r in x})] for old, x in zip(b.column(len(names)).to_pylist(), runs)]
-                n = [old + sum(r[2] for r in x) for old, x in zip(b.column(len(names) + 1).to_pylist(), runs)]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(ids, pa.list_(pa.int64())), pa.array(n, pa.int64())], [*names, "item_ids", "n_matched"])
-
-        found = found.mapInArrow(run, schema)
-    return found
+    out = lookup(docs.select("*", *_key(text)), found(docs, benchmark, text), ["__k1", "__k2"], text)
+    return out.select(*docs.columns, F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("n_matched", F.lit(0).cast("long")).alias("n_matched"))
 
 
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a benchmark item, with all their columns."""
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), "text")
-    return matches(rows, benchmark).where("size(item_ids) = 0").select("__row.*")
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), *_key("text"))
+    gone = found(docs, benchmark).select("__k1", "__k2")
+    return rows.join(F.broadcast(gone) if is_small(gone, BROADCAST_KEYS) else gone, ["__k1", "__k2"], "left_anti").select("__row.*")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "n_matched", F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"))
+    rows = docs.select("doc_id", *_key("text"))  # the texts themselves are read for the windows only
+    out = lookup(rows, found(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), ["__k1", "__k2"], "doc_id")
+    n = F.coalesce(F.size("item_ids"), F.lit(0)).cast("long")
+    text = F.coalesce(F.array_join(F.col("item_ids").cast("array<string>"), ","), F.lit(""))
+    return out.select("doc_id", (F.coalesce(F.size("item_ids"), F.lit(0)) > 0).alias("contaminated"), n.alias("n_items"), F.coalesce("n_matched", F.lit(0).cast("long")).alias("n_matched"), text.alias("item_ids"))

@@ -1,10 +1,14 @@
+import random
+import re
+import string
+
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
 
-from longview.llm import arrays, decontaminate, pieces
+from longview.llm import arrays, common, decontaminate, pieces
 
 SF = "/root/testdata/sf0.001"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -105,68 +109,125 @@ def test_long_texts_are_cut_between_words(monkeypatch):
 ITEMS = [(7, "A train leaves Boston at 60 km per hour and Alice waits 3 hours for the train to Boston with Bob."), (8, "what is two plus two"), (9, None), (10, "one two three"), (7, "An unrelated question about the colour of the northern sky tonight")]
 
 
-def found(text):
-    return sorted({decontaminate.Matcher(ITEMS).ids[i] for i, _, _ in decontaminate.Matcher(ITEMS).find([text.encode()])[0]})
-
-
-def test_reparameterised_questions():
-    assert found("Some text. a train leaves Denver at 75 miles per hour and Carol waits 9 hours for the train to Denver with Dan. More.") == [7]
-    # Denver and Boulder stand for one name of the item: that run is not consistent.
-    assert found("it said: the train leaves Denver at 75 km per hour and Carol waits 9 hours for the train to Boulder with Dan") == []
-    assert found("WHAT is two, plus two!") == [8]
-    assert found("what is two plus three") == []
-    assert found("one two three") == []
-    assert found("An unrelated question about the colour of grass") == []
-
-
-def test_a_conflict_does_not_hide_the_rest_of_a_run():
+def canonical(text):
+    """(word, kind) of each token of a text, kind being "", "number", "name" or "unit"."""
+    out, after = [], True
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
+        if "\n" in text[out[-1][2] if out else 0 : m.start()]:
+            after = True
+        w = m[0]
+        bare = "".join(c.lower() if ord(c) < 128 else c for c in w if ord(c) > 127 or c.isalnum())
+        if bare:
+            lead = next(c for c in w if ord(c) > 127 or c.isalnum())
+            name = lead in string.ascii_uppercase or "À" <= lead <= "Þ"
+            kind = "number" if lead in string.digits else "name" if name and not after else ""
+            if bare in decontaminate.UNITS and out and out[-1][1] == "number":
+                kind = "unit"
+            out.append((bare, kind, m.end()))
+        after = w[-1] in ".!?:;"
+        if not bare and out:
+            out[-1] = (*out[-1][:2], m.end()) if "\n" not in text[out[-1][2] : m.start()] else out[-1]
+    return [(w, k) for w, k, _ in out]
+
+
+def counts(x, y):
+    """Whether a window x of a text counts as the window y of an item."""
+    if [w for w, _ in x] == [w for w, _ in y]:
+        return True
+    plain = sum(not k for _, k in y)
+    if [k for _, k in x] != [k for _, k in y] or plain < decontaminate.LITERALS or plain == len(y):
+        return False
+    stands = {}
+    return all(stands.setdefault((k, v), w) == w if k else v == w for (w, _), (v, k) in zip(x, y))
+
+
+def brute(text, items):
+    """(item ids, tokens of the text in windows that count), every window compared with every one."""
+    t, ids, covered = canonical(text), [], set()
+    for i, item in items:
+        y = canonical(item)
+        k = min(len(y), decontaminate.WINDOW)
+        hit = [a for a in range(len(t) - k + 1) if k >= decontaminate.SHORTEST and any(counts(t[a : a + k], y[b : b + k]) for b in range(len(y) - k + 1))]
+        ids += [i] if hit else []
+        covered.update(a + j for a in hit for j in range(k))
+    return ids, len(covered)
+
+
+def check(spark, texts, items):
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.item_ids, r.n_matched) for r in decontaminate.matches(docs, bench).collect()}
+    for i, t in enumerate(texts):
+        ids, n = brute(t, items)
+        assert (sorted(got[i][0], key=str), got[i][1]) == (sorted(ids, key=str), n), t
+    return [got[i] for i in range(len(texts))]
+
+
+def test_reparameterised_questions(spark):
+    got = check(spark, [
+        "Some text. a train leaves Denver at 75 miles per hour and Carol waits 9 hours for the train to Denver with Dan. More.",
+        # Denver and Boulder stand for one name of the item: no window holds both.
+        "it said: the train leaves Denver at 75 km per hour and Carol waits 9 hours for the train to Boulder with Dan",
+        "WHAT is two, plus two!", "what is two plus three", "one two three", "An unrelated question about the colour of grass",
+        "an UNRELATED question about the colour of the northern sky tonight", "", None,
+    ], ITEMS)
+    assert [ids for ids, _ in got] == [[7], [7], [8], [], [], [], [7], [], []]
+
+
+def test_slots_are_judged_window_by_window(spark):
     item = "the old bridge near Lima was built by 40 men who had walked there from far away and were paid in silver before the town of Lima had its own walls and towers again today"
-    m = decontaminate.Matcher([(1, item)])
-    n = len(item.split())
-    copy = "so " + item.replace("town of Lima", "town of Cusco") + " ok"
-    # Word for word but for one of two names.
-    assert [(i, k) for i, _, k in m.find([copy.encode()])[0]] == [(0, 26), (0, n - 27)] and item.split()[26] == "Lima"
-    assert m.find([("so " + item).encode()])[0] == [(0, 1, n)]
-    # Different values become equal.
-    assert decontaminate.Matcher([(1, "add 3 apples to 5 apples in the large green basket")]).find([b"add 4 apples to 4 apples in the large green basket"])[0]
-    # Other values all over, a conflict at the end, and one value that is twice the same before it.
-    m = decontaminate.Matcher([(1, "so Ann gave 7 coins to Bob and then Ann took the coins from Bob again and met Cid while Cid was out")])
-    assert m.find([b"so Eve gave 8 coins to Tom and then Eve took the coins from Tom again and met Max while Jim was out"])[0]
-    assert not m.find([b"so Eve gave 8 coins to Tom and then Max took the coins from Jim again and met Max while Jim was out"])[0]
-
-
-def test_word_for_word_copies_count_whatever_their_words():
-    one = lambda item, text: [(i, k) for i, _, k in decontaminate.Matcher([(1, item)]).find([text.encode()])[0]]
-    numbers = "3 km 4 km 5 km 6 km 7 km 8 km"
-    assert one(numbers, f"see {numbers} here") == [(0, 12)]
-    assert one(numbers, "see 9 km 4 km 2 km 6 km 1 km 8 km here") == []
+    table = "3 km 4 km 5 km 6 km 7 km 8 km"
     passage = "the train from Lima met Anna and Bert at noon near Quito where Carl slept"
-    assert one(passage, "AND " + passage.upper() + " SO") == one(passage, "and " + passage.lower() + " so") == [(0, len(passage.split()))]
-    assert one("2 4 6 8", "it is 2 4 6 8 again") == [(0, 4)]
-
-
-def brute(text, item):
-    """Whether eight equal plain words of the item stand in the text, for texts without slots."""
-    norm = lambda s: ["".join(c for c in w.lower() if c.isalnum() or ord(c) > 127) for w in s.split()]
-    a, b = [w for w in norm(text) if w], [w for w in norm(item) if w]
-    grams = {tuple(b[i : i + 8]) for i in range(len(b) - 7)}
-    return any(tuple(a[i : i + 8]) in grams for i in range(len(a) - 7))
+    items = [(1, item), (2, "so Ann owes Ann 7 coins and Ann pays"), (3, table), (4, passage), (5, "add 3 apples to 5 apples in the basket"), (6, "2 4 6 8"), (6, "2 4 6 8"), (None, "give 5 pears to 5 men here now")]
+    got = check(spark, [
+        "so " + item.replace("town of Lima", "town of Cusco") + " ok", "so " + item,
+        "so Eve owes Eve 8 coins and Eve pays", "so Eve owes Tom 8 coins and Eve pays", "so eve owes eve 8 coins and eve pays",
+        f"see {table} here", "see 9 km 4 km 2 km 6 km 1 km 8 km here",
+        "AND " + passage.upper() + " SO", "and " + passage.lower() + " so",
+        "add 4 apples to 4 apples in the basket", "give 6 pears to 7 men here now", "give 6 pears to 6 men here now", "it is 2 4 6 8 again",
+    ], items)
+    assert [ids for ids, _ in got] == [[1], [1], [2], [], [], [3], [], [4], [4], [5], [], [None], [6, 6]]
+    assert got[1][1] == len(item.split())
+
+
+def test_random_texts_match_brute_force(spark):
+    r = random.Random(3)
+    pool = ["Ann", "Bob", "3", "7", "km", "the", "cat", "sat", "on", "mat.", "and", "ran", "(far)", "--", "off\n", "É", "hours"]
+    text = lambda n: " ".join(r.choice(pool) for _ in range(n))
+    items = [(i, text(r.randint(3, 25))) for i in range(60)]
+    texts = [text(r.randint(0, 60)) for _ in range(40)]
+    for _ in range(60):  # copies with other names and numbers
+        x = r.choice(items)[1]
+        for a, b in r.sample([("Ann", "Eve"), ("Bob", "Tom"), ("3", "5"), ("7", "3"), ("Ann", "Bob"), ("cat", "dog")], 2):
+            x = x.replace(a, b)
+        texts.append(f"{text(3)} {x} {text(3)}")
+    got = check(spark, texts, items)
+    assert sum(bool(ids) for ids, _ in got) > 30
 
 
 def test_decontamination_query_matches_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    for r in decontaminate.op2(spark, SF).collect():
-        assert r.contaminated == any(brute(docs[r.doc_id].lower(), i.lower()) for i in items), r.doc_id
-
-
-def test_decontamination_blocks_and_cases(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "and what is two plus two", 0), (3, "and what is two plus two", 0), (None, "filler " * 300_000 + ITEMS[0][1], 1)], "doc_id long, text string, n_matched_before int")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = decontaminate.op2(spark, SF).collect()
+    assert len(rows) == len(docs) and any(r.contaminated for r in rows)
+    wanted = {w for _, t in items for w, k in canonical(t) if not k}
+    for r in rows:
+        near = sum(w in wanted for w, _ in canonical(docs[r.doc_id])) >= 4  # else no window can count
+        ids, n = brute(docs[r.doc_id], items) if near and (r.contaminated or r.doc_id % 5 == 0) else ([], 0)
+        if r.contaminated or r.doc_id % 5 == 0:
+            assert (sorted(map(int, filter(None, r.item_ids.split(",")))), r.n_items, r.n_matched) == (sorted(ids), len(ids), n), r.doc_id
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_decontamination_cases(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(common, "is_small", lambda *_: False)
+        monkeypatch.setattr(decontaminate, "is_small", lambda *_: False)
+    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "and what is two plus two", 0), (3, "and what is two plus two", 0), (None, "filler " * 300_000 + ITEMS[0][1], 1)], "doc_id long, text string, n_matched int")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     key = lambda df: sorted(((r.doc_id, sorted(r.item_ids)) for r in df.collect()), key=str)
     want = sorted([(1, []), (2, []), (3, [8]), (3, [8]), (None, [7])], key=str)
     assert key(decontaminate.matches(docs, bench)) == want
-    monkeypatch.setattr(decontaminate, "BLOCK", 10)
-    assert key(decontaminate.matches(docs, bench)) == want
+    assert sorted((r.doc_id, r.n_matched) for r in decontaminate.keep(docs, bench).collect()) == [(1, 0), (2, 0)]
     assert key(decontaminate.matches(docs, bench.limit(0))) == [(k, []) for k, _ in want]
     assert decontaminate.matches(docs.limit(0), bench).count() == 0
