@@ -160,7 +160,10 @@ def _spark_line(features: list[str], target: str, horizon: int):
     return Pipeline(stages=[VectorAssembler(inputCols=["y_lag_7"], outputCol="__x", handleInvalid="keep"), LinearRegression(featuresCol="__x", labelCol=target)])
 
 
-@query()
+@query(
+    f"""WITH {_LAGGED}, {SQL_WEEKS}, complete AS (SELECT * FROM (SELECT *, lag(y, 14) OVER (PARTITION BY user_id ORDER BY day) AS y_lag_14 FROM lagged) WHERE y_lag_14 IS NOT NULL), {_OLS.replace('FROM lagged', 'FROM complete')} SELECT 'spark ols' AS model, 7 AS model_forecast_horizon, CAST(NULL AS INTEGER) AS window_length, CAST(w.window_number AS INTEGER) AS window_number, row_index AS valid_indices, day AS date_indices, user_id, y, round(intercept + slope * y_lag_7, 3) AS y_pred
+    FROM lagged JOIN weeks w ON day BETWEEN start AND stop JOIN fits f ON f.window_number = w.window_number"""
+)
 def train_spark_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Spark ML pipeline: every fit is distributed."""
     df = _validation(spark, sf_dir, EstimatorModel(_spark_line), "spark ols", (7,)).df
@@ -330,9 +333,14 @@ def _fit_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residuals(predict(train(lagged, create_windows(lagged, 0), "naive", NAIVE), lagged))
 
 
-_SAMPLES = f"""{_FORECAST_ROWS}, pool AS (SELECT user_id, y - y_lag_7 AS e, row_number() OVER (PARTITION BY user_id ORDER BY y - y_lag_7) AS rn, count(*) OVER (PARTITION BY user_id) AS m FROM lagged WHERE y - y_lag_7 IS NOT NULL),
-    sizes AS (SELECT DISTINCT user_id, m FROM pool), drawn AS (SELECT f.user_id, horizon, forecast_period, p, t, ((CAST(horizon AS BIGINT) * 7919 + t * 104729 + 11) % m) + 1 AS rn FROM forecast f JOIN sizes s ON s.user_id = f.user_id, range(1, 41) r(t) WHERE h = 7),
-    quantiles AS (SELECT d.user_id, horizon, quantile_cont(p + e, [0.025, 0.25, 0.75, 0.975]) AS q FROM drawn d JOIN pool ON pool.user_id = d.user_id AND pool.rn = d.rn GROUP BY 1, 2)"""
+def _drawn(times: int, seed: int, levels: str) -> str:
+    """Forecasts, residuals numbered by value, and quantiles of the sums of those picked by the linear rule."""
+    return f"""{_FORECAST_ROWS}, pool AS (SELECT user_id, y - y_lag_7 AS e, row_number() OVER (PARTITION BY user_id ORDER BY y - y_lag_7) AS rn, count(*) OVER (PARTITION BY user_id) AS m FROM lagged WHERE y - y_lag_7 IS NOT NULL),
+    sizes AS (SELECT DISTINCT user_id, m FROM pool), drawn AS (SELECT f.user_id, horizon, forecast_period, p, t, ((CAST(horizon AS BIGINT) * 7919 + t * 104729 + {seed}) % m) + 1 AS rn FROM forecast f JOIN sizes s ON s.user_id = f.user_id, range(1, {times + 1}) r(t) WHERE h = 7),
+    quantiles AS (SELECT d.user_id, horizon, quantile_cont(p + e, {levels}) AS q FROM drawn d JOIN pool ON pool.user_id = d.user_id AND pool.rn = d.rn GROUP BY 1, 2)"""
+
+
+_SAMPLES = _drawn(40, 11, "[0.025, 0.25, 0.75, 0.975]")
 _BANDS = "round(q[1], 5) AS y_pred_lower_95, round(q[2], 5) AS y_pred_lower_50, round(q[3], 5) AS y_pred_upper_50, round(q[4], 5) AS y_pred_upper_95"
 
 
@@ -343,9 +351,30 @@ def intervals_lcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.df, 5)
 
 
-@query()
+_THREE = ", ".join(f"round(q[{i + 1}], 5) AS y_pred_{n}" for i, n in enumerate(("lower_95", "lower_80", "lower_50", "upper_50", "upper_80", "upper_95")))
+
+
+@query(f"""WITH {_drawn(100, 5, "[0.025, 0.1, 0.25, 0.75, 0.9, 0.975]")} SELECT 'naive' AS model, 7 AS model_forecast_horizon, f.horizon, 0 AS window_length, 1 AS window_number, forecast_period, f.user_id, p AS y_pred, {_THREE} FROM forecast f LEFT JOIN quantiles q ON q.user_id = f.user_id AND q.horizon = f.horizon WHERE h = 7""")
 def intervals_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(intervals(_final(spark, sf_dir, NAIVE, "naive", (7,)), _fit_residuals(spark, sf_dir), (0.5, 0.8, 0.95), 100, seed=5).df, 5)
+    """Three levels of a hundred samples, again with picks that SQL can repeat."""
+    return rounded(intervals(_final(spark, sf_dir, NAIVE, "naive", (7,)), _fit_residuals(spark, sf_dir), (0.5, 0.8, 0.95), 100, seed=5, pick="linear").df, 5)
+
+
+@query(
+    f"""WITH {_FORECAST_ROWS}, pool AS (SELECT user_id, min(y - y_lag_7) AS a, max(y - y_lag_7) AS b FROM lagged GROUP BY 1)
+    SELECT f.user_id, horizon, p AS y_pred, CASE WHEN p IS NOT NULL AND a IS NOT NULL THEN true END AS in_order, CASE WHEN p IS NOT NULL AND a IS NOT NULL THEN true END AS in_range FROM forecast f LEFT JOIN pool ON pool.user_id = f.user_id WHERE h = 7"""
+)
+def intervals_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picks by hash, which SQL can't repeat: bounds are in order, and between the sums with the least and the largest residual."""
+    pool = _fit_residuals(spark, sf_dir)
+    df = intervals(_final(spark, sf_dir, NAIVE, "naive", (7,)), pool, (0.5, 0.95), 100, seed=5).df
+    value = next(c for c in pool.columns if "residual" in c)
+    ends = pool.groupBy(F.col("user_id").alias("of")).agg(F.min(value).alias("a"), F.max(value).alias("b"))
+    df = df.join(ends, F.col("user_id") == F.col("of"), "left")
+    low, high, slack = F.col("y_pred_lower_95"), F.col("y_pred_upper_95"), F.lit(1e-9)
+    in_order = (low <= F.col("y_pred_lower_50")) & (F.col("y_pred_lower_50") <= F.col("y_pred_upper_50")) & (F.col("y_pred_upper_50") <= high)
+    in_range = (low >= F.col("y_pred") + F.col("a") - slack) & (high <= F.col("y_pred") + F.col("b") + slack)
+    return df.select("user_id", "horizon", "y_pred", in_order.alias("in_order"), in_range.alias("in_range"))
 
 
 # --- reconciliation
@@ -395,22 +424,40 @@ def order_counts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"total": total, "region": nation.groupBy("month", "n_regionkey").agg((F.sum("y") * 0.9).alias("y")), "nation": nation}
 
 
-@query()
+@query(
+    f"""WITH cents AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority AS p, o_orderstatus AS s, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders),
+    ends AS (SELECT min(month) AS lo, max(month) AS hi FROM cents), months AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS month FROM ends),
+    sums AS (SELECT month, p, s, CAST(sum(c) AS DOUBLE) / 100 AS f, sum(c) AS c FROM cents GROUP BY 1, 2, 3),
+    cell AS (SELECT m.month, k.p, k.s, coalesce(f, 0) AS f, coalesce(c, 0) AS c FROM months m CROSS JOIN (SELECT DISTINCT p, s FROM cents) k LEFT JOIN sums ON sums.month = m.month AND sums.p = k.p AND sums.s = k.s),
+    n AS (SELECT count(DISTINCT p) AS i, count(DISTINCT s) AS j FROM cents),
+    part AS (SELECT cell.*, i, j, avg(f) OVER (PARTITION BY month) AS m, avg(f) OVER (PARTITION BY month, p) AS mp, avg(f) OVER (PARTITION BY month, s) AS ms,
+      CAST(sum(c) OVER (PARTITION BY month, p) AS DOUBLE) / 100 AS fp, CAST(sum(c) OVER (PARTITION BY month, s) AS DOUBLE) / 100 * 0.951357 AS fs, CAST(sum(c) OVER (PARTITION BY month) AS DOUBLE) / 100 * 1.098765 AS ft FROM cell CROSS JOIN n),
+    mean AS (SELECT *, avg(fp) OVER (PARTITION BY month) AS ap, avg(fs) OVER (PARTITION BY month) AS av FROM part),
+    new AS (SELECT month, p, s, i, j, (m + ap / j + av / i + ft / (i * j)) / 4 + ((mp - m) + (fp - ap) / j) / 2 + ((ms - m) + (fs - av) / i) / 2 + (f - mp - ms + m) AS y FROM mean)
+    SELECT 'both' AS level, p AS o_orderpriority, s AS o_orderstatus, month, round(y, 3) AS y FROM new
+    UNION ALL SELECT 'priority', p, NULL, month, round(sum(y), 3) FROM new GROUP BY p, month UNION ALL SELECT 'status', NULL, s, month, round(sum(y), 3) FROM new GROUP BY s, month
+    UNION ALL SELECT 'total', NULL, NULL, month, round(sum(y), 3) FROM new WHERE month IN (SELECT month FROM cents) GROUP BY month"""
+)
 def reconcile_group_crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total, priority, status and both: levels that cross are solved densely by date."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("month", F.trunc(F.to_date("o_orderdate"), "month")).withColumnRenamed("o_totalprice", "y")
-    levels = {"total": _levels(orders, "month", [], 1.1), "priority": _levels(orders, "month", ["o_orderpriority"], 1.0), "status": _levels(orders, "month", ["o_orderstatus"], 0.95), "both": _levels(orders, "month", ["o_orderpriority", "o_orderstatus"], 1.0)}
+    levels = {"total": _levels(orders, "month", [], 1.098765), "priority": _levels(orders, "month", ["o_orderpriority"], 1.0), "status": _levels(orders, "month", ["o_orderstatus"], 0.951357), "both": _levels(orders, "month", ["o_orderpriority", "o_orderstatus"], 1.0)}
     found = reconcile_groups(levels, "1 month", "month", "y")
     return rounded(union_all([d.withColumn("level", F.lit(n)) for n, d in found.items()]).select("level", "o_orderpriority", "o_orderstatus", "month", "y"), 3)
 
 
-@query()
+@query(
+    f"""WITH {SQL_TYPES}, first AS (SELECT min(day) AS first FROM types), numbered AS (SELECT event_type, day, y, CAST(first + CAST((day - first) // 7 * 7 AS INTEGER) AS DATE) AS week FROM types, first),
+    whole AS (SELECT event_type, week, sum(y) AS s, sum(y) * 1.0512347 AS t FROM numbered GROUP BY 1, 2 HAVING count(*) = 7)
+    SELECT n.event_type, day, round(y + coalesce((t - s) / 14, 0), 3) AS y, '1 day' AS frequency FROM numbered n LEFT JOIN whole w ON w.event_type = n.event_type AND w.week = n.week
+    UNION ALL SELECT event_type, week, round((s + t) / 2, 3), '1 week' FROM whole"""
+)
 def reconcile_temporal_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days and weeks of each event type; the days outside whole weeks stay as they are."""
     days = type_days(spark, sf_dir)
     first = days.agg(F.min("day").alias("first"))
     numbered = days.crossJoin(F.broadcast(first)).withColumn("week", F.expr("date_add(first, cast(floor(datediff(day, first) / 7) * 7 as int))"))
-    whole = numbered.groupBy("event_type", "week").agg(F.count(F.lit(1)).alias("n"), (F.sum("y") * 1.05).alias("y")).filter("n = 7")
+    whole = numbered.groupBy("event_type", "week").agg(F.count(F.lit(1)).alias("n"), (F.sum("y") * 1.0512347).alias("y")).filter("n = 7")
     found = reconcile_temporal([days, whole.select("event_type", F.col("week").alias("day"), "y")], ["1 day", "1 week"], "day", "y", keys=["event_type"], keep_non_reconciled=True)
     return rounded(union_all([d.withColumn("frequency", F.lit(n)) for n, d in found.items()]), 3)
 
@@ -457,10 +504,29 @@ def plot_hyper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hyper_lines(hyper(train(lagged, _weeks(lagged), "mean", MEAN))))
 
 
-@query()
+@query(
+    f"""WITH {_LAGGED}, {SQL_WEEKS}, {_MEANS}, long AS (SELECT h, window_number, start, stop, unnest(['mu', 'n']) AS hyper, unnest([mu, CAST(n AS DOUBLE)]) AS value FROM fits CROSS JOIN hs),
+    scores AS (SELECT h, window_number, avg(abs(y - mu)) AS mae FROM (SELECT h, f.window_number, user_id, y, mu FROM lagged JOIN fits f ON day BETWEEN start AND stop CROSS JOIN hs) GROUP BY h, window_number, user_id),
+    each AS (SELECT h, window_number, round(mae, 6) AS error FROM scores)
+    SELECT 'mean' AS model, CAST(l.h AS INTEGER) AS model_forecast_horizon, CAST(NULL AS INTEGER) AS window_length, CAST(l.window_number AS INTEGER) AS window_number, hyper, round(value, 6) AS value, CAST(NULL AS VARCHAR) AS value_text, 'mae' AS error_metric, error
+    FROM long l JOIN each e ON e.h = l.h AND e.window_number = l.window_number"""
+)
+def plot_hyper_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hyperparameters beside the errors of their models on the held-out weeks, a row for each user's error."""
+    lagged = _user_lags(spark, sf_dir)
+    models = train(lagged, _weeks(lagged), "mean", MEAN)
+    return rounded(hyper_lines(hyper(models), errors(predict(models, lagged), metrics=["mae"])))
+
+
+@query(
+    f"""WITH {_SAMPLES} SELECT 'naive' AS model, f.user_id, 7 AS model_forecast_horizon, f.horizon, forecast_period AS "index", false AS is_filler, unnest(['95', '50']) AS level, unnest([round(q[1], 5), round(q[2], 5)]) AS lower, unnest([round(q[4], 5), round(q[3], 5)]) AS upper
+    FROM forecast f LEFT JOIN quantiles q ON q.user_id = f.user_id AND q.horizon = f.horizon WHERE h = 7
+    UNION ALL SELECT 'naive', f.user_id, 7, f.horizon, forecast_period, true, unnest(['95', '50']), unnest([round(q[1], 5), round(q[2], 5)]), unnest([round(q[4], 5), round(q[3], 5)])
+    FROM forecast f LEFT JOIN quantiles q ON q.user_id = f.user_id AND q.horizon = f.horizon WHERE h = 7 AND f.horizon > 1"""
+)
 def plot_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     combined = combine(_final(spark, sf_dir, NAIVE, "naive", (7,)))
-    return rounded(interval_ribbons(intervals(combined, _fit_residuals(spark, sf_dir), (0.5, 0.95), 40, seed=11)), 5)
+    return rounded(interval_ribbons(intervals(combined, _fit_residuals(spark, sf_dir), (0.5, 0.95), 40, seed=11, pick="linear")), 5)
 
 
 # --- the flagship
