@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.compute as pc
 
 PIECE = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
@@ -123,6 +124,17 @@ def windows(hashes: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, n
     return out[at], docs[at], at
 
 
+def small(batches, column: int, limit: int = 1 << 21):
+    """Batches of rows with some ``limit`` bytes of text in ``column``, or one row."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def as_bytes(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column, null as empty."""
     return [x or b"" for x in column.cast("binary").to_pylist()]

@@ -100,37 +100,38 @@ UNIT_HASHES = _unit_hashes()
 class Windows:
     """The windows of some texts that may count: text number, size, kind (0 template, 1 plain words), hash, first token.
 
-    Of a template window those count that have a slot and ``LITERALS`` plain words (or no more than the
-    slots leave); one without slots is a plain one. ``sizes`` are the window sizes that a text of n tokens has."""
+    Of a template window those count that have a slot and ``LITERALS`` plain words; one without slots is a plain one.
+    ``use`` says of windows (their texts' numbers of tokens, size, hashes) which are wanted."""
 
-    def __init__(self, texts: list[bytes], sizes):
+    def __init__(self, texts: list[bytes], sizes, use):
         self.tokens = t = Tokens(texts)
-        self.long = np.bincount(t.doc, minlength=len(texts))
+        long = np.bincount(t.doc, minlength=len(texts))
         slots = np.concatenate(([0], np.cumsum(t.kind > 0)))
         parts = [[np.zeros(0, x)] for x in (np.int64, np.int64, np.int64, np.uint64, np.int64)]
-        for k in range(SHORTEST, WINDOW + 1):
+        for k in sizes:
             for kind, hashes in enumerate((t.hash, t.plain)):
                 h, doc, at = arrays.windows(hashes, t.doc, k)
-                use = sizes(self.long[doc], k)
+                with np.errstate(over="ignore"):
+                    h = arrays.mix(h + np.uint64(2 * k + kind))
+                want = use(long[doc], k, h)
                 if kind == 0:
                     n = slots[at + k] - slots[at]
-                    use &= (n > 0) & (k - n >= LITERALS)
-                with np.errstate(over="ignore"):
-                    h = arrays.mix(h[use] + np.uint64(2 * k + kind))
-                for x, y in zip(parts, (doc[use], np.full(len(h), k), np.full(len(h), kind), h, at[use])):
+                    want &= (n > 0) & (k - n >= LITERALS)
+                want = np.flatnonzero(want)
+                for x, y in zip(parts, (doc[want], np.full(len(want), k), np.full(len(want), kind), h[want], at[want])):
                     x.append(y)
         self.doc, self.size, self.kind, self.hash, self.at = map(np.concatenate, parts)
         self.first = np.searchsorted(t.doc, np.arange(len(texts)))
 
-    def columns(self, use: np.ndarray) -> list[pa.Array]:
-        """hash, size, kind, first token in its text, words and kinds of tokens of the chosen windows."""
+    def columns(self) -> list[pa.Array]:
+        """hash, size, kind, first token in its text, words and kinds of tokens of the windows."""
         t = self.tokens
         words, kinds = [], []
-        for a, k in zip(self.at[use].tolist(), self.size[use].tolist()):
+        for a, k in zip(self.at.tolist(), self.size.tolist()):
             words.append(b"\0".join(t.word(j) for j in range(a, a + k)))
             kinds.append(t.kind[a : a + k].tobytes())
-        at = self.at[use] - self.first[self.doc[use]]
-        return [pa.array(self.hash[use].view(np.int64)), pa.array(self.size[use]), pa.array(self.kind[use]), pa.array(at), pa.array(words, pa.binary()), pa.array(kinds, pa.binary())]
+        at = self.at - self.first[self.doc]
+        return [pa.array(self.hash.view(np.int64)), pa.array(self.size), pa.array(self.kind), pa.array(at), pa.array(words, pa.binary()), pa.array(kinds, pa.binary())]
 
 
 _WINDOW = "h long, size long, kind long, at long, words binary, kinds binary"
@@ -149,10 +150,9 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     """The windows of all items, with item (number of its row) and item_id: of ``WINDOW`` tokens, or whole shorter items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w = Windows(arrays.as_bytes(b.column(2)), lambda n, k: (n == k) if k < WINDOW else (n >= k))
-            use = np.arange(len(w.hash))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(w.doc)), b.column(1).take(pa.array(w.doc)), *w.columns(use)], names)
+        for b in arrays.small(batches, 2):
+            w = Windows(arrays.as_bytes(b.column(2)), range(SHORTEST, WINDOW + 1), lambda n, k, h: (n == k) if k < WINDOW else (n >= k))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(w.doc)), b.column(1).take(pa.array(w.doc)), *w.columns()], names)
 
     names = ["item", "item_id", "h", "size", "kind", "item_at", "item_words", "item_kinds"]
     rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long"), "text")
@@ -193,12 +193,15 @@ def found(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = shared.value
-        for b in batches:
-            w = Windows(arrays.as_bytes(b.column(2)), lambda n, k: np.full(len(n), k in sizes))
-            h = w.hash >> np.uint64(64 - BITS)
-            use = np.flatnonzero(mask[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & np.uint8(1))
-            of = pa.array(w.doc[use])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), *w.columns(use)], ["__k1", "__k2", *(x.split()[0] for x in _WINDOW.split(", "))])
+
+        def known(n: np.ndarray, k: int, h: np.ndarray) -> np.ndarray:
+            h = h >> np.uint64(64 - BITS)
+            return (mask[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & np.uint8(1)) > 0
+
+        for b in arrays.small(batches, 2):
+            w = Windows(arrays.as_bytes(b.column(2)), sizes, known)
+            of = pa.array(w.doc)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), *w.columns()], ["__k1", "__k2", *(x.split()[0] for x in _WINDOW.split(", "))])
 
     near = docs.select(*_key(text), F.col(text).alias("text")).mapInArrow(candidates, f"__k1 long, __k2 long, {_WINDOW}")
     # Joined by hash: the items' windows are broadcast by Spark where their size allows it.

@@ -43,17 +43,21 @@ from .common import settle, small_batches
 
 #: The most words in the broadcast table; it does not change a score.
 SHARED = 1 << 18
-BIGRAM = 100.0
-TRIGRAM = 30.0
+BIGRAM = 300.0
+TRIGRAM = 5.0
 BLOCK = 1_000_000
+#: Parts of the pairs of shared words in a task, which it takes one by one.
+SLICES = 8
+#: The n-grams of either order that a task keeps counts of while it looks for hot ones.
+HELD = 1 << 18
 HOT = 8192
 END = np.uint64(0x5D1F0C2B9A7E4413)
 #: Marks the hash of a cold word where numbers of shared ones stand as well.
 _COLD = np.uint64(1 << 63)
 _TOP = np.uint32(1 << 31)
-#: Kinds of events: a pair of shared words; the second word cold; the first; both; a hot pair. Then what tasks send on:
-#: pairs of two cold words with c(v); sums; and the rows themselves.
-PAIR, SECOND, FIRST, BOTH, HOT_PAIR, ONWARD, SUMS, ROWS = range(8)
+#: Kinds of events: the second word of a pair is cold; the first; both; a hot pair. Then what tasks send on:
+#: pairs of two cold words with c(v); sums; and the rows themselves. The last are pairs of shared words, by slice.
+SECOND, FIRST, BOTH, HOT_PAIR, ONWARD, SUMS, ROWS, PAIR = range(8)
 
 _COUNTS = "bucket int, hashes binary, counts binary, n long, v long"
 _EVENTS = "bucket int, kind byte, rows binary, step binary, a binary, b binary, u binary"
@@ -105,7 +109,7 @@ def counts(train: DataFrame, buckets: int) -> DataFrame:
             rows = [{"bucket": b, "hashes": h[at].tobytes(), "counts": c[at].tobytes(), "n": 0, "v": 0} for b, at in _split((h % np.uint64(buckets)).astype(np.int64))]
             return pa.RecordBatch.from_pylist(rows, schema=schema)
 
-        for b in batches:
+        for b in arrays.small(batches, 0):
             h, c = np.unique(tokens(arrays.as_bytes(b.column(0)))[0], return_counts=True)
             hs.append(h)
             cs.append(c.astype(np.int64))
@@ -221,14 +225,14 @@ def hot_ngrams(train: DataFrame, states, n: int) -> dict[str, np.ndarray]:
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = states.value
         held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
-        for b in batches:
+        for b in arrays.small(batches, 0):
             w = Walk(s, arrays.as_bytes(b.column(0)))
             known = w.plain & (w.u < s.size)
             for k, x in enumerate((w.pair[w.plain], w.u[known].astype(np.int64) * s.size**2 + w.pair[known])):
                 x, c = np.unique(x, return_counts=True)
                 x, c = _summed(np.concatenate((held[k][0], x)), np.concatenate((held[k][1], c)))
-                if len(x) > BLOCK:  # the rarest are let go
-                    top = np.sort(np.argpartition(c, -BLOCK // 2)[-BLOCK // 2 :])
+                if len(x) > HELD:  # the rarest are let go
+                    top = np.sort(np.argpartition(c, -HELD // 2)[-HELD // 2 :])
                     x, c = x[top], c[top]
                 held[k] = x, c
         for k, (x, c) in enumerate(held):
@@ -247,7 +251,7 @@ def hot_ngrams(train: DataFrame, states, n: int) -> dict[str, np.ndarray]:
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, (pairs, triples) = states.value, shared.value
         count = np.zeros(len(pairs) + len(triples), np.int64)
-        for b in batches:
+        for b in arrays.small(batches, 0):
             w = Walk(s, arrays.as_bytes(b.column(0)))
             at, hot = _among(pairs, w.pair)
             count[: len(pairs)] += np.bincount(at[hot], minlength=len(pairs))
@@ -305,11 +309,11 @@ def _codes(table: pa.Table) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _packed(kind: int, bucket: np.ndarray, uid: np.ndarray, a: np.ndarray, b: np.ndarray, u: np.ndarray) -> Iterator[dict]:
-    """Rows of events, by bucket; ``uid`` is ascending."""
+def _packed(kind: int, bucket: np.ndarray, uid: np.ndarray, a: np.ndarray, b: np.ndarray, u: np.ndarray, slices: int = 1) -> Iterator[dict]:
+    """Rows of events, by bucket (and slice, of which ``bucket`` is made too); ``uid`` is ascending."""
     for k, at in _split(bucket):
         for base, gaps, use in _stepped(uid[at], at):
-            yield {"bucket": k, "kind": kind, "rows": base, "step": gaps, "a": a[use].tobytes(), "b": b[use].tobytes(), "u": _planes(u[use])}
+            yield {"bucket": k // slices, "kind": kind + k % slices, "rows": base, "step": gaps, "a": a[use].tobytes(), "b": b[use].tobytes(), "u": _planes(u[use])}
 
 
 _ON = np.dtype([("v", "<u8"), ("c", "<i8"), ("trained", "?")])
@@ -356,7 +360,7 @@ def score(docs: DataFrame) -> DataFrame:
     n, v = int(total[0]), int(total[1])
     states = spark.sparkContext.broadcast(States(*frequent(vocabulary), n, v))
     hot = spark.sparkContext.broadcast(hot_ngrams(train, states, n))
-    place = lambda x: (arrays.mix(x) % np.uint64(buckets)).astype(np.int64)
+    place = lambda x, n=buckets: (arrays.mix(x) % np.uint64(n)).astype(np.int64)
     home = lambda h: (h % np.uint64(buckets)).astype(np.int64)  # noqa: E731  as the vocabulary's
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,9 +374,9 @@ def score(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             out = []
-            for kind in range(PAIR, HOT_PAIR + 1):
-                bucket, uid, a, b, u = (np.concatenate(x) for x in zip(*[h[kind] for h in held]))
-                out += _packed(kind, bucket, uid, a, b, u)
+            for i, kind in enumerate((PAIR, SECOND, FIRST, BOTH, HOT_PAIR)):
+                bucket, uid, a, b, u = (np.concatenate(x) for x in zip(*[h[i] for h in held]))
+                out += _packed(kind, bucket, uid, a, b, u, SLICES if kind == PAIR else 1)
             uid, made = (np.concatenate(x) for x in zip(*[h[-1] for h in held]))
             for b, at in _split(uid % buckets):
                 out.append({"bucket": b, "kind": ROWS, "rows": uid[at].tobytes(), "step": b"", "a": made[at].tobytes(), "b": b"", "u": b""})
@@ -380,7 +384,7 @@ def score(docs: DataFrame) -> DataFrame:
 
         size = 0
         with np.errstate(over="ignore"):
-            for b in batches:
+            for b in arrays.small(batches, 1):
                 w = Walk(s, arrays.as_bytes(b.column(1)))
                 uid = b.column(0).to_numpy()
                 trained = ~b.column(2).to_numpy(zero_copy_only=False).astype(bool)[w.d]
@@ -400,7 +404,7 @@ def score(docs: DataFrame) -> DataFrame:
                 events = []
                 i = np.flatnonzero(w.plain & ~warm)
                 key = w.pair[i].astype(np.uint64)
-                events.append((place(key), uid[w.d[i]], key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint8) | trained[i].astype(np.uint8) << 7, w.u[i]))
+                events.append((place(key, buckets * SLICES), uid[w.d[i]], key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint8) | trained[i].astype(np.uint8) << 7, w.u[i]))
                 i = np.flatnonzero((w.state < 0) & (w.v >= 0))
                 events.append((home(w.h[i]), uid[w.d[i]], w.h[i], w.v[i].astype(np.uint32) | mark[i], w.u[i]))
                 i = np.flatnonzero((w.state >= 0) & (w.v < 0))
@@ -429,7 +433,10 @@ def score(docs: DataFrame) -> DataFrame:
 
     def sums(found: list[tuple]) -> Iterator[dict]:
         """Rows of sums, by part, of lists of (row numbers, known words or None, base or None, score)."""
-        for uid, known, base, sc in found:
+        plain = [x for x in found if x[1] is None]
+        if plain:
+            plain = [(np.concatenate([x[0] for x in plain]), None, None, np.concatenate([x[3] for x in plain]))]
+        for uid, known, base, sc in plain + [x for x in found if x[1] is not None]:
             numbers, at = np.unique(uid, return_inverse=True)
             known, base, sc = (None if x is None else np.bincount(at, x, minlength=len(numbers)) for x in (known, base, sc))
             for p, use in _split(numbers % parts):  # in order, so that differences are small
@@ -453,20 +460,13 @@ def score(docs: DataFrame) -> DataFrame:
         out, found = [], []
         total = lambda doc, uid, x: np.bincount(doc, x, minlength=len(uid))
 
-        if (t := table(PAIR)).num_rows:
-            uid, doc = _rows_of(t)
-            high, u = _cat(t["b"], np.uint8), _codes(t)
-            key = (high & np.uint8(127)).astype(np.int64) << 32 | _cat(t["a"], np.uint32)
-            trained = high > 127
-            sc = np.zeros(len(uid))
-            slices = 8  # a slice of the pairs at a time
-            part = (key // 7 % slices).astype(np.int8)
-            for k in range(slices):
-                at = np.flatnonzero(part == k)
-                pairs, of = np.unique(key[at], return_inverse=True)
+        for k in range(SLICES):
+            if (t := table(PAIR + k)).num_rows:
+                uid, doc = _rows_of(t)
+                high, u = _cat(t["b"], np.uint8), _codes(t)
+                pairs, of = np.unique((high & np.uint8(127)).astype(np.int64) << 32 | _cat(t["a"], np.uint32), return_inverse=True)
                 v, w = pairs // s.size, pairs % s.size
-                sc += total(doc[at], uid, _weights(s, of, u[at], trained[at], s.prob[w][of], s.history[v][of], (w == s.end)[of]))
-            found.append((uid, None, None, sc))
+                found.append((uid, None, None, total(doc, uid, _weights(s, of, u, high > 127, s.prob[w][of], s.history[v][of], (w == s.end)[of]))))
         if (t := table(SECOND)).num_rows:
             uid, doc = _rows_of(t)
             h, v = _cat(t["a"], np.uint64), _cat(t["b"], np.uint32)

@@ -74,7 +74,7 @@ def _signs(docs: DataFrame, k: int, sketch: int) -> DataFrame:
     """doc_id, n (set size), f1 and f2 (fingerprint of the set) and sketch (its smallest hashes) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in arrays.small(batches, 1):
             s, d = shingles(arrays.as_bytes(b.column(1)), k)
             n = np.bincount(d, minlength=b.num_rows)
             stop = np.concatenate(([0], np.cumsum(n)))
@@ -158,7 +158,7 @@ def _with_sets(pairs: DataFrame, docs: DataFrame, k: int, compare, kind: str, na
     some, ids = _of(docs, pairs)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in arrays.small(batches, 1):
             s, d = shingles(arrays.as_bytes(b.column(1)), k)
             stop = np.cumsum(np.bincount(d, minlength=b.num_rows))
             data = [x.tobytes() for x in np.split(s, stop[:-1])]

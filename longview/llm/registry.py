@@ -42,4 +42,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": oracles.OP4}
+    return {"op1_preference_format": oracles.OP1, "op3_minhash_dedup": oracles.OP3, "op4_quality_rules": oracles.OP4, "op8_warc": oracles.OP8, "op9_suffix_array_dedup": oracles.OP9}

@@ -297,7 +297,8 @@ def archive(pages: DataFrame, path: str, min_bytes: int = 100) -> None:
     """Write a record for each row of (page_id, url, html): of equal payloads of at least ``min_bytes``
     bytes that with the smallest page_id as response, the others as revisit of it.
 
-    Rows that repeat the smallest page_id of their payload are all responses. Only payloads that occur
+    Rows that repeat the smallest page_id of their payload are all responses; a null page_id is no smallest one, and where
+    all are null all are responses. Only payloads that occur
     twice or more go into the table of first pages, which is joined by :func:`common.lookup`.
     """
     register(pages.sparkSession)
@@ -305,7 +306,7 @@ def archive(pages: DataFrame, path: str, min_bytes: int = 100) -> None:
     p = p.withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.octet_length("payload").cast("long"))
     first = p.where(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     p = lookup(p, settle(first, "first-pages"), ["digest"], "page_id")
-    again = F.coalesce(F.col("first_id") != F.col("page_id"), F.lit(False))
+    again = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     p.select(
         urn(F.col("page_id")).alias("record_id"),
