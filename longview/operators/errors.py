@@ -10,6 +10,7 @@ from pyspark.sql.types import DateType, NumericType
 
 from ..functions.metrics import ALL, METRICS, rmsse
 from ..plans.spec import ROW
+from ..session import settle
 from .models import Results
 from .relational import in_series, null_safe_join
 from .residuals import residual
@@ -70,11 +71,12 @@ def errors(
         return ErrorTables(df.select("model").limit(0), df.groupBy("model", "horizon", *groups).agg(*aggs), df.groupBy("model", *groups).agg(*aggs))
     keys = ["model", h, "window_number", *groups]
     if results.kind == "forecast":
-        one = df.groupBy(*keys).agg(*aggs)
+        one = settle(df.groupBy(*keys).agg(*aggs), "errors")
         return ErrorTables(one, one.groupBy("model", h, *groups).agg(*rolled), one.groupBy("model", *groups).agg(*rolled))
     i = results.index
     number = _number(df, i)
     one = df.groupBy(*keys).agg(F.min(i).alias("__a"), F.max(i).alias("__b"), F.sum(number).alias("__s"), F.count(i).alias("__n"), *aggs)
+    one = settle(one, "errors")  # a row for each window and group, which three tables read
     # Bounds come from the small table of metrics, and have a row for each window.
     bounds = one.groupBy("model", h, "window_number").agg(F.min("__a").alias("window_start"), F.max("__b").alias("window_stop"), _middle(df, i).alias("window_midpoint"))
     one = null_safe_join(one, bounds, ["model", h, "window_number"], "inner", broadcast=True)

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.spec import ROW, LaggedFrame, LagSpec, SeriesSpec
-from .relational import BLOCK_ROWS, first_rows, halo_blocks, null_safe_join, union_all
+from .relational import BLOCK_ROWS, first_rows, halo_blocks, has_long_series, null_safe_join, union_all
 
 Future = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -23,7 +23,7 @@ def create_lagged(
     method: str = "direct",
     keep_rows: bool = False,
     predict_future: Future | None = None,
-    split_series: bool = False,
+    split_series: bool | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> LaggedFrame:
     """Lag features by rows of their series (fill gaps first to make that lags in time).
@@ -37,9 +37,10 @@ def create_lagged(
     ones are null in direct forecasts unless ``predict_future(data, dates)`` returns them by index and
     groups.
 
-    Series are lagged by one window each. ``split_series`` spreads long series over tasks in blocks of
-    ``block_rows`` rows, with the rows before a block that its lags reach repeated; a single series is
-    always lagged so. Splitting numbers the rows first, which runs two jobs.
+    Series are lagged by one window each, or spread over tasks in blocks of
+    ``block_rows`` rows, with the rows before a block that its lags reach repeated; results are equal. By default
+    training rows are counted to see whether a series is long (over four blocks); ``split_series`` says so without
+    a count. A single series is always lagged in blocks. Splitting numbers the rows first, which runs two jobs.
     """
     spec.check(df)
     if kind not in ("train", "forecast"):
@@ -56,6 +57,8 @@ def create_lagged(
     roles = frozenset({*spec.groups, *spec.static, *spec.dynamic})
     lags = LagSpec.resolve(spec.lagged(df), horizons, lookback, lookback_control, method, roles)
     make = _train if kind == "train" else _forecast
+    if split_series is None and spec.groups and kind == "train":
+        split_series = has_long_series(df, list(spec.groups), block_rows)
     frames = make(df, spec, horizons, lags, method, keep_rows, predict_future, split_series or not spec.groups, block_rows)
     return LaggedFrame(frames, spec, horizons, lags, kind, method)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -16,7 +16,9 @@ from .relational import null_safe_join, union_all
 from .training import _sql, load
 from .windows import expand
 
-#: Tasks that the rows of one window are predicted in by a pandas model.
+#: Bytes of a horizon's pickled models up to which they are broadcast.
+MODEL_BYTES = 32 << 20
+#: Tasks that the rows of one window are predicted in by a pandas model beyond that.
 CHUNKS = 32
 
 
@@ -86,24 +88,24 @@ def _by_estimator(m: ForecastModel, rows: DataFrame, key: Any, names: list[str])
 
 
 def _by_pandas(m: ForecastModel, lagged: LaggedFrame, rows: DataFrame, key: Any, names: list[str], chunks: int) -> DataFrame:
+    """Rows stay where they are and get their window's model, where all models together are small; else both are shuffled."""
     spec = lagged.spec
     ship(rows.sparkSession)
     columns, predict_rows = lagged.features(key), m.model.predict
     kinds = [k for _, k in prediction_columns(spec, m.outputs)] if lagged.method == "direct" else [DoubleType()] * len(names)
     schema = StructType([*rows.schema.fields, *[StructField(n, k) for n, k in zip(names, kinds)]])
     order, outputs = rows.columns, m.outputs if lagged.method == "direct" else "multi"
-    rows = rows.withColumn("__chunk", F.pmod(F.xxhash64(*[c for c in (ROW, spec.date, "index", "horizon", *spec.groups) if c in rows.columns]), F.lit(chunks)))
     blobs = m.table.filter(F.col("horizons") == (", ".join(map(str, key)) if isinstance(key, tuple) else str(key)))
-    blobs = blobs.select("window_number", "model_blob").crossJoin(F.broadcast(rows.sparkSession.range(chunks).withColumnRenamed("id", "__chunk")))
+    blobs = blobs.select("window_number", "model_blob")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = left[order].reset_index(drop=True)
-        blob = right["model_blob"].iloc[0] if len(right) else None
+    def predicted(out: pd.DataFrame, model: Any) -> pd.DataFrame:
+        """The rows of one window with their predictions."""
+        out = out.reset_index(drop=True)
         for n in names:
             out[n] = None
-        if not len(out) or blob is None:
+        if not len(out) or model is None:
             return out
-        got = pd.DataFrame(predict_rows(load(blob), out[columns])).reset_index(drop=True)
+        got = pd.DataFrame(predict_rows(model, out[columns])).reset_index(drop=True)
         if outputs == "interval" and got.shape[1] == 3:
             low, mid, high = got.mean().sort_values(kind="stable").index
             got = got[[mid, low, high]]
@@ -117,8 +119,29 @@ def _by_pandas(m: ForecastModel, lagged: LaggedFrame, rows: DataFrame, key: Any,
             out[n] = got[c].to_numpy()
         return out
 
+    size = blobs.agg(F.sum(F.octet_length("model_blob"))).first()[0] or 0
+    if size <= MODEL_BYTES:
+        shared = rows.sparkSession.sparkContext.broadcast({r["window_number"]: r["model_blob"] for r in blobs.collect()})  # MODEL_BYTES at most
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            loaded: dict[int, Any] = {}
+            for b in batches:
+                for number, part in b.groupby("window_number", sort=False):
+                    if number not in loaded:
+                        blob = shared.value.get(int(number))
+                        loaded[number] = None if blob is None else load(blob)
+                    yield predicted(part[order], loaded[number])
+
+        return rows.mapInPandas(run, schema)
+    rows = rows.withColumn("__chunk", F.pmod(F.xxhash64(*[c for c in (ROW, spec.date, "index", "horizon", *spec.groups) if c in rows.columns]), F.lit(chunks)))
+    blobs = blobs.crossJoin(F.broadcast(rows.sparkSession.range(chunks).withColumnRenamed("id", "__chunk")))
+
+    def together(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        blob = right["model_blob"].iloc[0] if len(right) else None
+        return predicted(left[order], None if blob is None else load(blob))
+
     keys = ["window_number", "__chunk"]
-    return rows.groupBy(*keys).cogroup(blobs.groupBy(*keys)).applyInPandas(run, schema)
+    return rows.groupBy(*keys).cogroup(blobs.groupBy(*keys)).applyInPandas(together, schema)
 
 
 def _multi(df: DataFrame, lagged: LaggedFrame, key: Any, names: list[str]) -> DataFrame:

@@ -79,9 +79,15 @@ def halo_blocks(df: DataFrame, order: Sequence[str], groups: Sequence[str], reac
     return rows, Window.partitionBy(*groups, "__block").orderBy(row)
 
 
+def has_long_series(df: DataFrame, groups: Sequence[str], block_rows: int = BLOCK_ROWS) -> bool:
+    """Whether a series has more than four blocks of rows, by a count that is combined before its shuffle."""
+    most = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) > 4 * block_rows
+
+
 def in_series(df: DataFrame, order: str, groups: Sequence[str], columns: Callable[[Window], dict[str, Column]], reach: int = 1, ahead: int = 1) -> DataFrame:
-    """Add window columns over each series in its order; a series that is the whole table is dealt to blocks."""
-    if groups:
+    """Add window columns over each series in its order; series that are the whole table, or long, are dealt to blocks."""
+    if groups and not has_long_series(df, groups):
         return df.withColumns(columns(Window.partitionBy(*groups).orderBy(order)))
-    rows, w = halo_blocks(df, [order], groups, reach, ahead, "__row")
+    rows, w = halo_blocks(df, [order], list(groups), reach, ahead, "__row")
     return rows.withColumns(columns(w)).filter("__own").drop("__own", "__block", "__row")

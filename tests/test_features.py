@@ -180,9 +180,9 @@ def test_blocks_are_like_one_window(spark, rows, size):
     data = [(g, D(2020, 1, 1) + dt.timedelta(days=i), None if y is None else float(y)) for i, (g, y) in enumerate(rows)]
     df = spark.createDataFrame(data, "g string, d date, y double")
     spec = SeriesSpec("y", date="d", frequency="1 day", groups=("g",))
-    kinds = [create_lagged(df, spec, [1, 2], [1, 3], method="multi_output", split_series=s, block_rows=size).frames[1, 2] for s in (False, True)]
+    kinds = [create_lagged(df, spec, [1, 2], [1, 3], method="multi_output", split_series=s, block_rows=size).frames[1, 2] for s in (False, True, None)]
     rows = [sorted(map(str, f.select(sorted(f.columns)).collect())) for f in kinds]
-    assert rows[0] == rows[1]
+    assert rows[0] == rows[1] == rows[2]
 
 
 def test_number_rows(spark):

@@ -197,6 +197,8 @@ def test_intervals(spark):
     spread = same.withColumn("residuals", F.month("index").cast("double"))
     one, two = (sorted(intervals(f, spread, times=50, seed=3).df.repartition(n).collect()) for n in (1, 5))
     assert one == two and all(r.y_pred_lower_95 < r.y_pred_upper_95 for r in one)
+    joined = sorted(intervals(f, spread, times=50, seed=3, max_packed=0).df.collect())  # residuals joined by number
+    assert joined == one
     out, samples = intervals(f.df.withColumnRenamed("forecast_period", "at"), spread.select("g", "residuals"), times=7, index="at", outcome="y_pred", keys=["g"], keep_samples=True)
     assert samples.count() == 21 and "y_pred_pred_lower_95" in out.columns
     none = intervals(f, spread.filter("g = 'b'")).df.collect()

@@ -3,6 +3,7 @@
 import pytest
 
 from compare import duck_rows, spark_rows
+from longview.operators import intervals, prediction, relational
 from longview.queries import features, forecasts  # noqa: F401
 from longview.queries.registry import ORACLES, QUERIES
 
@@ -18,3 +19,13 @@ def test_query(spark, name):
         assert names == want_names
         assert len(rows) == len(want)
         assert rows == want
+
+
+@pytest.mark.parametrize(("name", "module", "what", "value"), [
+    ("train_pandas_ols", prediction, "MODEL_BYTES", -1),  # models are shuffled to the rows
+    ("error_rmsse", relational, "has_long_series", lambda *_: True),  # series in blocks
+    ("intervals_lcg", intervals, "_in_rows", intervals._by_number),  # residuals joined by number
+])
+def test_the_other_way_gives_the_same(spark, monkeypatch, name, module, what, value):
+    monkeypatch.setattr(module, what, value)
+    assert spark_rows(QUERIES[name](spark, SF)) == duck_rows(SF, ORACLES[name])
