@@ -11,7 +11,7 @@ whose whole text is repeated stays with an empty text; an empty table passes thr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from longview.llm import decontaminate, minhash, pieces, quality, suffixes
 from longview.llm.common import settle
@@ -42,11 +42,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship(spark)
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    rows = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
-    out = pieces.decode(pieces.encode(rows, model).select("doc_id", "sha", "ids", "n_tokens"), model)
-    decoded = F.sha2("decoded", 256)
-    return out.select("doc_id", "ids", "n_tokens", decoded.alias("decoded_sha256"), (decoded == F.col("sha")).alias("round_trip"))
+    out = pieces.verified(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "ids", "n_tokens", "decoded_sha256", "round_trip")
 
 
 STAGES = [
