@@ -78,12 +78,25 @@ class Merger:
         return out + np.bincount(seq, minlength=len(words))
 
 
+def check_supported(spec: dict) -> None:
+    """Raise unless a tokenizers file is plain byte-level BPE, as the counter takes it to be."""
+    plain = {"continuing_subword_prefix": "", "end_of_word_suffix": "", "byte_fallback": False, "ignore_merges": False, "dropout": 0}
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [k for k, v in plain.items() if (model.get(k) or v) != v]
+    wrong += ["model"] * (model.get("type", "BPE") != "BPE") + ["normalizer"] * (spec.get("normalizer") is not None)
+    wrong += ["pre_tokenizer"] * (before.get("type") != "ByteLevel" or before.get("add_prefix_space", True) or not before.get("use_regex", True))
+    wrong += ["added_tokens"] * any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if wrong:
+        raise ValueError(f"only byte-level BPE without normalizer is supported; the file differs in: {', '.join(wrong)}")
+
+
 class Counter:
     """Counts the tokens of texts for a tokenizers JSON file with byte-level BPE."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_supported(spec)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.merger = Merger(spec["model"]["vocab"], merges)
         special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)

@@ -87,6 +87,14 @@ def test_token_cases(spark, library):
     assert tokens.token_counts(df.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_token_counts_leave_other_columns_and_other_files_alone(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(1, "a b", 9, 9, True)], "doc_id int, text string, n_tokens int, n_bytes int, over_limit boolean")
+    assert [tuple(r) for r in tokens.token_counts(df, path).collect()] == [(1, 3, 2, False)]
+    with pytest.raises(ValueError, match="normalizer, pre_tokenizer|end_of_word_suffix"):
+        tokens.Counter(public_tokenizers.path("word_bpe_49k.json"))
+
+
 # --- sharding
 @given(st.integers(1, 5000), st.integers(0, 2**40))
 @settings(max_examples=60, deadline=None)
@@ -124,7 +132,23 @@ def test_sharding_cases(spark):
     assert sharding.assign(df.limit(0), 8, ["doc_id", "size"]).count() == 0
 
 
+def test_sharding_with_nulls_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, None, "x", "y"), (2, "", "x", "y"), (None, None, None, None)], "doc_id long, text string, shard string, slot string")
+    rows = sharding.assign(df.drop("shard", "slot"), 2, ["doc_id"]).collect()
+    check_law(rows, 2)
+    again = sharding.assign(df, 2, ["doc_id"])
+    assert sorted(again.columns) == ["doc_id", "shard", "slot", "text"] and sorted(map(str, again.select(rows[0].__fields__).collect())) == sorted(map(str, rows))
+
+
 # --- warc
+def test_warc_with_null_ids(spark, tmp_path):
+    long, other = "y" * 200, "z" * 200
+    df = spark.createDataFrame([(None, "u", long), (3, "u", long), (None, "u", other), (None, "u", other)], "page_id long, url string, html string")
+    warc.archive(df, f"file://{tmp_path}/n")
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.digests(spark, f"file://{tmp_path}/n").collect()), key=str)
+    assert got == [(3, "response", None), (None, "response", None), (None, "response", None), (None, "revisit", 3)]
+
+
 def test_warc_query(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = warc.op8(spark, SF).collect()
