@@ -204,6 +204,7 @@ def found(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), *w.columns()], ["__k1", "__k2", *(x.split()[0] for x in _WINDOW.split(", "))])
 
     near = docs.select(*_key(text), F.col(text).alias("text")).mapInArrow(candidates, f"__k1 long, __k2 long, {_WINDOW}")
+    near = settle(near, "windows")  # else each task of a broadcast join would need two Python workers
     # Joined by hash: the items' windows are broadcast by Spark where their size allows it.
     met = near.join(items, ["h", "size", "kind"]).select("__k1", "__k2", "at", "size", "kind", "words", "kinds", "item_words", "item_kinds", "item", "item_id")
 

@@ -1,13 +1,18 @@
-"""SentencePiece encoding and decoding as the model does: by merges, or by Viterbi over an automaton.
+"""SentencePiece encoding and decoding: one pass of Viterbi over an Aho-Corasick automaton.
 
-A BPE model's scores are minus the rank of its merges, so that their sum means nothing. From single
-characters on, the two neighbours whose joint piece has the best score are merged, the first of equals,
-until no two make a piece: these are the library's ids.
+The automaton holds every normal piece. It reads a text once; at each place its output links give the
+pieces that end there, each of which is relaxed from its start. A character without a piece of its own falls back on its
+bytes.
 
-For a unigram model one pass of Viterbi goes over an Aho-Corasick automaton. The automaton holds every normal piece. It reads a text once; at each place its output links give the
-pieces that end there, each of which relaxes the best score of that place from the best score of its
-start. A character without a piece of its own falls back on its bytes. The path with the largest sum of
-scores is the encoding; of equal paths the one whose last piece is longer wins.
+For a unigram model a place keeps the best score, and the path with the largest sum of scores is the encoding; of equal
+paths the one whose last piece is longer wins.
+
+A BPE model's scores are minus the rank of its merges, so their sum means nothing: from single characters on, the two
+neighbours whose joint piece has the best score are merged, the first of equals, until no two make a piece. What
+that gives is one path, told by its neighbours: two pieces follow one another in it just if merging their two texts
+together gives the two again, that is if no merge across their border comes before those which make them. So a piece is
+relaxed only from a start whose last piece it fits (:meth:`MergeCodec.fits`). One piece fits at each place, and
+the path is the library's encoding.
 
 Spaces become U+2581 and one is put before the text. No piece of the supported models goes on after a
 space that follows another character, nor holds a line feed (checked on loading), so the text is cut
@@ -23,8 +28,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -33,13 +38,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
+from . import arrays
 from .common import small_batches
 
 #: Bytes of parts and ids kept for later texts by each of a worker's two tables, and bytes of text taken at a time.
-CACHE = 80 << 20
+CACHE = 64 << 20
 SLICE = 1 << 20
-#: Characters up to which a part's neighbours are scanned for the best merge; longer ones take a heap.
-SHORT = 100
+#: Pairs of pieces of which a worker remembers whether they fit.
+FITS = 100_000
 SPACE = "▁"
 #: Stands for U+2581 inside a text while spaces stand as U+2581; in no piece.
 _MARK = "\x00"
@@ -59,7 +65,7 @@ class _Known:
         for p in parts.difference(self.young):
             x = self.old.pop(p, None)
             if x is None:
-                x = np.array(make(p), dtype=np.int32).tobytes()
+                x = array("i", make(p)).tobytes()
             self.young[p] = x
             self.held += 180 + len(p) + len(x)  # with the two objects and their place in the table
 
@@ -202,55 +208,102 @@ class Codec:
 
 
 class MergeCodec(Codec):
-    """Merges in the order of their scores: the encoding of a BPE model."""
+    """The encoding of a BPE model: pieces are relaxed where they fit the piece before."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.rank = {p: score for p, (_, score, _) in self.scores.items()}
-
-    def part(self, part: str) -> list[int]:
-        ids: list[int] = []
-        for p in self._scanned(part) if len(part) <= SHORT else self._heaped(part):
-            if p in self.scores:
-                ids.append(self.scores[p][2])
-            else:  # a single character
-                ids += self.byte_ids[list((SPACE if p == _MARK else p).encode("utf-8", "surrogatepass"))].tolist()
-        return ids
-
-    def _scanned(self, part: str) -> list[str]:
-        s, get, none = list(part), self.rank.get, -np.inf
-        best = [get(a + b, none) for a, b in zip(s, s[1:])]
-        while best and (most := max(best)) > none:
-            i = best.index(most)
-            s[i] += s.pop(i + 1)
-            del best[i]
-            if i < len(best):
-                best[i] = get(s[i] + s[i + 1], none)
-            if i:
-                best[i - 1] = get(s[i - 1] + s[i], none)
+        #: When a piece is merged: the smaller, the earlier. No piece is there before its parts.
+        self.rank = {p: -score for p, (_, score, _) in self.scores.items()}
+        #: The pieces that a piece's first or last character belongs to in turn, and when each is merged on.
+        self.first: dict[str, tuple[tuple[str, float], ...]] = {}
+        self.last: dict[str, tuple[tuple[str, float], ...]] = {}
+        made: dict[str, float] = {}
+        for p in sorted(self.rank, key=len):
+            if len(p) > 1:
+                parts = self._halves(p)
+                if len(parts) != 2 or any(len(x) > 1 and x not in made for x in parts):
+                    continue  # merges never give it
+                for x in parts:
+                    if len(x) == 1:
+                        self.first[x] = self.last[x] = ((x, np.inf),)
+                left, right = parts
+                made[p] = max(self.rank[p], made.get(left, -np.inf), made.get(right, -np.inf))
+                self.first[p] = (*self.first[left][:-1], (left, made[p]), (p, np.inf))
+                self.last[p] = (*self.last[right][:-1], (right, made[p]), (p, np.inf))
+            else:
+                self.first[p] = self.last[p] = ((p, np.inf),)
+        self.normal = [p for p in self.first if p in self.scores]
+        self.token = [self.scores[p][2] for p in self.normal]
+        self.automaton = ahocorasick.Automaton()
+        for i, p in enumerate(self.normal):
+            self.automaton.add_word(p, i)
+        self.automaton.make_automaton()
+        self.length = [len(p) for p in self.normal]
+        self.known_fits: dict[int, bool] = {}
+
+    def _halves(self, p: str) -> list[str]:
+        """What is left of a piece's characters before the last merge; more than two where merges don't reach it."""
+        s, get = list(p), self.rank.get
+        while len(s) > 2:
+            ranks = [get(a + b, np.inf) for a, b in zip(s, s[1:])]
+            least = min(ranks)
+            if least == np.inf:
+                break
+            i = ranks.index(least)
+            s[i : i + 2] = [s[i] + s[i + 1]]
         return s
 
-    def _heaped(self, part: str) -> list[str]:
-        s, n = list(part), len(part)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap: list[tuple[float, int, int, str]] = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j < n and (score := self.rank.get(s[i] + s[j])) is not None:
-                heapq.heappush(heap, (-score, i, j, s[i] + s[j]))
+    def fits(self, a: str, b: str) -> bool:
+        """Whether no merge across the border of two pieces comes before those that make them.
+
+        Both grow at the border step by step. Of equal ranks the left one is first."""
+        x, y, i, j = self.last[a], self.first[b], 0, 0
+        while True:
+            (u, until), (v, upto) = x[i], y[j]
+            across = self.rank.get(u + v)
+            if across is not None and across < until and across <= upto:
+                return False
+            if until == upto == np.inf:
+                return True
+            if until <= upto:
+                i += 1
+            else:
+                j += 1
 
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, j, piece = heapq.heappop(heap)
-            if not s[i] or not s[j] or after[i] != j or s[i] + s[j] != piece:  # one of them has been merged since
+    def part(self, part: str) -> list[int]:
+        if len(self.known_fits) > FITS:
+            self.known_fits.clear()
+        known, normal, length, n = self.known_fits, self.normal, self.length, len(self.normal)
+        last = [-1] * (len(part) + 1)  # the last piece of the text up to each place; below 0 a character without a piece
+        reached = -1
+        for end, piece in self.automaton.iter(part):
+            if end == reached:
                 continue
-            s[i], s[j], after[i] = piece, "", after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(before[i], i)
-            offer(i, after[i])
-        return [x for x in s if x]
+            start = end + 1 - length[piece]
+            if start:
+                before = last[start]
+                if before >= 0:
+                    pair = before * n + piece
+                    fits = known.get(pair)
+                    if fits is None:
+                        fits = known[pair] = self.fits(normal[before], normal[piece])
+                    if not fits:
+                        continue
+            last[end + 1] = piece
+            reached = end
+        ids: list[int] = []
+        at = len(part)
+        while at:
+            i = last[at]
+            if i >= 0:
+                ids.append(self.token[i])
+                at -= length[i]
+            else:
+                at -= 1
+                c = SPACE if part[at] == _MARK else part[at]
+                ids += self.byte_ids[list(c.encode("utf-8", "surrogatepass"))].tolist()[::-1]
+        ids.reverse()
+        return ids
 
 
 @functools.lru_cache(2)
@@ -290,7 +343,7 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for b in batches:
+        for b in arrays.small(batches, names.index(text)):
             yield pa.RecordBatch.from_arrays([*b.columns, *_lists(c.encode_all(b.column(names.index(text)).to_pylist()))], [*names, "ids", "n_tokens"])
 
     return docs.mapInArrow(run, schema)
@@ -323,7 +376,7 @@ def verified(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for b in batches:
+        for b in arrays.small(batches, names.index(text)):
             texts = b.column(names.index(text)).to_pylist()
             ids = c.encode_all(texts)
             back = [c.decode(x) for x in ids]

@@ -447,8 +447,10 @@ def _that_have(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame | None:
     return docs.join(F.broadcast(keys), "key", how) if is_small(keys, BROADCAST_KEYS) else None
 
 
-def remove(docs: DataFrame) -> DataFrame:
-    """row (all columns of a row of ``docs``), n_bytes, n_removed, n_spans, kept (binary) and kept_sha256."""
+def remove(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """row (all columns of a row of ``docs``), n_bytes, n_removed, n_spans, kept (binary) and kept_sha256.
+
+    ``as_text`` gives kept as a string, without what a cut leaves of a character."""
     docs = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     found, parts = repeats(docs.where(F.col("doc_id").isNotNull()))
@@ -460,7 +462,7 @@ def remove(docs: DataFrame) -> DataFrame:
         for (i, k), a, c in zip(ids[doc].tolist(), at.tolist(), n.tolist()):
             spans.setdefault((i, k), []).append((a, a + c + LENGTH - 1))
         rows = []
-        result = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
+        result = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if as_text else pa.binary()), ("kept_sha256", pa.string())])
         for i, k, t in zip(left["doc_id"].to_pylist(), left["key"].to_pylist(), arrays.as_bytes(left["text"])):
             kept, upto, removed, pieces = [], 0, 0, 0
             end = -1
@@ -475,7 +477,7 @@ def remove(docs: DataFrame) -> DataFrame:
                 upto = end
             kept.append(t[upto:])
             rest = b"".join(kept)
-            rows.append({"n_bytes": len(t), "n_removed": removed, "n_spans": pieces, "kept": rest, "kept_sha256": hashlib.sha256(rest).hexdigest()})
+            rows.append({"n_bytes": len(t), "n_removed": removed, "n_spans": pieces, "kept": rest.decode("utf-8", "ignore") if as_text else rest, "kept_sha256": hashlib.sha256(rest).hexdigest()})
         out = pa.Table.from_pylist(rows, schema=result)
         return out.add_column(0, "row", left["row"])
 
@@ -484,13 +486,13 @@ def remove(docs: DataFrame) -> DataFrame:
     touched, whole = _that_have(docs.where("doc_id IS NOT NULL"), keys, "left_semi"), _that_have(docs, keys, "left_anti")
     if touched is None:
         touched, whole = docs, None
-    schema = T.StructType([docs.schema["row"], *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").fields])
+    schema = T.StructType([docs.schema["row"], *T._parse_datatype_string(f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, kept_sha256 string").fields])
     lost = touched.select("row", "doc_id", "key", "text", part).groupBy("part").cogroup(found.groupBy("part")).applyInArrow(cut, schema)
     if whole is None:
         return lost
     text = F.col("text").cast("binary")
     zero = F.lit(0).cast("long")
-    return lost.unionAll(whole.select("row", F.octet_length("text").cast("long"), zero, zero, text, F.sha2(text, 256)))
+    return lost.unionAll(whole.select("row", F.octet_length("text").cast("long"), zero, zero, F.col("text") if as_text else text, F.sha2(text, 256)))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -500,12 +502,6 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """``docs`` with the rest of each text; what a cut leaves of a character goes too."""
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()])], ["row", "kept"])
-
-    found = remove(docs).select("row", "kept")
-    out = found.mapInArrow(decode, T.StructType([found.schema["row"], T.StructField("kept", T.StringType())]))
+    out = remove(docs, as_text=True)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

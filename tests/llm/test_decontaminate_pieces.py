@@ -64,17 +64,34 @@ LIBRARY = sentencepiece.SentencePieceProcessor(model_file=MODEL)
 
 
 @settings(max_examples=300, deadline=None)
-@given(texts, st.sampled_from([0, 100]))
-def test_bpe_ids_are_the_librarys(text, short):
-    text, before = text.replace(pieces.SPACE, " "), pieces.SHORT
+@given(texts)
+def test_bpe_ids_are_the_librarys(text):
+    text = text.replace(pieces.SPACE, " ")
     codec = pieces.codec(MODEL)
     assert codec.encode(text).tolist() == LIBRARY.encode(text)
-    pieces.SHORT = short
-    try:
-        if text and "\x00" not in text:  # which stands for U+2581 inside a part
-            assert codec.part((" " + text).replace(" ", pieces.SPACE)) == LIBRARY.encode(text)
-    finally:
-        pieces.SHORT = before
+    if text and "\x00" not in text:  # which stands for U+2581 inside a part
+        assert codec.part((" " + text).replace(" ", pieces.SPACE)) == LIBRARY.encode(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([p for p in CODEC.scores if "\u2581" not in p]), min_size=1, max_size=8).map("".join))
+def test_bpe_ids_of_joined_pieces_are_the_librarys(text):
+    assert pieces.codec(MODEL).encode(text).tolist() == LIBRARY.encode(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(*[st.sampled_from([p for p in CODEC.scores if "\u2581" not in p])] * 2)
+def test_pieces_fit_where_the_library_keeps_them(a, b):
+    codec, found = pieces.codec(MODEL), LIBRARY.encode("\n" + a + b, out_type=str)  # merged with no line feed
+    assert codec.fits(a, b) == (found[-2:] == [a, b])
+
+
+def test_encoding_leaves_other_columns(spark):
+    df = spark.createDataFrame([(1, "Hello  world", "a", "b", "c", "d", 5)], "doc_id long, text string, ids string, n_tokens string, decoded string, round_trip string, k int")
+    r = pieces.verified(df, MODEL).collect()[0]
+    assert r.asDict().keys() == {"doc_id", "text", "decoded", "k", "ids", "n_tokens", "decoded_sha256", "round_trip"}
+    assert r.ids == LIBRARY.encode("Hello  world") and r.n_tokens == len(r.ids) and r.round_trip and r.decoded == "c"
+    assert pieces.decode(pieces.encode(df, MODEL), MODEL).collect()[0].decoded == b"Hello  world"
 
 
 def test_encode_query_has_the_librarys_ids(spark):
