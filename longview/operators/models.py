@@ -33,13 +33,15 @@ class PandasModel:
     Both get pandas frames, the outcome first. A prediction has one column (points, or class levels),
     three (bounds and point, put in the order of their means), one for each class, or one for each
     horizon (multi_output); one row stands for all. A fit sees all its training rows in one worker, so
-    they have to fit there: use :class:`EstimatorModel` for more. Predictions are made in chunks and have
+    they have to fit there: use :class:`EstimatorModel` for more. With ``held_out`` it is also told its window, as
+    held_out=(start, stop), None where all rows train. Predictions are made in chunks and have
     to be made row by row.
     """
 
     fit: Callable[..., Any]
     predict: Callable[[Any, Any], Any]
     args: Mapping[str, Any] = field(default_factory=dict)
+    held_out: bool = False
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ from ..plans.spec import ROW, LaggedFrame
 from ..session import settle, ship
 from .models import AggregateModel, EstimatorModel, ForecastModel, PandasModel, prediction_columns
 from .relational import union_all
-from .windows import Windows, expand
+from .windows import LITERAL_WINDOWS, Windows, expand
 
 
 def train(lagged: LaggedFrame, windows: Windows, name: str, model: Any, outputs: str = "points", on_error: str = "record") -> ForecastModel:
@@ -55,6 +55,10 @@ def _sql(text: str, key: Any) -> str:
 def _aggregates(lagged, windows, name, model, outputs, on_error) -> ForecastModel:
     params = {}
     for key, frame in lagged.frames.items():
+        if len(windows) > LITERAL_WINDOWS:
+            rows = expand(frame, windows, validation=False)
+            params[key] = rows.groupBy(*model.by, "window_number").agg(*[F.expr(_sql(x, key)).alias(p) for p, x in model.fit.items()])
+            continue
         kind = frame.schema[windows.index].dataType
         flags = {f"__w{i}": F.lit(True) if windows.trains_on_all(i) else ~windows.inside(i, kind) for i in range(len(windows))}
         cols = [F.expr(f"{_sql(x, key)} FILTER (WHERE __w{i})").alias(f"__{p}_{i}") for i in range(len(windows)) for p, x in model.fit.items()]
@@ -72,21 +76,23 @@ def _pandas(lagged, windows, name, model, outputs, on_error) -> ForecastModel:
         columns = [*lagged.targets, *lagged.features(key)]
         order = [c for c in (*lagged.spec.groups, lagged.spec.date, ROW) if c in frame.columns]
         found = expand(frame, windows, validation=False).select("window_number", *[c for c in order if c not in columns], *columns)
-        fitted = found.groupBy("window_number").applyInPandas(_fitter(model, key, columns, order, on_error), "window_number int, model_blob binary, error string")
+        fitted = found.groupBy("window_number").applyInPandas(_fitter(model, key, columns, order, on_error, windows), "window_number int, model_blob binary, error string")
         rows.append(_rows(lagged, windows, name, key, fitted))
     table = settle(union_all(rows), "models")
     return ForecastModel(name, model, windows, table, lagged.horizons, lagged.method, lagged.spec, outputs=outputs)
 
 
-def _fitter(model: PandasModel, horizon: Any, columns: list[str], order: list[str], on_error: str):
-    fit, args = model.fit, dict(model.args)
+def _fitter(model: PandasModel, horizon: Any, columns: list[str], order: list[str], on_error: str, windows: Windows):
+    fit, args, told = model.fit, dict(model.args), model.held_out
+    held = [None if windows.trains_on_all(i) else w for i, w in enumerate(windows.rows)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(pdf["window_number"].iloc[0])
         data = pdf.sort_values(order, kind="stable")[columns].reset_index(drop=True)
         error, blob = None, None
         try:
-            blob = cloudpickle.dumps(fit(data, horizon, **args))
+            more = {"held_out": held[number - 1]} if told else {}
+            blob = cloudpickle.dumps(fit(data, horizon, **args, **more))
         except Exception as e:
             if on_error == "raise":
                 raise

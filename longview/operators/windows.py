@@ -106,13 +106,23 @@ def _dates(a, b, n: int, skip: int, partial: bool, step: Frequency) -> list[tupl
     return out
 
 
+#: Windows up to which each is an expression of its own; more are looked up in an array that all rows share.
+LITERAL_WINDOWS = 64
+
+
 def expand(frame: DataFrame, windows: Windows, validation: bool) -> DataFrame:
     """Each row once for each window that it validates, or that it trains (the rows outside it).
 
-    Windows are tens of literals, so the rows are multiplied by an array of window numbers in the same
-    stage, without a join.
+    Tens of windows are literals, so the rows are multiplied by an array of window numbers in the same
+    stage, without a join. More come as one broadcast row with an array, so that the plan does not grow with them.
     """
     kind = frame.schema[windows.index].dataType
+    if len(windows) > LITERAL_WINDOWS:
+        every = windows.table(frame.sparkSession, kind).agg(F.collect_list(F.struct("window_number", "start", "stop")).alias("__windows"))
+        inside = lambda x: F.col(windows.index).between(x["start"], x["stop"])
+        found = F.filter("__windows", inside if validation else lambda x: ~inside(x))
+        rows = frame.crossJoin(F.broadcast(every))  # one row
+        return rows.withColumn("window_number", F.explode(F.transform(found, lambda x: x["window_number"]))).drop("__windows")
     numbers = []
     for i in range(len(windows)):
         inside = windows.inside(i, kind)

@@ -3,8 +3,8 @@
 import pytest
 
 from compare import duck_rows, spark_rows
-from longview.operators import intervals, prediction, relational
-from longview.queries import features, forecasts  # noqa: F401
+from longview.operators import intervals, prediction, relational, training, windows
+from longview.queries import features, forecasts, stores  # noqa: F401
 from longview.queries.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +29,10 @@ def test_query(spark, name):
 def test_the_other_way_gives_the_same(spark, monkeypatch, name, module, what, value):
     monkeypatch.setattr(module, what, value)
     assert spark_rows(QUERIES[name](spark, SF)) == duck_rows(SF, ORACLES[name])
+
+
+@pytest.mark.parametrize("name", ["train_ols1", "train_by_group", "predict_valid", "train_pandas_ols", "valid_rows_expand", "train_rows_expand"])
+def test_many_windows_give_the_same(spark, monkeypatch, name):
+    for module in (windows, training):
+        monkeypatch.setattr(module, "LITERAL_WINDOWS", 0)
+    assert spark_rows(QUERIES[name](spark, SF)) == duck_rows(SF, ORACLES[name])
