@@ -16,13 +16,19 @@ _ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether all runs in one process; ``local-cluster`` has executors of its own."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ship(spark: SparkSession) -> None:
     """Let workers import this package: by its path where they see it, else by a zip that Spark sends them."""
     sc = spark.sparkContext
     known = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
     if str(_ROOT) not in known:
         sc.environment["PYTHONPATH"] = os.pathsep.join([str(_ROOT), *filter(None, known)])
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _shipped:
+    if is_local(spark) or sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
     path = os.path.join(tempfile.mkdtemp(prefix="longview-"), "longview_package.zip")
@@ -37,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="longview-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
