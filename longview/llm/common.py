@@ -1,14 +1,13 @@
-"""Shared folders, joins and session settings used by the operators of this package."""
+"""Written tables, joins and session settings used by the operators of this package."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from longview.session import shared_dir
+
 #: Rows up to which the small side of a join is broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
 #: The same for a table of one number a row.
@@ -16,30 +15,6 @@ BROADCAST_KEYS = 1_000_000
 #: Rows in an Arrow batch: documents can be long, so batches are kept short.
 ARROW_ROWS = 512
 
-_local_dirs: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none, a temporary folder is set, which is only right on one machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="longview-")
-    _local_dirs.append(made)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-@atexit.register
-def _clean() -> None:
-    for d in _local_dirs:
-        shutil.rmtree(d, ignore_errors=True)
-
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
