@@ -11,6 +11,8 @@ a smaller id. Documents are judged on the input, and matches never cross documen
    Larsson-Sadakane refinement: ranks by eight bytes, then by 16, 32 and LENGTH, each from two ranks of the step
    before, only places that are still tied being sorted again. Kasai's common prefixes of neighbours part the
    array into classes of equal windows. Shards are merged by binary search of their sorted classes.
+   A hot anchor, which a great many documents have, would gather unlike windows in one task: its windows go each to
+   the task of their own bytes instead.
 3. Windows whose class has a smaller document id are marked, and each document's marks are united.
 
 Blocks of documents settle what they can before each shuffle: of equal anchors, or equal runs of windows,
@@ -41,6 +43,8 @@ LENGTH = 50
 GRAM = 24
 BLOCK = 2_000_000
 SHARD = 500_000
+#: An anchor is hot if as many documents have it and they are a share of all of one in ``HOT_SHARE`` or more.
+HOT, HOT_SHARE = 10_000, 4096
 _LOW = np.uint64((1 << 22) - 1)
 
 
@@ -245,7 +249,7 @@ def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, buckets: int) -> list[dict]:
-    """A block's anchors: those of one document (kind 0), one of each that several have (kind 2), and
+    """A block's anchors: those of one document (kind 0), one of each that several have (kind 2, with their number), and
     which documents these are (kind 1)."""
     order = np.argsort(h, kind="stable")
     h, doc = h[order], doc[order]
@@ -254,6 +258,7 @@ def _anchor_rows(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, buckets: int)
     first = np.append(True, h[1:] != h[:-1])[: len(h)]
     size = np.diff(np.append(np.flatnonzero(first), len(h)))
     several = np.repeat(size > 1, size)
+    holders = np.repeat(size, size).astype(np.uint32)
     rows = []
     none = {"ids": b"", "of": b""}
     for kind, use in ((0, ~several), (2, several & first), (1, several)):
@@ -262,7 +267,7 @@ def _anchor_rows(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, buckets: int)
         for b, rows_of in _split(where):
             x, row = _packed(ids, doc, at[rows_of]) if kind != 2 else (at[rows_of], none)
             low, high = _low_high(h[x])
-            rows.append({"bucket": b, "kind": kind, **row, "a": low.tobytes(), "b": high.tobytes(), "data": b""})
+            rows.append({"bucket": b, "kind": kind, **row, "a": low.tobytes(), "b": high.tobytes(), "data": holders[x].tobytes() if kind == 2 else b""})
     return rows
 
 
@@ -331,6 +336,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     small_batches(spark)
     parts = buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = max(HOT, docs.select("doc_id").count() // HOT_SHARE)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, doc, h, n, rows = [], [], [], 0, 0
@@ -357,11 +363,18 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
         size = np.diff(np.append(np.flatnonzero(first), len(h)))
         hit = order[np.repeat(size > 1, size)]
         hit = np.union1d(hit, np.flatnonzero(np.isin(h, many)))
+        held = np.concatenate([np.ones(len(h), np.int64), *(np.frombuffer(r["data"], np.uint32).astype(np.int64) for r in several)])
+        every, of = np.unique(np.concatenate([h, _whole(*_unpack(several, np.uint32, np.uint16, 1)[2:])]), return_inverse=True)
+        low_hot, high_hot = _low_high(every[np.bincount(of, held, minlength=len(every)) >= least]) if len(every) else (low[:0], high[:0])
         out = [*_by_part(ids, doc[hit], low[hit], high[hit], parts), *_by_part(*_unpack(known, np.uint32, np.uint16, 1), parts)]
+        out.append({"part": -1, "ids": b"", "of": b"", "a": low_hot.tobytes(), "b": high_hot.tobytes()})
         return pa.Table.from_pylist(out, schema=_HITS)
 
     packed = docs.select("key", "text").mapInArrow(anchors, _PACKED)
     hits = settle(packed.groupBy("bucket").applyInArrow(repeated, _HIT), "anchors")
+    marked = hits.where("part < 0").select("a", "b").collect()  # of the anchors of a document HOT_SHARE times as many are hot at most
+    hot = spark.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(0, np.uint64), *(_whole(np.frombuffer(r["a"], np.uint32), np.frombuffer(r["b"], np.uint16)) for r in marked)])))
+    hits = hits.where("part >= 0")
     some = _that_have(docs, _keys(hits, 1), "left_semi")
     some = (docs if some is None else some).select("doc_id", "key", "text", F.pmod("key", F.lit(parts)).cast("int").alias("part"))
 
@@ -378,6 +391,15 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
         for buf, first, count, hashes, of, offset in _runs_of(texts):
             use = np.isin(group[of].astype(np.uint64) << np.uint64(48) | hashes, wanted)
             first, count, hashes, of, offset = (x[use] for x in (first, count, hashes, of, offset))
+            if len(hot.value):  # the windows of a hot anchor go each by its own bytes
+                warm = np.isin(hashes, hot.value)
+                by = np.repeat(np.arange(len(first)), np.where(warm, count, 1))
+                step = np.arange(len(by)) - np.repeat(np.cumsum(np.where(warm, count, 1)) - np.where(warm, count, 1), np.where(warm, count, 1))
+                first, offset, of = first[by] + step, offset[by] + step, of[by]
+                count = np.where(warm[by], 1, count[by])
+                with np.errstate(over="ignore"):
+                    own_hash = arrays.span_hash(arrays.sums(arrays.TABLE[buf]), first, first + LENGTH) >> np.uint64(16)
+                hashes = np.where(warm[by], own_hash, hashes[by])
             with np.errstate(over="ignore"):
                 seg_x.append(arrays.span_hash(arrays.sums(arrays.TABLE[buf]), first, first + count + LENGTH - 1))
             seg_doc.append(of)

@@ -75,6 +75,17 @@ def test_planted_cases_and_bounds(spark, monkeypatch):
     assert got(suffixes.remove(df.where("doc_id is null"))) == [x for x in want if x[0] is None]
 
 
+def test_windows_of_hot_anchors_lose_nothing(spark, monkeypatch):
+    rows = planted(3)
+    phrase = "a phrase of forty bytes that is everywhere"
+    rows += [(200 + i, f"{i * 7919} {phrase} {i % 3 * 104729} and more") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute([(i, (t or "").encode()) for i, t in rows])
+    for hot in (2, 25):
+        monkeypatch.setattr(suffixes, "HOT", hot)
+        assert got(suffixes.remove(df)) == want
+
+
 def test_shards_pieces_and_shuffled_joins(spark, monkeypatch):
     import longview.llm.suffixes as m
 
