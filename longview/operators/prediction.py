@@ -98,14 +98,14 @@ def _by_pandas(m: ForecastModel, lagged: LaggedFrame, rows: DataFrame, key: Any,
     blobs = m.table.filter(F.col("horizons") == (", ".join(map(str, key)) if isinstance(key, tuple) else str(key)))
     blobs = blobs.select("window_number", "model_blob")
 
-    def predicted(out: pd.DataFrame, model: Any) -> pd.DataFrame:
-        """The rows of one window with their predictions."""
+    def predicted(out: pd.DataFrame, model: tuple) -> pd.DataFrame:
+        """The rows of one window with their predictions; ``model`` is empty if its fit failed."""
         out = out.reset_index(drop=True)
         for n in names:
             out[n] = None
-        if not len(out) or model is None:
+        if not len(out) or not model:
             return out
-        got = pd.DataFrame(predict_rows(model, out[columns])).reset_index(drop=True)
+        got = pd.DataFrame(predict_rows(*model, out[columns])).reset_index(drop=True)
         if outputs == "interval" and got.shape[1] == 3:
             low, mid, high = got.mean().sort_values(kind="stable").index
             got = got[[mid, low, high]]
@@ -124,12 +124,12 @@ def _by_pandas(m: ForecastModel, lagged: LaggedFrame, rows: DataFrame, key: Any,
         shared = rows.sparkSession.sparkContext.broadcast({r["window_number"]: r["model_blob"] for r in blobs.collect()})  # MODEL_BYTES at most
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            loaded: dict[int, Any] = {}
+            loaded: dict[int, tuple] = {}
             for b in batches:
                 for number, part in b.groupby("window_number", sort=False):
                     if number not in loaded:
                         blob = shared.value.get(int(number))
-                        loaded[number] = None if blob is None else load(blob)
+                        loaded[number] = () if blob is None else (load(blob),)
                     yield predicted(part[order], loaded[number])
 
         return rows.mapInPandas(run, schema)
@@ -138,7 +138,7 @@ def _by_pandas(m: ForecastModel, lagged: LaggedFrame, rows: DataFrame, key: Any,
 
     def together(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         blob = right["model_blob"].iloc[0] if len(right) else None
-        return predicted(left[order], None if blob is None else load(blob))
+        return predicted(left[order], () if blob is None else (load(blob),))
 
     keys = ["window_number", "__chunk"]
     return rows.groupBy(*keys).cogroup(blobs.groupBy(*keys)).applyInPandas(together, schema)

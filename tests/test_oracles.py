@@ -4,7 +4,7 @@ import pytest
 
 from compare import duck_rows, spark_rows
 from longview.operators import intervals, prediction, relational, training, windows
-from longview.queries import features, forecasts, stores  # noqa: F401
+from longview.queries import callables, features, forecasts, stores  # noqa: F401
 from longview.queries.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
