@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..plans.spec import ROW, LaggedFrame
 from ..session import ship
-from .models import AggregateModel, EstimatorModel, ForecastModel, PandasModel, Results, prediction_columns
+from .models import AggregateModel, ForecastModel, PandasModel, Results, prediction_columns
 from .relational import null_safe_join, union_all
 from .training import _sql, load
 from .windows import expand
