@@ -48,7 +48,9 @@ def drop(spark: SparkSession, df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of documents small, whatever the session's setting."""
+    """Keep Arrow batches of documents small, whatever the session's setting.
+
+    It stays so, as a plan that is returned runs later."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

@@ -5,7 +5,8 @@ is kept of each measure: a log-linear histogram whose bins are exact integers, s
 merged by adding counts and do not depend on partitions or their order. A bin is at most 1/32 of its
 value wide. Thresholds are fences read from the sketches: a document is rejected where a measure lies
 beyond ``quartile +- FENCE * spread``; groups with fewer than ``MIN_GROUP`` documents use the merged
-sketch of their language, and languages with fewer use that of the corpus.
+sketch of their language, and languages with fewer use that of the corpus: so few give no quartiles to go by. A group
+of which more than a quarter has a defect takes it for usual; ``base_failed`` does not depend on fences.
 
 Only DataFrame functions run here. The texts are read once, into a narrow table of measures; hot
 sources are combined before the shuffle, and thresholds are joined by :func:`common.lookup`.
