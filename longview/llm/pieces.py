@@ -29,6 +29,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import string
 from array import array
 from collections.abc import Iterator
 
@@ -42,13 +43,14 @@ from . import arrays
 from .common import small_batches
 
 #: Bytes of parts and ids kept for later texts by each of a worker's two tables, and bytes of text taken at a time.
-CACHE = 96 << 20
+CACHE = 144 << 20
 SLICE = 1 << 20
 #: Pairs of pieces of which a worker remembers whether they fit.
 FITS = 100_000
 SPACE = "▁"
 #: Stands for U+2581 inside a text while spaces stand as U+2581; in no piece.
 _MARK = "\x00"
+_TAIL = string.punctuation
 
 
 class _Known:
@@ -59,13 +61,20 @@ class _Known:
         self.old: dict[str, bytes] = {}
         self.held = 0
 
+    def get(self, part: str) -> bytes | None:
+        return self.young.get(part) or self.old.get(part)
+
+    def rest(self) -> None:
+        """Between tasks only the younger generation is held."""
+        self.old = {}
+
     def learn(self, parts: set[str], make) -> None:
         if self.held > CACHE // 2:
             self.young, self.old, self.held = {}, self.young, 0
         for p in parts.difference(self.young):
             x = self.old.pop(p, None)
             if x is None:
-                x = array("i", make(p)).tobytes()
+                x = make(p, self)
             self.young[p] = x
             self.held += 180 + len(p) + len(x)  # with the two objects and their place in the table
 
@@ -100,6 +109,8 @@ class Codec:
         self.split = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if cuts else r"(?s).+").findall
         self.cuts = cuts
         self.words, self.parts = _Known(), _Known()
+        #: The pairs of characters that some piece has: no piece spans the border of any other pair.
+        self.within = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
         self.sizes = np.array([len(x) for x in out])
         self.flat = np.frombuffer(b"".join(out), dtype=np.uint8)
         self.places = np.cumsum(self.sizes) - self.sizes
@@ -166,20 +177,31 @@ class Codec:
                 plain.append((i, t.replace("\n", " \n").split(" ")))
             else:
                 spaced.append((i, self.split((" " + t.replace(SPACE, _MARK)).replace(" ", SPACE))))
-        for known, found, make in ((self.words, plain, self._word), (self.parts, spaced, self.part)):
+        for known, found, make in ((self.words, plain, self._word), (self.parts, spaced, lambda p, _: array("i", self.part(p)).tobytes())):
             known.learn(set().union(*(p for _, p in found)), make)
             for i, p in found:
                 out[i] = np.frombuffer(b"".join(map(known.young.__getitem__, p)), dtype=np.int32)
         return out
 
+    def rest(self) -> None:
+        self.words.rest()
+        self.parts.rest()
+
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def _word(self, word: str) -> list[int]:
-        """The ids of what stands between two spaces, a line feed only being its first character."""
+    def _word(self, word: str, known: _Known) -> bytes:
+        """The ids of what stands between two spaces, a line feed only being its first character.
+
+        Punctuation at its end is parted from a word that is known, where no piece spans the border."""
         if word[:1] == "\n":
-            return self.part("\n") + self.part(word[1:])
-        return self.part(SPACE + word)
+            ids = self.part("\n") + self.part(word[1:])
+        else:
+            n = len(word.rstrip(_TAIL))
+            if 0 < n < len(word) and word[n - 1 : n + 1] not in self.within and (stem := known.get(word[:n])):
+                return stem + array("i", self.part(word[n:])).tobytes()
+            ids = self.part(SPACE + word)
+        return array("i", ids).tobytes()
 
     def _rare(self, text: str) -> np.ndarray:
         """A text with the character that marks U+2581: it is cut there, and goes by its byte."""
@@ -345,6 +367,7 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
         c = codec(model)
         for b in arrays.small(batches, names.index(text)):
             yield pa.RecordBatch.from_arrays([*b.columns, *_lists(c.encode_all(b.column(names.index(text)).to_pylist()))], [*names, "ids", "n_tokens"])
+        c.rest()
 
     return docs.mapInArrow(run, schema)
 
@@ -384,6 +407,7 @@ def verified(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             same = [x == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(back, texts)]
             lists, sizes = _lists(ids)
             yield pa.RecordBatch.from_arrays([*b.columns, lists, sizes, pa.array(shas, pa.string()), pa.array(same, pa.bool_())], [*names, *(f.name for f in _VERIFIED)])
+        c.rest()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *_VERIFIED]))
 
