@@ -79,6 +79,16 @@ def test_bpe_ids_of_joined_pieces_are_the_librarys(text):
     assert pieces.codec(MODEL).encode(text).tolist() == LIBRARY.encode(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["word", "Wort", "x2", "²", "don't", "e.g", "日本", "a\n", "..", ""]), st.sampled_from(["", ".", ",", "...", "!?", "$$$", ")", "'s", "\n"])), max_size=30))
+def test_words_with_punctuation_have_the_librarys_ids(words):
+    # A word that is known lends its ids to the same word with punctuation.
+    text = " ".join(w + p for w, p in words)
+    codec = pieces.codec(MODEL)
+    assert codec.encode(" ".join(w for w, _ in words)).tolist() == LIBRARY.encode(" ".join(w for w, _ in words))
+    assert codec.encode(text).tolist() == LIBRARY.encode(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(*[st.sampled_from([p for p in CODEC.scores if "\u2581" not in p])] * 2)
 def test_pieces_fit_where_the_library_keeps_them(a, b):
