@@ -43,7 +43,7 @@ from . import arrays
 from .common import small_batches
 
 #: Bytes of parts and ids kept for later texts by each of a worker's two tables, and bytes of text taken at a time.
-CACHE = 144 << 20
+CACHE = 96 << 20
 SLICE = 1 << 20
 #: Pairs of pieces of which a worker remembers whether they fit.
 FITS = 100_000
