@@ -7,10 +7,11 @@ a smaller id. Documents are judged on the input, and matches never cross documen
    equal windows pick equal anchors, one for some fourteen bytes. Anchors that occur in two documents or
    more are found by a shuffle of their hashes alone; windows of other anchors can't repeat.
 2. Suffix arrays. The windows that picked a repeated anchor go, with their bytes, to the task of that
-   anchor. Its windows form shards of bounded size. Each shard gets the suffix array of its windows by
+   anchor. Windows of whole anchors form shards of bounded size. Each shard gets the suffix array of its windows by
    Larsson-Sadakane refinement: ranks by eight bytes, then by 16, 32 and LENGTH, each from two ranks of the step
    before, only places that are still tied being sorted again. Kasai's common prefixes of neighbours part the
-   array into classes of equal windows. Shards are merged by binary search of their sorted classes.
+   array into classes of equal windows. Equal windows meet in one shard, as they have one anchor; only where an anchor
+   fills several, these are merged by their sorted classes, in ranges found by binary search.
    A hot anchor, which a great many documents have, would gather unlike windows in one task: its windows go each to
    the task of their own bytes instead.
 3. Windows whose class has a smaller document id are marked, and each document's marks are united.
@@ -43,9 +44,13 @@ LENGTH = 50
 GRAM = 24
 BLOCK = 2_000_000
 SHARD = 500_000
+#: Bytes of text for each part and bucket, at most: their number follows the table's size.
+PART = 1 << 24
 #: An anchor is hot if as many documents have it and they are a share of all of one in ``HOT_SHARE`` or more.
 HOT, HOT_SHARE = 10_000, 4096
 _LOW = np.uint64((1 << 22) - 1)
+#: A segment's windows and, in the high bits, 16 bits of its anchor's hash.
+_N_BITS, _N = np.uint64(48), np.uint64((1 << 48) - 1)
 
 
 # --- suffix arrays
@@ -282,42 +287,83 @@ def _leaders(data: bytes, start: np.ndarray, size: np.ndarray, owner: np.ndarray
     return np.fromiter((least[t] == o for t, o in zip(texts, owners)), bool, len(texts))
 
 
-def _marks(segments, ids, doc) -> tuple[np.ndarray, np.ndarray]:
+def _shards(count: np.ndarray, key: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+    """Lists of shards (first segment, next one's first) of some SHARD windows, of segments in order of ``key``.
+
+    Shards end where a key does. Only one key's windows that are too many for a shard go to several, which make one list.
+    """
+    ends = np.append(0, np.cumsum(count))
+    borders = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)]), len(key))
+
+    def fit(lo: int) -> int:
+        return max(lo + 1, int(np.searchsorted(ends, ends[lo] + SHARD, "right")) - 1)
+
+    lo = 0
+    while lo < len(key):
+        hi = int(borders[np.searchsorted(borders, fit(lo), "right") - 1])
+        if hi > lo:
+            yield [(lo, hi)]
+        else:
+            hi, own = int(borders[np.searchsorted(borders, lo, "right")]), []
+            while lo < hi:
+                own.append((lo, min(hi, fit(lo))))
+                lo = own[-1][1]
+            yield own
+        lo = hi
+
+
+def _merge(shards: list[dict]) -> None:
+    """Equal classes of the shards share the smallest owner: the sorted classes are merged range by range, whose bounds
+    are found by binary search."""
+    step = max(1, SHARD // 500)
+    some = np.sort(np.concatenate([s["keys"][::step] for s in shards]))[500::500]
+    bounds = [np.concatenate(([0], np.searchsorted(s["keys"], some), [len(s["keys"])])) for s in shards]
+    for r in range(len(some) + 1):
+        at = [slice(b[r], b[r + 1]) for b in bounds]
+        keys = np.concatenate([s["keys"][x] for s, x in zip(shards, at)])
+        least = np.concatenate([s["least"][x] for s, x in zip(shards, at)])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        if len(keys):
+            least[order] = np.repeat(np.minimum.reduceat(least[order], first), np.diff(np.append(first, len(keys))))
+        for s, x in zip(shards, at):
+            s["least"][x], least = least[: x.stop - x.start], least[x.stop - x.start :]
+
+
+def _marks(segments, ids, doc, key=None) -> tuple[np.ndarray, np.ndarray]:
     """(segment, offset) of each window whose bytes also stand in a segment of a smaller document.
 
-    ``segments``: (bytes, start of each segment, its windows)."""
+    ``segments``: (bytes, start of each segment, its windows). Segments with equal windows have equal numbers in ``key``."""
     text, start, count = segments
-    shards, lo = [], 0
-    ends = np.cumsum(count)
-    while lo < len(start):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SHARD, "right")))
-        own, size = count[lo:hi], count[lo:hi] + LENGTH - 1
-        place = np.cumsum(size) - size
-        part = text[np.arange(int(size.sum())) + np.repeat(start[lo:hi] - place, size)]
-        eights = _eights(part)
-        order = suffix_array(eights, place, own, LENGTH)
-        new = kasai(eights, place, own, order, LENGTH) < LENGTH
-        first = np.flatnonzero(new)
-        seg = np.repeat(np.arange(lo, hi), own)[order]
-        inside = order - (np.cumsum(own) - own)[seg - lo]
-        owner = ids[doc[seg], 0]
-        shards.append({"class": np.cumsum(new) - 1, "seg": seg, "inside": inside, "owner": owner, "least": np.minimum.reduceat(owner, first), "at": (start[seg] + inside)[first]})
-        lo = hi
-    for s in shards if len(shards) > 1 else ():  # equal classes of two shards share the smaller owner
-        s["keys"] = np.ascontiguousarray(text[s["at"][:, None] + np.arange(LENGTH)]).view(f"S{LENGTH}").ravel()
-    for i, x in enumerate(shards):
-        for y in shards[i + 1 :]:
-            place = np.minimum(np.searchsorted(y["keys"], x["keys"]), len(y["keys"]) - 1)
-            same = np.flatnonzero(y["keys"][place] == x["keys"])
-            both = np.minimum(x["least"][same], y["least"][place[same]])
-            x["least"][same] = both
-            y["least"][place[same]] = both
-    seg, inside = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s in shards:
-        hit = s["least"][s["class"]] < s["owner"]
-        seg.append(s["seg"][hit])
-        inside.append(s["inside"][hit])
-    return np.concatenate(seg), np.concatenate(inside)
+    key = np.zeros(len(start), np.int64) if key is None else key
+    by = np.argsort(key, kind="stable")
+    start, count, doc, key = start[by], count[by], doc[by], key[by]
+    seg_of, inside_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for several in _shards(count, key):
+        shards = []
+        for lo, hi in several:
+            own, size = count[lo:hi], count[lo:hi] + LENGTH - 1
+            place = np.cumsum(size) - size
+            part = text[np.arange(int(size.sum())) + np.repeat(start[lo:hi] - place, size)]
+            eights = _eights(part)
+            order = suffix_array(eights, place, own, LENGTH)
+            new = kasai(eights, place, own, order, LENGTH) < LENGTH
+            first = np.flatnonzero(new)
+            seg = np.repeat(np.arange(lo, hi), own)[order]
+            inside = order - (np.cumsum(own) - own)[seg - lo]
+            owner = ids[doc[seg], 0]
+            shards.append({"class": np.cumsum(new) - 1, "seg": seg, "inside": inside, "owner": owner, "least": np.minimum.reduceat(owner, first)})
+            if len(several) > 1:
+                at = (start[seg] + inside)[first]
+                shards[-1]["keys"] = np.stack([text[at + i] for i in range(LENGTH)], 1).view(f"S{LENGTH}").ravel()
+        if len(several) > 1:
+            _merge(shards)
+        for s in shards:
+            hit = s["least"][s["class"]] < s["owner"]
+            seg_of.append(by[s["seg"][hit]])
+            inside_of.append(s["inside"][hit])
+    return np.concatenate(seg_of), np.concatenate(inside_of)
 
 
 def _intervals(seg: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -335,8 +381,9 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    least = max(HOT, docs.select("doc_id").count() // HOT_SHARE)
+    total = docs.agg(F.count("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total[1] // PART))
+    least = max(HOT, total[0] // HOT_SHARE)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, doc, h, n, rows = [], [], [], 0, 0
@@ -420,9 +467,10 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
             w, row = _packed(own, doc, marked[w])
             out.append({"bucket": p, "kind": 1, **row, "a": at[w].tobytes(), "b": n[w].tobytes(), "data": b""})
         go = order[owner[leader] == owner[order]]
+        shard = h // np.uint64(buckets) & np.uint64(0xFFFF)
         for p, w in _split((h[go] % np.uint64(buckets)).astype(np.int64)):
             w, row = _packed(own, doc, go[w])
-            out.append({"bucket": p, "kind": 0, **row, "a": at[w].tobytes(), "b": n[w].tobytes(), "data": b"".join([data[i] for i in w.tolist()])})
+            out.append({"bucket": p, "kind": 0, **row, "a": at[w].tobytes(), "b": (n[w].astype(np.uint64) | shard[w] << _N_BITS).tobytes(), "data": b"".join([data[i] for i in w.tolist()])})
         return pa.Table.from_pylist(out, schema=_PACK)
 
     def marks(table: pa.Table) -> pa.Table:
@@ -430,14 +478,15 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
         known = [r for r in rows if r["kind"] == 1]
         rows = [r for r in rows if r["kind"] == 0]
         out = [*_by_part(*_unpack(known, np.int64, np.int64), parts)]
-        ids, doc, at, n = _unpack(rows, np.int64, np.int64)
+        ids, doc, at, n = _unpack(rows, np.int64, np.uint64)
         if len(doc):
+            key, n = (n >> _N_BITS).astype(np.int64), (n & _N).astype(np.int64)
             size = n + LENGTH - 1
             data = b"".join(r["data"] for r in rows)
             go = _leaders(data, np.cumsum(size) - size, size, ids[doc, 0])
             out += _by_part(ids, doc[~go], at[~go], n[~go], parts)
             start, doc, at, n = (np.cumsum(size) - size)[go], doc[go], at[go], n[go]
-            seg, inside = _marks((np.frombuffer(data, np.uint8), start, n), ids, doc)
+            seg, inside = _marks((np.frombuffer(data, np.uint8), start, n), ids, doc, key[go])
             seg, inside, count = _intervals(seg, inside)
             out += _by_part(ids, doc[seg], at[seg] + inside, count, parts)
         return pa.Table.from_pylist(out, schema=_HITS)

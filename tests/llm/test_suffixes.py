@@ -109,3 +109,38 @@ def test_shards_pieces_and_shuffled_joins(spark, monkeypatch):
     monkeypatch.setattr(m, "is_small", lambda *_: False)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(m.remove(df)) == brute([(i, (t or "").encode()) for i, t in rows])
+
+
+def test_work_of_shards_follows_their_number(monkeypatch):
+    r = random.Random(4)
+    text = [bytes(r.choices(b"abc", k=L + r.randint(0, 13))) for _ in range(3000)]
+    text += [text[r.randint(0, 99)] for _ in range(3000)]
+    size = np.array([len(t) for t in text])
+    ids, doc = np.array([(i, i) for i in range(len(text))]), np.arange(len(text))
+    segments = (np.frombuffer(b"".join(text), np.uint8), np.cumsum(size) - size, size - L + 1)
+    key = np.array([int.from_bytes(hashlib.sha256(t).digest()[:2]) for t in text])
+    whole = suffixes._marks(segments, ids, doc)
+    first = {}
+    for i, t in enumerate(text):
+        for a in range(len(t) - L + 1):
+            first.setdefault(t[a : a + L], i)
+    assert sorted(zip(*map(np.ndarray.tolist, whole))) == [(i, a) for i, t in enumerate(text) for a in range(len(t) - L + 1) if first[t[a : a + L]] < i]
+    monkeypatch.setattr(suffixes, "SHARD", 200)
+    calls, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: calls.append(1) or search(*a, **k))
+    shards = -(-int(segments[2].sum()) // 200)
+    for keys in ((), (key,), (np.where(key < 30_000, 0, key),)):  # one key for all, many, one that is too many windows for a shard
+        calls.clear()
+        cut = suffixes._marks(segments, ids, doc, *keys)
+        assert sorted(zip(*map(np.ndarray.tolist, cut))) == sorted(zip(*map(np.ndarray.tolist, whole)))
+        assert len(calls) < 40 * shards  # each with each: some 100 times ``shards``
+
+
+def test_parts_follow_the_size_of_the_table(spark, monkeypatch):
+    rows = planted(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(suffixes, "PART", 500, raising=False)
+    total = sum(len((t or "").encode()) for i, t in rows if i is not None)
+    docs = df.where("doc_id is not null").selectExpr("doc_id", "xxhash64(doc_id, text) key", "coalesce(text, '') text")
+    assert suffixes.repeats(docs)[1] == -(-total // 500) > 8
+    assert got(suffixes.remove(df)) == brute([(i, (t or "").encode()) for i, t in rows])
