@@ -144,3 +144,23 @@ def test_parts_follow_the_size_of_the_table(spark, monkeypatch):
     docs = df.where("doc_id is not null").selectExpr("doc_id", "xxhash64(doc_id, text) key", "coalesce(text, '') text")
     assert suffixes.repeats(docs)[1] == -(-total // 500) > 8
     assert got(suffixes.remove(df)) == brute([(i, (t or "").encode()) for i, t in rows])
+
+
+def test_a_bucket_takes_the_memory_of_a_shard(monkeypatch):
+    import tracemalloc
+
+    r = np.random.default_rng(6)
+    text = r.integers(97, 123, (20_000, L + 13), dtype=np.uint8)
+    text[15_000:] = text[:5_000]
+    key = r.integers(0, 1 << 16, 15_000)
+    key = np.concatenate((key, key[:5_000]))
+    n = len(text)
+    segments = (text.ravel(), np.arange(n) * (L + 13), np.full(n, 14))
+    ids, doc = np.stack([np.arange(n)] * 2, 1), np.arange(n)
+    monkeypatch.setattr(suffixes, "SHARD", 20_000)
+    tracemalloc.start()
+    seg, inside = suffixes._marks(segments, ids, doc, key)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(seg.tolist(), inside.tolist())) == [(s, a) for s in range(15_000, n) for a in range(14)]
+    assert peak < 14e6  # some 5 MB are a shard's; with the sorted keys of all shards it is over 30
