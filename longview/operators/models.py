@@ -32,16 +32,23 @@ class PandasModel:
 
     Both get pandas frames, the outcome first. A prediction has one column (points, or class levels),
     three (bounds and point, put in the order of their means), one for each class, or one for each
-    horizon (multi_output); one row stands for all. A fit sees all its training rows in one worker, so
-    they have to fit there: use :class:`EstimatorModel` for more. With ``held_out`` it is also told its window, as
-    held_out=(start, stop), None where all rows train. Predictions are made in chunks and have
-    to be made row by row.
+    horizon (multi_output); one row stands for all. Training rows come in the order of groups and dates. With
+    ``held_out`` a fit is also told its window, as held_out=(start, stop), None where all rows train.
+    Predictions are made in chunks and have to be made row by row.
+
+    A fit sees all its training rows in one frame, so they have to fit in one worker. Two forms hold no more than
+    some thousands of rows at once. With ``stream`` the first argument is an iterator of frames, in order.
+    With ``merge`` each task fits the rows that it has, in any order and in frames of some thousands, ``merge(a, b)``
+    makes one of two fits, and ``finish(fit)``, if given, makes the object of the last one.
     """
 
     fit: Callable[..., Any]
     predict: Callable[[Any, Any], Any]
     args: Mapping[str, Any] = field(default_factory=dict)
     held_out: bool = False
+    stream: bool = False
+    merge: Callable[[Any, Any], Any] | None = None
+    finish: Callable[[Any], Any] | None = None
 
 
 @dataclass(frozen=True)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pickle
+from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import Any
 
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.spec import ROW, LaggedFrame
@@ -70,34 +72,109 @@ def _aggregates(lagged, windows, name, model, outputs, on_error) -> ForecastMode
 
 
 def _pandas(lagged, windows, name, model, outputs, on_error) -> ForecastModel:
+    if model.merge and model.stream or model.finish and not model.merge:
+        raise ValueError("a model has either stream or merge, and finish only with merge")
     rows = []
     for key, frame in lagged.frames.items():
         ship(frame.sparkSession)
         columns = [*lagged.targets, *lagged.features(key)]
-        order = [c for c in (*lagged.spec.groups, lagged.spec.date, ROW) if c in frame.columns]
-        found = expand(frame, windows, validation=False).select("window_number", *[c for c in order if c not in columns], *columns)
-        fitted = found.groupBy("window_number").applyInPandas(_fitter(model, key, columns, order, on_error, windows), "window_number int, model_blob binary, error string")
-        rows.append(_rows(lagged, windows, name, key, fitted))
+        found = expand(frame, windows, validation=False)
+        if model.merge:
+            order, data = ["__part"], ["model_blob", "error"]
+            found = found.select("window_number", *columns).mapInPandas(_in_parts(model, key, columns, on_error, windows), f"{_FITTED}, __part int")
+            run = _merger(model, on_error)
+        else:
+            order, data = [c for c in (*lagged.spec.groups, lagged.spec.date, ROW) if c in frame.columns], columns
+            run = _fitter(model, key, columns, on_error, windows)
+        # Spark sorts, which needs no memory of Python workers; rows reach a fit in batches and without the columns that only order them.
+        found = found.repartition("window_number").sortWithinPartitions("window_number", *[F.col(c).asc_nulls_last() for c in order]).select("window_number", *data)
+        rows.append(_rows(lagged, windows, name, key, found.groupBy("window_number").applyInPandas(run, _FITTED)))
     table = settle(union_all(rows), "models")
     return ForecastModel(name, model, windows, table, lagged.horizons, lagged.method, lagged.spec, outputs=outputs)
 
 
-def _fitter(model: PandasModel, horizon: Any, columns: list[str], order: list[str], on_error: str, windows: Windows):
+_FITTED = "window_number int, model_blob binary, error string"
+
+
+def _attempt(on_error: str, call: Callable[[], Any]) -> tuple[Any, str | None]:
+    """What ``call`` gives, and its error as text."""
+    try:
+        return call(), None
+    except Exception as e:
+        if on_error == "raise":
+            raise
+        return None, f"{type(e).__name__}: {e}"
+
+
+def _fit(model: PandasModel, horizon: Any, windows: Windows) -> Callable[[Any, int], Any]:
+    """The model's fit as a function of rows and their window's number."""
     fit, args, told = model.fit, dict(model.args), model.held_out
     held = [None if windows.trains_on_all(i) else w for i, w in enumerate(windows.rows)]
+    return lambda data, number: fit(data, horizon, **args, **({"held_out": held[number - 1]} if told else {}))
+
+
+def _fitter(model: PandasModel, horizon: Any, columns: list[str], on_error: str, windows: Windows):
+    fit, stream = _fit(model, horizon, windows), model.stream
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = next(batches)
+        number = int(first["window_number"].iloc[0])
+        frames = (b[columns] for b in chain([first], batches))
+        del first
+        data = frames if stream else _whole(frames, columns)
+        blob, error = _attempt(on_error, lambda: cloudpickle.dumps(fit(data, number)))
+        for _ in frames:  # the rows that a fit left
+            pass
+        yield pd.DataFrame({"window_number": [number], "model_blob": [blob], "error": [error]})
+
+    return run
+
+
+def _whole(frames: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    """One frame of all, put together a column at a time, so that only one column is held twice."""
+    parts: dict[str, list[pd.Series]] = {c: [] for c in columns}
+    for b in frames:
+        for c in columns:
+            parts[c].append(b[c])
+    return pd.DataFrame({c: pd.concat(parts.pop(c), ignore_index=True) for c in columns}, copy=False)
+
+
+def _in_parts(model: PandasModel, horizon: Any, columns: list[str], on_error: str, windows: Windows):
+    """One fit of each window by a task, of the rows that it has."""
+    fit, merge = _fit(model, horizon, windows), model.merge
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[int, tuple[Any, str | None]] = {}
+        for b in batches:
+            for number, part in b.groupby("window_number", sort=False):
+                before = found.get(int(number))
+                if before is None or before[1] is None:
+                    data = part[columns].reset_index(drop=True)
+                    found[int(number)] = _attempt(on_error, lambda: fit(data, int(number)) if before is None else merge(before[0], fit(data, int(number))))
+        task = TaskContext.get().partitionId()
+        for number, (got, error) in found.items():
+            blob, error = (None, error) if error else _attempt(on_error, lambda: cloudpickle.dumps(got))
+            yield pd.DataFrame({"window_number": [number], "model_blob": [blob], "error": [error], "__part": [task]})
+
+    return run
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        number = int(pdf["window_number"].iloc[0])
-        data = pdf.sort_values(order, kind="stable")[columns].reset_index(drop=True)
-        error, blob = None, None
-        try:
-            more = {"held_out": held[number - 1]} if told else {}
-            blob = cloudpickle.dumps(fit(data, horizon, **args, **more))
-        except Exception as e:
-            if on_error == "raise":
-                raise
-            error = f"{type(e).__name__}: {e}"
-        return pd.DataFrame({"window_number": [number], "model_blob": [blob], "error": [error]})
+def _merger(model: PandasModel, on_error: str):
+    """One model of a window's fits, a row each."""
+    merge, finish = model.merge, model.finish
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got, error, first = None, None, True
+        for b in batches:
+            number = int(b["window_number"].iloc[0])
+            for blob, failed in zip(b["model_blob"], b["error"]):
+                if error is None and blob is None:
+                    error = failed
+                elif error is None:
+                    got, error = _attempt(on_error, lambda: load(blob) if first else merge(got, load(blob)))
+                first = False
+        blob, error = (None, error) if error else _attempt(on_error, lambda: cloudpickle.dumps(finish(got) if finish else got))
+        yield pd.DataFrame({"window_number": [number], "model_blob": [blob], "error": [error]})
 
     return run
 

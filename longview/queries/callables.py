@@ -12,7 +12,7 @@ from ..operators.prediction import predict
 from ..operators.training import train
 from ..operators.windows import create_windows
 from .features import SQL_WEEKS, WEEKS
-from .forecasts import _LAGGED, _line
+from .forecasts import _LAGGED, _NONE, _add, _line, _moments
 from .registry import query, rounded
 from .series import USERS, users
 
@@ -31,16 +31,22 @@ def _band(model, data):
 def predict_interval_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model whose bounds come in another order: they are told by their means."""
     lagged, windows = _lags(spark, sf_dir)
-    models = train(lagged, windows, "band", PandasModel(lambda d, h: None, _band), "interval")
+    models = train(lagged, windows, "band", PandasModel(lambda d, h: None, _band, merge=lambda a, b: None), "interval")
     return predict(models, lagged).df.select("window_number", "valid_indices", "user_id", "y_pred", "y_pred_lower", "y_pred_upper")
 
 
+def _sum(data, horizon):
+    return float(data["y"].sum()), int(data["y"].count())
+
+
+_MEAN = PandasModel(_sum, lambda m, d: pd.DataFrame({"p": [m]}), merge=lambda a, b: (a[0] + b[0], a[1] + b[1]), finish=lambda s: s[0] / s[1] if s[1] else float("nan"))
+
+
 @query(f"WITH {_LAGGED}, {SQL_WEEKS}, mean AS (SELECT window_number, avg(y) AS mu FROM lagged JOIN weeks ON NOT (day BETWEEN start AND stop) GROUP BY 1) SELECT CAST(w.window_number AS INTEGER) AS window_number, row_index AS valid_indices, user_id, round(mu, 5) AS y_pred FROM lagged JOIN weeks w ON day BETWEEN start AND stop JOIN mean m ON m.window_number = w.window_number")
 def predict_one_for_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prediction of one row stands for all rows."""
     lagged, windows = _lags(spark, sf_dir)
-    models = train(lagged, windows, "mean", PandasModel(lambda d, h: float(d["y"].mean()), lambda m, d: pd.DataFrame({"p": [m]})))
-    return rounded(predict(models, lagged).df.select("window_number", "valid_indices", "user_id", "y_pred"), 5)
+    return rounded(predict(train(lagged, windows, "mean", _MEAN), lagged).df.select("window_number", "valid_indices", "user_id", "y_pred"), 5)
 
 
 def _fails_once(data, horizon, held_out):
@@ -53,11 +59,15 @@ def _fails_once(data, horizon, held_out):
 def train_error_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fit that fails is recorded beside its window, and the others go on."""
     lagged, windows = _lags(spark, sf_dir)
-    return train(lagged, windows, "fails", PandasModel(_fails_once, lambda m, d: d[["y_lag_7"]], held_out=True)).table.select("window_number", "error")
+    return train(lagged, windows, "fails", PandasModel(_fails_once, lambda m, d: d[["y_lag_7"]], held_out=True, merge=lambda a, b: a)).table.select("window_number", "error")
 
 
-def _on_a_part(data, horizon):
-    return _line(data[np.arange(len(data)) % 5 != 0], horizon)
+def _on_a_part(frames, horizon):
+    before, found = 0, _NONE
+    for data in frames:
+        found = _add(found, _moments(data[np.arange(before, before + len(data)) % 5 != 0], horizon))
+        before += len(data)
+    return _line(found)
 
 
 @query(
@@ -68,5 +78,5 @@ def _on_a_part(data, horizon):
 def train_on_a_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fit that sets a fifth of its rows aside; it gets them in a fixed order."""
     lagged, windows = _lags(spark, sf_dir)
-    model = PandasModel(_on_a_part, lambda m, data: (m["intercept"] + m["slope"] * data["y_lag_7"]).to_frame())
+    model = PandasModel(_on_a_part, lambda m, data: (m["intercept"] + m["slope"] * data["y_lag_7"]).to_frame(), stream=True)
     return rounded(predict(train(lagged, windows, "split", model), lagged).df.select("window_number", "valid_indices", "user_id", "y_pred"), 3)

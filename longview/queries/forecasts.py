@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.combine import combine
@@ -132,15 +133,33 @@ def multi_output_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(train(lagged, create_windows(lagged, 0), "persist", model), make("forecast")).df
 
 
-def _line(data, horizon):
-    """Least squares on one lag."""
+def _moments(data, horizon):
+    """Rows, means and centred sums of the complete pairs of outcome and lag."""
     d = data[["y", "y_lag_7"]].dropna()
     x, y = d["y_lag_7"], d["y"]
-    slope = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
-    return {"slope": float(slope), "intercept": float(y.mean() - slope * x.mean())}
+    return len(d), x.mean(), y.mean(), ((x - x.mean()) ** 2).sum(), ((x - x.mean()) * (y - y.mean())).sum()
+
+
+def _add(a, b):
+    """The moments of two sets of rows together."""
+    if not a[0] or not b[0]:
+        return a if a[0] else b
+    n, dx, dy = a[0] + b[0], b[1] - a[1], b[2] - a[2]
+    w = a[0] * b[0] / n
+    return n, a[1] + dx * b[0] / n, a[2] + dy * b[0] / n, a[3] + b[3] + dx * dx * w, a[4] + b[4] + dx * dy * w
+
+
+_NONE = (0, np.nan, np.nan, 0.0, 0.0)
+
+
+def _line(moments):
+    """Least squares on one lag."""
+    _, x, y, xx, xy = moments
+    slope = np.float64(xy) / xx
+    return {"slope": float(slope), "intercept": float(y - slope * x)}
 
 
-PANDAS_OLS = PandasModel(_line, lambda m, data: (m["intercept"] + m["slope"] * data["y_lag_7"]).to_frame())
+PANDAS_OLS = PandasModel(_moments, lambda m, data: (m["intercept"] + m["slope"] * data["y_lag_7"]).to_frame(), merge=_add, finish=_line)
 
 
 @query(
@@ -148,7 +167,7 @@ PANDAS_OLS = PandasModel(_line, lambda m, data: (m["intercept"] + m["slope"] * d
     FROM lagged JOIN weeks w ON day BETWEEN start AND stop JOIN fits f ON f.window_number = w.window_number"""
 )
 def train_pandas_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model in Python, fitted by a worker for each window and applied in chunks."""
+    """A model in Python, fitted by all workers to the rows that they have, and applied in chunks."""
     return rounded(_validation(spark, sf_dir, PANDAS_OLS, "pandas ols", (7,)).df, 3)
 
 

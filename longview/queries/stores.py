@@ -62,7 +62,7 @@ def _told(data, horizon, held_out):
 def train_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fit that is told which window it must not see."""
     lagged = create_lagged(users(spark, sf_dir), USERS, [7], [1, 7, 14])
-    models = train(lagged, create_windows(lagged, start=WEEKS[0], stop=WEEKS[1]), "told", PandasModel(_told, lambda m, d: d[["y_lag_7"]], held_out=True))
+    models = train(lagged, create_windows(lagged, start=WEEKS[0], stop=WEEKS[1]), "told", PandasModel(_told, lambda m, d: d[["y_lag_7"]], held_out=True, merge=lambda a, b: {**a, "rows": a["rows"] + b["rows"]}))
     found = hyper(models, lambda m: {"n_rows": m["rows"], "held_first": m["first"], "held_last": m["last"]}, "n_rows long, held_first string, held_last string")
     return found.select("window_number", "n_rows", "held_first", "held_last")
 

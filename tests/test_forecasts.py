@@ -111,6 +111,59 @@ def test_models_agree(spark, series):
     assert math.isclose(one.y_pred, np.mean(held))
 
 
+def _seen(data, horizon):
+    return list(zip(data["y"], data["y_lag_1"].fillna(-1)))
+
+
+def _seen_in_order(frames, horizon):
+    return [x for data in frames for x in _seen(data, horizon)]
+
+
+def _flat(m):
+    return {"rows": [repr(x) for x in m]}
+
+
+def test_fits_by_parts_and_streams_see_every_row(spark, series, monkeypatch):
+    made = create_lagged(series.repartition(5), SPEC, 1, 1)
+    w = create_windows(made, 6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        told = lambda model: {r.window_number: r.rows for r in hyper(train(made, w, "m", model, on_error="raise"), _flat, "rows array<string>").collect()}
+        whole = told(PandasModel(_seen, None))
+        stream = told(PandasModel(_seen_in_order, None, stream=True))
+        parts = told(PandasModel(_seen, None, merge=lambda a, b: a + b, finish=lambda m: sorted(m)[::-1]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = sorted(made.frames[1].collect(), key=lambda r: (r.g, r.d))
+    for i, (start, stop) in enumerate(w.rows):
+        want = [(r.y, -1.0 if r.y_lag_1 is None else r.y_lag_1) for r in rows if not start <= r.d <= stop]
+        assert whole[i + 1] == stream[i + 1] == _flat(want)["rows"]
+        assert parts[i + 1] == _flat(sorted(want)[::-1])["rows"]
+
+
+def test_failures_of_parts_and_streams(spark, series):
+    made = create_lagged(series, SPEC, 1, 1)
+    w = create_windows(made, start=[D(2020, 1, 1), D(2021, 7, 1)], stop=[D(2020, 6, 1), D(2021, 12, 1)])
+
+    def fit(data, horizon, held_out):
+        if held_out[0] == D(2020, 1, 1):
+            raise RuntimeError("no fit")
+        return len(data) if hasattr(data, "columns") else next(data).shape[1]
+
+    def never(*_):
+        raise RuntimeError("no end")
+
+    error = lambda model: {r.window_number: r.error for r in train(made, w, "m", model).table.collect()}
+    failed = {1: "RuntimeError: no fit", 2: None}
+    assert error(PandasModel(fit, None, held_out=True, merge=lambda a, b: a + b)) == error(PandasModel(fit, None, held_out=True, stream=True)) == failed
+    assert error(PandasModel(fit, None, held_out=True, merge=lambda a, b: a + b, finish=never)) == {1: "RuntimeError: no fit", 2: "RuntimeError: no end"}
+    with pytest.raises(Exception, match="no fit"):
+        train(made, w, "m", PandasModel(fit, None, held_out=True, merge=lambda a, b: a + b), on_error="raise")
+    for bad in (dict(stream=True, merge=max), dict(finish=len)):
+        with pytest.raises(ValueError):
+            train(made, w, "m", PandasModel(fit, None, **bad))
+
+
 def test_failed_fits_are_kept(spark, series):
     made = create_lagged(series, SPEC, 1, 1)
     w = create_windows(made, 0)

@@ -1,5 +1,7 @@
 """Every registered query of the forecasting operators against its SQL; those without SQL make rows."""
 
+from dataclasses import replace
+
 import pytest
 
 from compare import duck_rows, spark_rows
@@ -36,3 +38,27 @@ def test_many_windows_give_the_same(spark, monkeypatch, name):
     for module in (windows, training):
         monkeypatch.setattr(module, "LITERAL_WINDOWS", 0)
     assert spark_rows(QUERIES[name](spark, SF)) == duck_rows(SF, ORACLES[name])
+
+
+def _few(fit):
+    """``fit``, which fails where a frame has more than 20 rows."""
+
+    def checked(frame):
+        assert len(frame) <= 20
+        return frame
+
+    return lambda data, *args, **more: fit(checked(data) if hasattr(data, "columns") else map(checked, data), *args, **more)
+
+
+@pytest.mark.parametrize(("module", "name"), [
+    (callables, "predict_one_for_all"), (callables, "predict_interval_unordered"), (callables, "train_on_a_split"),
+    (forecasts, "train_pandas_ols"), (forecasts, "hyper_pandas"), (stores, "train_held_out"),
+])
+def test_fits_in_python_hold_a_batch(spark, monkeypatch, module, name):
+    train = module.train
+    monkeypatch.setattr(module, "train", lambda lagged, windows, name, model, *more: train(lagged, windows, name, replace(model, fit=_few(model.fit)), *more, on_error="raise"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        assert spark_rows(QUERIES[name](spark, SF)) == duck_rows(SF, ORACLES[name])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
